@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import simhash
+from tallyglass.llm import decontam, linededup, mixing, mpegts, simhash, urlfilter
 from tallyglass.llm.store import table
 
 
@@ -17,8 +17,44 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a transport stream: digests of what is read back from it."""
+    return mpegts.probed(mpegts.stored(table(spark, sf_dir, "documents")))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds 0.8 or more of a benchmark item's 5-word shingles, with the item."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return urlfilter.judged(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    found = mixing.mixed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's lines without its site's boilerplate."""
+    return linededup.cleaned_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_mpegts": op2_mpegts,
+    "op4_decontamination": op4_decontamination,
+    "op5_url_filter": op5_url_filter,
+    "op6_mixing": op6_mixing,
+    "op7_line_dedup": op7_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": decontam.SQL,
+    "op5_url_filter": urlfilter.SQL,
+    "op6_mixing": mixing.SQL,
+    "op7_line_dedup": linededup.SQL,
+}
