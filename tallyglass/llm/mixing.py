@@ -137,8 +137,8 @@ s0 AS (SELECT source, sum(size)::BIGINT AS size, count(*) AS n FROM z GROUP BY s
 s1 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") AS rank FROM s0),
 s2 AS (SELECT *, [5.0, 2.0, 1.0][((rank - 1) % 3 + 1)::INT]::DOUBLE AS weight, 2.0::DOUBLE * size AS cap FROM s1),
 s3 AS (SELECT *, (1.5::DOUBLE * sum(size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-  / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER (ORDER BY cap / weight, rank) AS at FROM s2),
-lv AS (SELECT arg_min(level, at) AS level FROM s3 WHERE level * weight <= cap),
+  / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER (ORDER BY cap / weight, rank) AS pos FROM s2),
+lv AS (SELECT arg_min(level, pos) AS level FROM s3 WHERE level * weight <= cap),
 s4 AS (SELECT source, size, n, rank, coalesce(least(cap, weight * lv.level), cap) AS target FROM s3, lv),
 s5 AS (SELECT *, greatest(1, least({BLOCK}, floor(coalesce(min(target) FILTER (WHERE target > 0) OVER (), 1.0) / {BLOCKS})))::BIGINT AS block,
   ceil(greatest(size / {SHARD_WORDS}, n / {SHARD_ROWS}))::BIGINT AS shards, sum(target) OVER () AS total FROM s4),
@@ -156,10 +156,10 @@ e1 AS (SELECT rank, shard, votes, base, m, unnest(CASE WHEN m > 0 THEN range(1,
 e2 AS (SELECT rank, shard, m, row_number() OVER (PARTITION BY rank ORDER BY CASE WHEN m > 0 THEN -1 ELSE 1 END * votes / (2 * (base + step) - 1), CASE WHEN m > 0 THEN shard ELSE -shard END, abs(step)) AS place FROM e1),
 h5 AS (SELECT rank, shard, votes::BIGINT AS shard_size, b, base + coalesce((SELECT sum(sign(e2.m)) FROM e2 WHERE e2.rank = h4.rank AND e2.shard = h4.shard AND place <= abs(e2.m)), 0)::BIGINT AS quota FROM h4),
 h6 AS (SELECT rank, shard, shard_size, b * (('0x' || substr(md5('{SEED}:' || rank || ':' || shard), 1, 8))::BIGINT % greatest(ceil(shard_size / b), 1)::BIGINT) AS start, least(quota * b, 2 * shard_size) AS length FROM h5),
-p AS (SELECT d.*, (sum(size) OVER (PARTITION BY rank, shard ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS at FROM d)
+p AS (SELECT d.*, (sum(size) OVER (PARTITION BY rank, shard ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS pos FROM d)
 SELECT doc_id, size, source_size, target, (
-    greatest(least(at + size, start + length) - greatest(at, start), 0)
-  + greatest(least(shard_size + at + size, start + length) - greatest(shard_size + at, start), 0)
-  + greatest(least(2 * shard_size + at + size, start + length) - greatest(2 * shard_size + at, start), 0))::BIGINT AS taken
+    greatest(least(pos + size, start + length) - greatest(pos, start), 0)
+  + greatest(least(shard_size + pos + size, start + length) - greatest(shard_size + pos, start), 0)
+  + greatest(least(2 * shard_size + pos + size, start + length) - greatest(2 * shard_size + pos, start), 0))::BIGINT AS taken
 FROM p JOIN h6 USING (rank, shard)
 """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import decontam, linededup, mixing, mpegts, simhash, urlfilter
+from tallyglass.llm import chat, decontam, extract, linededup, mixing, mpegts, packing, quality, simhash, urlfilter
 from tallyglass.llm.store import table
 
 
@@ -22,6 +22,11 @@ def op2_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.probed(mpegts.stored(table(spark, sf_dir, "documents")))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, packed into rows of 2,048."""
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds 0.8 or more of a benchmark item's 5-word shingles, with the item."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -43,13 +48,35 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.cleaned_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return extract.extracted(table(spark, sf_dir, "pages"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learnt from the labels of rows that are not held out."""
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and one of control strings, formatted and read back."""
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.formatted(rows.unionByName(more)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mpegts": op2_mpegts,
+    "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_extraction": op8_extraction,
+    "op9_quality": op9_quality,
+    "op10_chat": op10_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {
