@@ -136,19 +136,26 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(partial(_statistic_batches, keep=["doc_id"]), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
-def fitted(rows: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model | None:
-    """A model of labels (doc_id, quality; 1 is good) learnt from the statistics of rows (doc_id, x), held-out rows left out.
+def sampled(rows: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """The rows (any columns with doc_id) that a fit may learn from: not held out, and in a seeded sample by doc_id that leaves
+    about `most_rows` of the labels. Decided on each row alone."""
+    n = _usable(labels).count()
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most_rows / max(n, 1)))
+    return rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & chosen)
 
-    Uses a seeded sample of about `most_rows` labelled rows; that bound is what may reach the driver as sums and calibration
-    scores. Null labels and ids are left out; repeated ones count as often. None if nothing is labelled.
+
+def _usable(labels: DataFrame) -> DataFrame:
+    return labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("double").alias("y"))
+
+
+def fitted(rows: DataFrame, labels: DataFrame) -> Model | None:
+    """A model of labels (doc_id, quality; 1 is good) learnt from the statistics of rows (doc_id, x), which sampled() has bounded;
+    that bound is what may reach the driver as sums and calibration scores. Null labels and ids are left out; repeated ones
+    count as often. None if no row is labelled.
     """
-    labels = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    train = rows.join(labels.select("doc_id", F.col("quality").cast("double").alias("y")), "doc_id").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)))
-    train = saved(train.select("doc_id", "x", "y", "h"), "train")
-    n = train.count()
-    if not n:
+    train = saved(rows.join(_usable(labels), "doc_id").withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(CALIBRATION))), "train")
+    if train.isEmpty():
         return None
-    train = train.where(F.col("h") < int(1_000_000 * min(1.0, most_rows / n)))
     train = train.repartition(PARTS, "doc_id").sortWithinPartitions("doc_id", "y")
     sums = _summed(train.select("x").mapInArrow(_moment_batches, "part long, sums binary"), (3, len(STATISTICS)))
     mean = sums[1] / np.maximum(sums[0], 1)
@@ -158,10 +165,10 @@ def fitted(rows: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mo
     phases = random.uniform(0, 2 * np.pi, FEATURES)
     size = 1 + len(STATISTICS) + FEATURES
     run = partial(_normal_batches, mean=mean, scale=scale, frequencies=frequencies, phases=phases)
-    sums = _summed(train.where(F.col("h") % CALIBRATION != 0).select("x", "y").mapInArrow(run, "part long, sums binary"), (size, size + 1))
+    sums = _summed(train.where("h <> 0").select("x", "y").mapInArrow(run, "part long, sums binary"), (size, size + 1))
     weights = np.linalg.solve(sums[:, :-1] + RIDGE * np.eye(size), sums[:, -1])
     model = Model(mean, scale, frequencies, phases, weights, np.zeros(1), np.zeros(1))
-    rest = train.where(F.col("h") % CALIBRATION == 0).select("doc_id", "x", "y").collect()
+    rest = train.where("h = 0").select("doc_id", "x", "y").collect()
     rest.sort(key=lambda r: (r["doc_id"], r["y"]))
     y = np.array([r["y"] for r in rest])
     model.knots, model.levels = isotonic(model.raw(np.array([r["x"] for r in rest])), y) if len(rest) else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
@@ -183,7 +190,7 @@ def scored(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Da
     every score is 1. An empty table gives no rows. Other columns are not read.
     """
     rows = saved(measured(docs), "statistics")
-    model = fitted(rows, labels, most_rows)
+    model = fitted(sampled(rows, labels, most_rows), labels)
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = rows.mapInArrow(partial(_score_batches, model=model, keep=["doc_id"]), f"doc_id {kind}, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -191,7 +198,7 @@ def scored(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Da
 
 def accepted(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """docs without the rows whose text scores below 0.5. Columns stay as they are, whatever their names."""
-    model = fitted(saved(measured(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), "statistics"), labels, most_rows)
+    model = fitted(measured(sampled(docs, labels, most_rows)), labels)
     batches_of(docs.sparkSession, 1000)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), F.col("text").alias("text"))
