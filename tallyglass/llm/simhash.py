@@ -129,7 +129,7 @@ SEGMENTS, BITS, LEFT_OUT = 24, 24, 2
 #: Words of the shingles that a wide fingerprint is made of: shorter ones move less under an edit.
 WIDE_WIDTH = 2
 #: Candidates further apart than this share of the bits are not verified: far beyond what a Jaccard similarity of 0.8 gives.
-FAR_APART = 0.2
+FAR_APART = 0.16
 _SALTS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(SEGMENTS * BITS // 64)], np.uint64)
 
 
@@ -150,19 +150,27 @@ def wide_margins(text: bytes | None) -> np.ndarray:
 def _wide_batches(batches):
     weight = 1 << np.arange(BITS, dtype=np.int64)
     for b in batches:
-        keys, prints = [], []
+        segments, unsure = [], []
         for t in _texts(b):
             m = wide_margins(t).reshape(SEGMENTS, BITS)
-            bits = m > 0
-            seg = (bits * weight).sum(axis=1)
-            base = np.arange(SEGMENTS, dtype=np.int64) << 40
-            unsure = np.argsort(np.abs(m), axis=1, kind="stable")[:, :LEFT_OUT]
-            gone = [(((unsure[:, k] + 1) << 32) | base | (seg & ~(1 << unsure[:, k]))) for k in range(LEFT_OUT)]
-            keys.append(np.concatenate([base | seg, *gone]))
-            prints.append(np.packbits(bits.reshape(-1), bitorder="little").tobytes())
-        sizes = np.arange(len(prints) + 1, dtype=np.int32) * (SEGMENTS * (1 + LEFT_OUT))
-        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), flat)], ["key", "print", "keys"])
+            segments.append(((m > 0) * weight).sum(axis=1).astype(np.int32))
+            unsure.append(np.argsort(np.abs(m), axis=1, kind="stable")[:, :LEFT_OUT].astype(np.int32).reshape(-1))
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(x) if x else np.zeros(0, np.int32)), n).cast(pa.list_(pa.int32())) for x, n in ((segments, SEGMENTS), (unsure, SEGMENTS * LEFT_OUT))]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "none", "id")), *columns], ["key", "none", "id", "segments", "unsure"])
+
+
+def wide_keys(segments: Column, unsure: Column) -> Column:
+    """(k, next) for each segment whole and with each of its unsure bits left out; next: the segment after it, whole."""
+    def of(part: Column, i: Column) -> Column:
+        after = F.get(segments, (i + 1) % SEGMENTS)
+        spot = lambda j: F.get(unsure, i * LEFT_OUT + j)
+        left = F.lit(1).cast("bigint")
+        place = i.cast("bigint") * (1 << 40)
+        whole = F.struct((place + part).alias("k"), after.alias("next"))
+        gone = [F.struct((place + (spot(j) + 1).cast("bigint") * (1 << 32) + part.cast("bigint").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", left, spot(j))))).alias("k"), after.alias("next")) for j in range(LEFT_OUT)]
+        return F.array(whole, *gone)
+
+    return F.flatten(F.transform(segments, of))
 
 
 def _set_batches(batches, width):
@@ -182,63 +190,66 @@ def _similar_batches(batches, similarity):
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _close_batches(batches):
-    for b in batches:
-        if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("x", "y"))
-            yield b.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= FAR_APART * SEGMENTS * BITS))
+def with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with x and y, the column of either end in `of` (key, column)."""
+    one = of.select(F.col("key").alias("a"), F.col(column).alias("x"))
+    other = of.select(F.col("key").alias("b"), F.col(column).alias("y"))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y")
 
 
-def near_pairs(texts: DataFrame, similarity: float = 0.8, width: int = 5, crowd: int = CROWD) -> DataFrame:
-    """Verified links (a, b), a < b, between rows of texts (key long, unique; text) whose word shingles have a Jaccard
-    similarity of `similarity` or more.
+def close_pairs(marked: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Pairs (a, b), a < b, of rows of marked (key, segments, unsure) that share a key of wide_keys and whose wide fingerprints
+    are not far apart.
 
-    Each segment of a wide fingerprint is indexed whole and with each of its least certain bits left out. A key that more
-    than `crowd` rows share is split by the following segment; where that is crowded too, rows are compared with
-    the least row there instead of with each other, which keeps the work linear. Exact Jaccard similarity decides.
+    Rows under a key that at most `crowd` share are paired. A fuller key is split by the segment that follows; there, each row is paired with
+    one that a digest picks anew for each key, and those with one of the whole key, which keeps the work linear.
     """
-    spark = texts.sparkSession
-    batches_of(spark, 1000)
-    marked = saved(texts.select("key", "text").mapInArrow(_wide_batches, "key long, print binary, keys array<long>"), "wide")
-    keyed = marked.select("key", F.posexplode("keys").alias("at", "k"), "keys")
-    keyed = keyed.select("key", "k", F.get("keys", (F.col("at") + 1) % SEGMENTS).alias("next"))
+    keyed = marked.select("key", F.explode(wide_keys(F.col("segments"), F.col("unsure"))).alias("s")).select("key", "s.k", "s.next")
     sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     met = saved(keyed.join(sizes, "k"), "met")
     pair = F.explode(F.expr("flatten(transform(all, (a, i) -> transform(slice(all, i + 2, size(all)), b -> struct(a, b))))"))
     few = met.where(F.col("n") <= crowd).groupBy("k").agg(F.sort_array(F.collect_list("key")).alias("all")).select(pair.alias("p")).select("p.a", "p.b")
     crowded = met.where(F.col("n") > crowd)
-    least = crowded.groupBy("k", "next").agg(F.min("key").alias("a"))
-    stars = crowded.join(least, ["k", "next"]).select("a", F.col("key").alias("b")).where("a < b")
-    heads = crowded.groupBy("k").agg(F.min("key").alias("a")).join(least.withColumnRenamed("a", "b"), "k").select("a", "b").where("a < b")
-    pairs = few.unionByName(stars).unionByName(heads).distinct()
-
-    def with_both(pairs, of, col):
-        of = of.select(F.col("key").alias("a"), F.col(col).alias("x"))
-        return pairs.join(of, "a").join(of.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").select("a", "b", "x", "y")
-
-    close = saved(with_both(pairs, marked, "print").mapInArrow(_close_batches, "a long, b long"), "close")
+    pick = F.min_by("key", F.xxhash64("k", "key"))
+    heads = crowded.groupBy("k", "next").agg(pick.alias("head"))
+    stars = crowded.join(heads, ["k", "next"]).select(F.col("head").alias("a"), F.col("key").alias("b"))
+    tops = heads.groupBy("k").agg(F.min_by("head", F.xxhash64("k", "head")).alias("top")).join(heads, "k").select(F.col("top").alias("a"), F.col("head").alias("b"))
+    pairs = few.unionByName(stars).unionByName(tops).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    close = saved(with_both(pairs, marked, "segments").where(apart <= FAR_APART * SEGMENTS * BITS).select("a", "b"), "close")
     dropped(met)
-    wanted = close.select(F.col("a").alias("key")).unionByName(close.select(F.col("b").alias("key"))).distinct()
-    sets = saved(texts.join(wanted, "key", "left_semi").select("key", "text").mapInArrow(partial(_set_batches, width=width), "key long, shingles binary"), "sets")
-    return with_both(close, sets, "shingles").mapInArrow(partial(_similar_batches, similarity=similarity), "a long, b long")
+    return close
 
 
 def deduplicated(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """docs with one row of each group of near copies: the one with the smallest doc_id.
 
-    Equal texts (null counts as empty) always share a group; different texts are linked by `near_pairs`, and chains of links
-    make a group. Rows that share the smallest doc_id of a group and its text leave one row. A null doc_id counts as larger than all others.
-    Columns of docs are kept as they are, whatever their names. An empty table stays empty.
+    Equal texts (null counts as empty) share a group. Different texts are linked if the Jaccard similarity of their
+    sets of `width`-word shingles is `similarity` or more: candidates come from wide fingerprints, the sets decide. Chains of links make
+    a group. Rows alike in doc_id and text leave one. A null doc_id counts as larger than all others. Columns of docs are kept as they
+    are, whatever their names. An empty table stays empty. Texts are known by a 64-bit digest of their SHA-256.
     """
+    spark = docs.sparkSession
+    batches_of(spark, 1000)
     body = F.coalesce("text", F.lit(""))
-    mark = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
-    seen = saved(docs.select(F.sha2(body, 256).alias("sha"), mark.alias("mark")).groupBy("sha").agg(F.min("mark").alias("mark")), "texts")
-    seen = saved(seen.select("sha", "mark", F.xxhash64("sha").alias("key")), "texts")
-    one = docs.select(F.sha2(body, 256).alias("sha"), mark.alias("mark"), body.alias("text")).join(seen, ["sha", "mark"]).select("key", "text").dropDuplicates(["key"])
-    one = saved(one, "one")
-    found = components(near_pairs(one, similarity, width))
-    grouped = seen.join(found, seen["key"] == found["node"], "left").select("sha", "mark", F.coalesce("root", "key").alias("root"))
-    best = grouped.groupBy("root").agg(F.min(F.struct("mark", "sha")).alias("b")).select("b.sha", "b.mark")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.sha2(body, 256).alias("sha"), mark.alias("mark"))
-    kept = whole.join(best, ["sha", "mark"], "left_semi").dropDuplicates(["sha", "mark"])
-    return kept.select("row.*")
+    named = [F.xxhash64(F.sha2(body, 256)).alias("key"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")]
+    rows = docs.select(*named, body.alias("text"))
+    marked = rows.mapInArrow(_wide_batches, "key long, none boolean, id long, segments array<int>, unsure array<int>")
+    first = F.min(F.struct("none", "id")).alias("first")
+    texts = marked.groupBy("key", "none", "id").agg(F.count("*").alias("n"), F.any_value("segments").alias("segments"), F.any_value("unsure").alias("unsure"))
+    texts = texts.groupBy("key").agg(first, F.max("n").alias("n"), F.any_value("segments").alias("segments"), F.any_value("unsure").alias("unsure"))
+    texts = saved(texts.select("key", "first.none", "first.id", "n", "segments", "unsure"), "texts")
+    repeated = not texts.where("n > 1").isEmpty()
+    close = close_pairs(texts.select("key", "segments", "unsure"))
+    wanted = close.select(F.col("a").alias("key")).unionByName(close.select(F.col("b").alias("key"))).distinct()
+    wanted = texts.select("key", "none", "id").join(wanted, "key", "left_semi")
+    sets = rows.join(wanted, ["key", "none", "id"], "left_semi").select("key", "text").mapInArrow(partial(_set_batches, width=width), "key long, shingles binary")
+    sets = saved(sets.dropDuplicates(["key"]) if repeated else sets, "sets")
+    links = with_both(close, sets, "shingles").mapInArrow(partial(_similar_batches, similarity=similarity), "a long, b long")
+    found = components(links)
+    dropped(sets)
+    grouped = texts.join(found, texts["key"] == found["node"], "left").select("key", "none", "id", F.coalesce("root", "key").alias("root"))
+    best = grouped.groupBy("root").agg(F.min(F.struct("none", "id", "key")).alias("b")).select("b.key", "b.none", "b.id")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *named)
+    kept = whole.join(best, ["key", "none", "id"], "left_semi")
+    return (kept.dropDuplicates(["key", "none", "id"]) if repeated else kept).select("row.*")
