@@ -118,13 +118,17 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEA
     names = docs.columns
     plan = mixed(docs, weights, share, repeats)
     runs = F.array(*[F.when(hi > lo, F.struct(lo.alias("lo"), hi.alias("hi"))) for lo, hi in passes(repeats)])
-    same = Window.partitionBy("mix_id", "mix_source", "mix_size")
-    plan = plan.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("mix_id"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("mix_source"), F.col("size").alias("mix_size"), F.array_compact(runs).alias("runs"))
-    plan = saved(plan.withColumn("mix_at", F.row_number().over(same.orderBy(F.to_json("runs")))).where(F.size("runs") > 0), "plan")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("mix_id"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("mix_source"), n_words(F.col("text")).alias("mix_size"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("mix_row"))
-    # Rows of one id are told apart by their order; ids are few times repeated, so this window holds a row or two.
-    rows = rows.withColumn("mix_at", F.row_number().over(same.orderBy("mix_row"))).drop("mix_row")
-    out = rows.join(plan, ["mix_id", "mix_source", "mix_size", "mix_at"]).select("row", "mix_size", F.explode("runs").alias("run"))
+    by = ["mix_id", "mix_source"]
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("mix_id"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("mix_source")]
+    plan = saved(plan.select(*key, F.col("size").alias("mix_size"), F.array_compact(runs).alias("runs")), "plan")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *key, n_words(F.col("text")).alias("mix_size"))
+    if not plan.groupBy(*by).count().where("count > 1").isEmpty():
+        # Rows of one id and source are told apart by their size, then by their order; an id has few rows.
+        by = [*by, "mix_size", "mix_at"]
+        same = Window.partitionBy(by[:3])
+        plan = plan.withColumn("mix_at", F.row_number().over(same.orderBy(F.to_json("runs"))))
+        rows = rows.withColumn("mix_at", F.row_number().over(same.orderBy(F.xxhash64("row"))))
+    out = rows.join(plan.where(F.size("runs") > 0).select(*by, "runs"), by).select("row", "mix_size", F.explode("runs").alias("run"))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), (F.col("run.lo") + 1).cast("int"), (F.col("run.hi") - F.col("run.lo")).cast("int")), "")
     out = out.withColumn("body", F.when(F.col("run.hi") - F.col("run.lo") == F.col("mix_size"), F.col("row.text")).otherwise(F.rtrim(cut)))
     columns = [F.col("body").alias(c) if c == "text" else F.length("body").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in names]
