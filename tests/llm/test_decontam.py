@@ -1,0 +1,67 @@
+import re
+
+from tallyglass.llm import decontam
+
+
+def words(t):
+    return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+
+
+def runs(w, n):
+    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+def brute(docs, items, least=0.8, width=5):
+    out = set()
+    for i, it in items:
+        wi = words(it)
+        if not wi:
+            continue
+        n = min(width, len(wi))
+        s = runs(wi, n)
+        for d, t in docs:
+            shared = len(s & runs(words(t), n))
+            if shared >= least * len(s) - 1e-9 and shared:
+                out.add((d, i, shared, len(s)))
+    return out
+
+
+ITEM = "the quick brown fox jumps over a lazy dog while seven wizards quietly mix their strange blue potions tonight"
+
+
+def case(spark):
+    filler = " ".join(f"f{i}" for i in range(6000))
+    w = ITEM.split()
+    one_gone = " ".join([*w[:9], "cat", *w[10:]])
+    docs = [
+        (1, f"{filler} {ITEM} {filler}"), (2, ITEM.upper().replace(" ", ", ")), (3, " ".join(w[:-2]) + " other end"), (4, filler), (5, None), (6, ""),
+        (7, one_gone), (8, ITEM + " " + ITEM), (8, "no match in this one at all"), (9, "hello there world"), (10, "say hello there world again"), (11, "tiny"),
+    ]
+    items = [(100, ITEM), (101, "hello there world"), (102, None), (103, "  "), (104, "Tiny"), (105, "the quick brown fox jumps"), (106, "the the the the the the")]
+    return docs, items
+
+
+def test_matches_brute_force(spark):
+    docs, items = case(spark)
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS item_id", "3 AS value")
+    i = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS doc_id", "2 AS parts")
+    got = {(r["doc_id"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in decontam.contaminated(d, i).collect()}
+    assert got == brute(docs, items)
+    assert (1, 100) in {g[:2] for g in got} and (3, 100) in {g[:2] for g in got} and (7, 100) not in {g[:2] for g in got}
+
+
+def test_without_broadcast_too(spark, monkeypatch):
+    docs, items = case(spark)
+    monkeypatch.setattr(decontam, "BROADCAST_VALUES", 0)
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in decontam.contaminated(d, i).collect()}
+    assert got == brute(docs, items)
+
+
+def test_documents_without_leaks_stay(spark, clash, no_docs):
+    items = spark.createDataFrame([(1, "one two"), (2, "nothing like it")], "item_id long, text string")
+    out = decontam.decontaminated(clash, items)
+    assert out.columns == clash.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in out.collect()) == sorted((r["doc_id"] is None, r["doc_id"]) for r in clash.collect() if r["doc_id"] != 5)
+    assert decontam.contaminated(no_docs, items).count() == 0
+    assert decontam.decontaminated(clash, items.limit(0)).count() == clash.count()

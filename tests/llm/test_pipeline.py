@@ -1,0 +1,84 @@
+import re
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tallyglass.llm import packing, quality
+from tallyglass.llm.queries import ORACLE_SQL, QUERIES
+from tallyglass.llm.store import saved, table
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    out = [table(spark, SF, "documents")]
+    for name, stage in corpus_pipeline.STAGES:
+        out.append(saved(stage(spark, out[-1], SF), name))
+    return out
+
+
+def test_stages_and_columns(stages):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "packing"]
+    for df in stages[1:-1]:
+        assert df.dtypes == stages[0].dtypes
+
+
+def test_quality_rejects_as_the_scores_say(spark, stages):
+    scores = {r["doc_id"]: r["predicted"] for r in quality.scored(stages[0], table(spark, SF, "labels")).collect()}
+    assert {r["doc_id"] for r in stages[1].collect()} == {k for k, v in scores.items() if v}
+
+
+def test_near_copies_go_by_brute_force(stages):
+    def runs(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {r["doc_id"]: runs(r["text"]) for r in stages[1].collect()}
+    parent = {k: k for k in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert {r["doc_id"] for r in stages[2].collect()} == {find(k) for k in ids}
+
+
+def test_leaks_go_by_brute_force(spark, stages):
+    def words(t):
+        return [w for w in re.split(r"[\W_]+", t.lower()) if w]
+
+    def runs(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    items = [runs(words(r["text"])) for r in table(spark, SF, "benchmark").collect()]
+    bad = set()
+    for r in stages[2].collect():
+        own = runs(words(r["text"]))
+        if any(len(i & own) >= 0.8 * len(i) - 1e-9 for i in items):
+            bad.add(r["doc_id"])
+    assert bad and {r["doc_id"] for r in stages[3].collect()} == {r["doc_id"] for r in stages[2].collect()} - bad
+
+
+def test_packing_holds_every_document_of_the_mix(stages):
+    n = sum(len(r["text"].split()) for r in stages[4].collect())
+    assert n == pytest.approx(1.5 * sum(len(r["text"].split()) for r in stages[3].collect()), rel=0.02)
+    ends = sum(int((np.frombuffer(r["ids"], "<u2")[: r["n_tokens"]] == packing.END).sum()) for r in stages[5].collect())
+    assert ends == stages[4].count()
+
+
+def test_run_is_the_stages(spark, stages):
+    assert corpus_pipeline.run(spark, SF).count() == stages[-1].count()
+
+
+def test_every_operator_is_registered():
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert set(ORACLE_SQL) <= set(QUERIES)

@@ -1,0 +1,68 @@
+import zlib
+
+import numpy as np
+
+from tallyglass.llm import quality
+from tallyglass.llm.store import table
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    rows = quality.scored(table(spark, d, "documents"), table(spark, d, "labels")).join(table(spark, d, "labels"), "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    out = [r for r in rows if r["held_out"]]
+    assert len(out) > 80 and np.mean([r["predicted"] == r["quality"] for r in out]) >= 0.97
+
+
+def test_held_out_labels_are_not_learnt(spark):
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.001"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = (sorted(map(tuple, quality.scored(docs, x).collect())) for x in (labels, turned))
+    assert a == b
+
+
+def test_isotonic_is_least_squares_monotone():
+    random = np.random.default_rng(3)
+    s = random.normal(size=300)
+    y = (random.random(300) < 1 / (1 + np.exp(-3 * s))).astype(float)
+    knots, levels = quality.isotonic(s, y)
+    assert np.all(np.diff(knots) > 0) and np.all(np.diff(levels) >= -1e-9) and levels.min() > 0 and levels.max() < 1
+
+
+def test_random_features_approximate_the_kernel():
+    random = np.random.default_rng(0)
+    n, width = 4000, quality.KERNEL_WIDTH
+    frequencies = random.standard_normal((5, n)) / width
+    phases = random.uniform(0, 2 * np.pi, n)
+    x = random.normal(size=(2, 5)) * 3
+    z = quality.design(x, 0.0, 1.0, frequencies, phases)[:, 6:]
+    assert abs(z[0] @ z[1] - np.exp(-np.sum((x[0] - x[1]) ** 2) / (2 * width**2))) < 0.06
+
+
+def test_partition_sums_are_the_whole_sum(spark):
+    d = "/root/testdata/sf0.001"
+    rows = quality.measured(table(spark, d, "documents"))
+    a = quality.fitted(rows, table(spark, d, "labels"))
+    b = quality.fitted(rows.repartition(9), table(spark, d, "labels"))
+    assert np.allclose(a.weights, b.weights) and np.array_equal(a.levels, b.levels)
+
+
+def test_edge_cases(spark, clash, no_docs):
+    labels = spark.createDataFrame([(1, 0), (2, 0), (6, 1), (9, None), (None, 1), (6, 1), (99, 1)], "doc_id long, quality int")
+    rows = quality.scored(clash, labels).collect()
+    assert len(rows) == clash.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert {r["score"] for r in quality.scored(clash, labels.limit(0)).collect()} == {1.0}
+    assert quality.scored(no_docs, labels).count() == 0
+    kept = quality.accepted(clash, labels.limit(0))
+    assert kept.columns == clash.columns and kept.count() == clash.count()
+    assert quality.accepted(no_docs, labels).count() == 0
+
+
+def test_statistics_are_finite():
+    for t in (None, "", " \n", "a", "!!!", "é" * 10, "a\n" * 5, "\x00", "x " * 50_000):
+        x = quality.statistics(t)
+        assert len(x) == len(quality.STATISTICS) and np.all(np.isfinite(x))
