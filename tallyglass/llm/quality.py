@@ -119,9 +119,20 @@ def _normal_batches(batches, mean, scale, frequencies, phases):
     yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tobytes()])], ["part", "sums"])
 
 
+def _added(batches, shape):
+    total, part = np.zeros(shape), -1
+    for b in batches:
+        for p, x in zip(b.column("part").to_pylist(), b.column("sums").to_pylist(), strict=True):
+            total += np.frombuffer(x).reshape(shape)
+            part = max(part, p)
+    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "sums"])
+
+
 def _summed(df: DataFrame, shape) -> np.ndarray:
-    """The sum of the partitions' sums, in the partitions' order: PARTS small matrices, whatever the input."""
-    rows = sorted(df.collect(), key=lambda r: r["part"])
+    """The sum of the partitions' sums, in the partitions' order. They are added on the executors to PARTS matrices at most,
+    however many partitions there are, before they come to the driver."""
+    few = df.coalesce(PARTS).mapInArrow(partial(_added, shape=shape), "part long, sums binary")
+    rows = sorted(few.collect(), key=lambda r: r["part"])
     return sum((np.frombuffer(r["sums"]).reshape(shape) for r in rows), np.zeros(shape))
 
 
