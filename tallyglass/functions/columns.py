@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from functools import reduce, wraps
 
@@ -51,9 +52,15 @@ def stripped(t: Column) -> Column:
     return substituted(t, r"^\s+|\s+$")
 
 
+def literal(rows: list, schema: str) -> Column:
+    """Rows of a vocabulary as one literal: it is parsed once, when the plan is optimised, and costs one call to build."""
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), schema)
+
+
 def replaced(t: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     """Literal replacements, one after another."""
-    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, t)
+    table = literal([{"a": a, "b": b} for a, b in pairs], "array<struct<a:string,b:string>>")
+    return F.aggregate(table, t, lambda s, p: F.replace(s, p["a"], p["b"]))
 
 
 def rules(t: Column, pairs: Iterable[tuple[str, str]]) -> Column:
@@ -65,14 +72,13 @@ def without(t: Column, characters: str) -> Column:
     return F.translate(t, characters, "")
 
 
-@bound
 def any_in(t: Column, words: Iterable[str]) -> Column:
     """Whether t contains any of the words."""
-    return reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in words))
+    return t.rlike("|".join(rf"\Q{w}\E" for w in words))
 
 
 def strings(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return literal(list(values), "array<string>")
 
 
 def cut_before(t: Column, words: Iterable[str]) -> Column:

@@ -255,7 +255,7 @@ def _resembles(t: Column, n: int):
     end, first = F.substring(t, -n, n), F.substring(t, -n, 1)
 
     def like(r: Column) -> Column:
-        return (F.abs(r["n"] - n) <= 1) & (F.substring(r["label"], 1, 1) == first) & (ratio(end, r["masks"], r["n"]) > F.when(r["n"] == 2, 49.0).otherwise(60.0))
+        return (F.abs(r["n"] - n) <= 1) & (F.substring(r["label"], 1, 1) == first) & (ratio(end, r) > F.when(r["n"] == 2, 49.0).otherwise(60.0))
 
     return like
 

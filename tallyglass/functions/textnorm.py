@@ -12,12 +12,15 @@ from tallyglass.functions import vocab as V
 from tallyglass.functions.columns import bound, replaced, rules, stripped, substituted
 
 
-@F.pandas_udf("string")
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode normal form C: the one step that Spark has no function for. Arrow batches; normal text is returned as it is."""
+def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
 
 
+def nfc(t: Column) -> Column:
+    """Unicode normal form C: the one step that Spark has no function for. Arrow batches; normal text is returned as it is."""
+    return F.pandas_udf(_composed, "string")(t)
+
+
 def digit_like(t: Column) -> Column:
     """Letters that are read for digits, as those digits."""
     return F.translate(t, *V.DIGIT_LIKE)

@@ -52,10 +52,14 @@ def has_boxes(page: Column) -> Column:
 def cleaned(df: DataFrame, words: str = "words") -> DataFrame:
     """df with each document's words normalised, noise dropped, and i dense again. One Arrow call a document does the normal form."""
     marked = F.array_join(F.transform(words, lambda w: w["text"]), MARK)
-    df = df.withColumn("_nfc", F.split(nfc(marked), MARK))
-    fresh = F.transform(words, lambda w, i: word(cleaned_word(F.get("_nfc", i)), w["x0"], w["y0"], w["x1"], w["y1"], w["confidence"], i))
-    df = df.withColumn(words, F.filter(fresh, lambda w: w["text"].isNotNull()))
-    return df.withColumn(words, numbered(F.col(words))).drop("_nfc")
+    df = df.withColumn("_nfc", nfc(marked))
+    return df.withColumn(words, numbered(_fresh(F.col(words), F.split("_nfc", MARK)))).drop("_nfc")
+
+
+@bound
+def _fresh(words: Column, texts: Column) -> Column:
+    fresh = F.transform(words, lambda w, i: word(cleaned_word(F.get(texts, i)), w["x0"], w["y0"], w["x1"], w["y1"], w["confidence"], i))
+    return F.filter(fresh, lambda w: w["text"].isNotNull())
 
 
 def full_text(words: Column) -> Column:
@@ -80,13 +84,18 @@ def layout(words: Column) -> Column:
     letter = median(F.transform(F.filter(words, lambda w: F.char_length(w["text"]) > 0), lambda w: (w["x1"] - w["x0"]) / F.char_length(w["text"])))
     height = F.coalesce(median(F.filter(F.transform(words, lambda w: w["y1"] - w["y0"]), lambda h: h > 0)), F.lit(V.LAYOUT_DEFAULT["line"]))
     inline = F.array_sort(F.transform(words, lambda w: F.struct(w["cy"].alias("cy"), w["cx"].alias("cx"), w["i"].alias("i"), w["x0"].alias("x0"), w["x1"].alias("x1"))))
+    page = V.LAYOUT_DEFAULT["page"]
+    return _layout(letter, height, inline, F.coalesce(F.array_max(F.transform(words, lambda w: w["x1"])), F.lit(page)), F.coalesce(F.array_max(F.transform(words, lambda w: w["y1"])), F.lit(page)))
+
+
+@bound
+def _layout(letter: Column, height: Column, inline: Column, width: Column, depth: Column) -> Column:
     pairs = F.arrays_zip(inline.alias("a"), F.slice(inline, F.lit(2), F.size(inline)).alias("b"))
     near = F.transform(F.filter(pairs, lambda p: F.abs(p["a"]["cy"] - p["b"]["cy"]) <= height), lambda p: p["b"]["x0"] - p["a"]["x1"])
     space = median(F.filter(near, lambda s: s > 0))
-    page = V.LAYOUT_DEFAULT["page"]
     return F.struct(
-        F.coalesce(letter, F.lit(V.LAYOUT_DEFAULT["char"])).alias("avg_char_width"), height.alias("avg_line_height"), F.coalesce(space, F.lit(V.LAYOUT_DEFAULT["space"])).alias("avg_word_spacing"),
-        F.coalesce(F.array_max(F.transform(words, lambda w: w["x1"])), F.lit(page)).alias("page_width"), F.coalesce(F.array_max(F.transform(words, lambda w: w["y1"])), F.lit(page)).alias("page_height"),
+        F.coalesce(letter, F.lit(V.LAYOUT_DEFAULT["char"])).alias("avg_char_width"), height.alias("avg_line_height"),
+        F.coalesce(space, F.lit(V.LAYOUT_DEFAULT["space"])).alias("avg_word_spacing"), width.alias("page_width"), depth.alias("page_height"),
     )
 
 
@@ -99,6 +108,7 @@ def thresholds(layout_: Column) -> Column:
     )
 
 
+@bound
 def lines_by_head(words: Column, same_line: Column) -> Column:
     """Lines as arrays of words from left to right: a word joins while it is near the line's first word in height."""
     ordered = F.array_sort(F.transform(words, lambda w: F.struct(w["cy"].alias("cy"), w["i"].alias("i"), w.alias("w"))))

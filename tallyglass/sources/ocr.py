@@ -31,10 +31,15 @@ BROKEN = "_corrupt_record"
 def documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """(doc_id, page, broken) of each JSON file under path, or of one file: its first page, and its text if it isn't valid JSON. Ids are the
     files' names without .json. No schema is inferred, so files are read once."""
-    schema = T.StructType([*DOCUMENT.fields, T.StructField(BROKEN, T.StringType())])
-    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).option("pathGlobFilter", glob).json(path)
+    raw = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
-    return raw.select(stem.alias("doc_id"), F.get("pages", F.lit(0)).alias("page"), F.col(BROKEN).alias("broken"))
+    return _read(raw.select(stem.alias("doc_id"), F.col("value").alias("json")), "json")
+
+
+def _read(rows: DataFrame, column: str) -> DataFrame:
+    schema = T.StructType([*DOCUMENT.fields, T.StructField(BROKEN, T.StringType())])
+    parsed = rows.select("doc_id", F.from_json(F.col(column), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}).alias("d"))
+    return parsed.select("doc_id", F.get("d.pages", F.lit(0)).alias("page"), F.col(f"d.{BROKEN}").alias("broken"))
 
 
 def valid(docs: DataFrame) -> DataFrame:
@@ -47,9 +52,7 @@ def broken(docs: DataFrame) -> DataFrame:
 
 def pasted(rows: DataFrame, column: str = "json") -> DataFrame:
     """(doc_id, page, broken) of a column of JSON texts; ids are digests of the texts."""
-    schema = T.StructType([*DOCUMENT.fields, T.StructField(BROKEN, T.StringType())])
-    read = F.from_json(F.col(column), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
-    return rows.select(F.sha2(column, 256).alias("doc_id"), read.alias("d")).select("doc_id", F.get("d.pages", F.lit(0)).alias("page"), F.col(f"d.{BROKEN}").alias("broken"))
+    return _read(rows.select(F.sha2(column, 256).alias("doc_id"), column), column)
 
 
 def mentions_boxes(json_text):
@@ -74,9 +77,9 @@ def answer_rows(rows: DataFrame, column: str) -> DataFrame:
     line = section.select("sample", F.posexplode(F.split("section", r"\n")).alias("line_no", "line")).where(F.contains("line", F.lit("|")))
     cells = F.transform(F.split("line", r"\|"), lambda c: F.trim(F.regexp_replace(c, "\r", "")))
     cells = F.when(F.get(cells, F.lit(0)) == "", F.slice(cells, F.lit(2), F.size(cells))).otherwise(cells)
-    cells = F.when(F.element_at(cells, -1) == "", F.slice(cells, F.lit(1), F.size(cells) - 1)).otherwise(cells)
+    cells = F.when(F.try_element_at(cells, F.lit(-1)) == "", F.slice(cells, F.lit(1), F.size(cells) - 1)).otherwise(cells)
     table = line.withColumn("cells", cells).where(F.size("cells") >= 2)
-    field, last = F.get("cells", F.lit(0)), F.nullif(F.element_at("cells", -1), F.lit("-"))
+    field, last = F.get("cells", F.lit(0)), F.nullif(F.try_element_at("cells", F.lit(-1)), F.lit("-"))
     answer = F.when(field.isin(*V.RANGES), F.replace(last, F.lit(","), F.lit(""))).otherwise(last)
     out = table.select("sample", field.alias("field"), answer.alias("answer"), "line_no").where("field <> '필드' AND NOT field RLIKE '^[- :]*$'")
     return out.groupBy("sample", "field").agg(F.max_by("answer", "line_no").alias("answer"))
