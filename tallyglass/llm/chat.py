@@ -71,7 +71,7 @@ def assembled(conv: np.ndarray, roles: pa.Array, texts: pa.Array) -> tuple[pa.Ar
     bounds = np.append(starts[first, 0], total)
     formatted = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(bounds.astype(np.int64)), buffer])
     spans = []
-    for run, (a, b) in enumerate(zip(first, np.append(first[1:], n), strict=True)):
+    for run, (a, b) in enumerate(zip(first, np.append(first[1:], n)[: len(first)], strict=True)):
         rows = np.flatnonzero(learnt[a:b]) + a
         spans.append(list(zip((starts[rows, 3] - bounds[run]).tolist(), (ends[rows, 3] - bounds[run]).tolist(), strict=True)))
     return formatted, spans, first

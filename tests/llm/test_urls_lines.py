@@ -52,3 +52,13 @@ def test_html_lines(spark):
     df = spark.createDataFrame([(1, "http://h/x", page), (2, None, None)], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in linededup.cleaned_pages(df).collect()}
     assert got == {1: "One twothree\na\nb\ntail\nend", 2: ""}
+
+
+def test_many_hosts_are_joined_by_salted_copies(spark, monkeypatch):
+    from tallyglass.llm import store
+
+    df = spark.createDataFrame([(i, f"h{i % 3}", ["menu", f"own {i}"]) for i in range(60)], "id long, host string, lines array<string>")
+    want = sorted(map(tuple, linededup.without_boilerplate(df).select("id", "dropped").collect()))
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, linededup.without_boilerplate(df).select("id", "dropped").collect())) == want
+    assert all(n == 1 for _, n in want)
