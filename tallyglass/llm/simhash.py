@@ -24,6 +24,8 @@ SEED = 42
 WIDTH, CHUNK = 3, 1 << 15
 #: A key shared by more fingerprints than this is not expanded into pairs.
 CROWD = 16
+#: The same for the keys of wide fingerprints, of which two rows share many.
+WIDE_CROWD = 4
 
 
 def shingle_hashes(text: bytes | None, width: int):
@@ -197,12 +199,12 @@ def with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y")
 
 
-def close_pairs(marked: DataFrame, crowd: int = CROWD) -> DataFrame:
+def close_pairs(marked: DataFrame, crowd: int = WIDE_CROWD) -> DataFrame:
     """Pairs (a, b), a < b, of rows of marked (key, segments, unsure) that share a key of wide_keys and whose wide fingerprints
     are not far apart.
 
     Rows under a key that at most `crowd` share are paired. A fuller key is split by the segment that follows; there, each row is paired with
-    one that a digest picks anew for each key, and those with one of the whole key, which keeps the work linear.
+    one that a digest picks anew for each segment, and those with one of the whole key, which keeps the work linear.
     """
     keyed = marked.select("key", F.explode(wide_keys(F.col("segments"), F.col("unsure"))).alias("s")).select("key", "s.k", "s.next")
     sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
@@ -210,10 +212,11 @@ def close_pairs(marked: DataFrame, crowd: int = CROWD) -> DataFrame:
     pair = F.explode(F.expr("flatten(transform(all, (a, i) -> transform(slice(all, i + 2, size(all)), b -> struct(a, b))))"))
     few = met.where(F.col("n") <= crowd).groupBy("k").agg(F.sort_array(F.collect_list("key")).alias("all")).select(pair.alias("p")).select("p.a", "p.b")
     crowded = met.where(F.col("n") > crowd)
-    pick = F.min_by("key", F.xxhash64("k", "key"))
+    place = F.shiftright("k", 40)
+    pick = F.min_by("key", F.xxhash64(place, "key"))
     heads = crowded.groupBy("k", "next").agg(pick.alias("head"))
     stars = crowded.join(heads, ["k", "next"]).select(F.col("head").alias("a"), F.col("key").alias("b"))
-    tops = heads.groupBy("k").agg(F.min_by("head", F.xxhash64("k", "head")).alias("top")).join(heads, "k").select(F.col("top").alias("a"), F.col("head").alias("b"))
+    tops = heads.groupBy("k").agg(F.min_by("head", F.xxhash64(place, "head")).alias("top")).join(heads, "k").select(F.col("top").alias("a"), F.col("head").alias("b"))
     pairs = few.unionByName(stars).unionByName(tops).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
     close = saved(with_both(pairs, marked, "segments").where(apart <= FAR_APART * SEGMENTS * BITS).select("a", "b"), "close")
