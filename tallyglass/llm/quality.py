@@ -92,7 +92,7 @@ def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nda
     centre = np.array([b[2] for b in blocks]) / n
     level = np.array([b[0] for b in blocks]) / n
     prior = (labels.sum() + 1) / (len(labels) + 2)
-    return centre, (level * n + prior) / (n + 1)
+    return centre, np.maximum.accumulate((level * n + prior) / (n + 1))
 
 
 def _statistic_batches(batches, keep):
