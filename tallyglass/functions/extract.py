@@ -147,25 +147,28 @@ def company(text: Column) -> Column:
     """By label, else before an honorific, else by the sign of a corporation after or before the name."""
     t = no_dot_runs(text)
     labelled = without(stripped(cut_before(stripped(found(t, V.COMPANY_LABELLED, 2)), V.COMPANY_STOPS)), " ")
-    polite = stripped(found(t, V.COMPANY_HONORIFIC, 1))
+    polite_text = F.when(F.contains(t, F.lit("귀하")), t).otherwise("")
+    polite = stripped(found(polite_text, V.COMPANY_HONORIFIC, 1))
     several = F.size(F.split(polite, pattern(r"\s+"))) > 3
     polite_value = F.when(several, _last_words(polite)).when(~F.contains(polite, F.lit("보관용")), empty_to_null(polite))
-    after = F.transform(all_found(t, V.CORP_AFTER, 1), lambda x: _last_words(stripped(x)))
+    # The sign is looked for first: without it the patterns would try every run of letters from each of its starts.
+    signed = F.when(F.contains(t, F.lit("(주)")), t).otherwise("")
+    after = F.transform(all_found(signed, V.CORP_AFTER, 1), lambda x: _last_words(stripped(x)))
     after = F.transform(after, lambda x: F.struct(x.alias("core"), F.concat(x, F.lit("(주)")).alias("full")))
     after = first_where(after, lambda x: valid_company(x["core"], x["full"]))
 
     def named(x: Column) -> Column:
         return _prefixed(reduce(_cut_at, V.PREFIX_STOPS, stripped(x)))
 
-    before = F.transform(all_found(t, V.CORP_BEFORE, 1), named)
+    before = F.transform(all_found(signed, V.CORP_BEFORE, 1), named)
     before = first_where(before, lambda x: ~matches(x["core"], r"^[\d\s-]+$") & valid_company(x["core"], x["full"]))
-    return F.when(F.char_length(labelled) >= 2, labelled).when(matches(t, V.COMPANY_HONORIFIC), polite_value).otherwise(F.coalesce(after["full"], before["full"]))
+    return F.when(F.char_length(labelled) >= 2, labelled).when(matches(polite_text, V.COMPANY_HONORIFIC), polite_value).otherwise(F.coalesce(after["full"], before["full"]))
 
 
 @bound
 def issuer(text: Column, company_: Column) -> Column:
     """The first corporation of a line that is valid and not the company."""
-    lines = F.split(no_dot_runs(text), "\n")
+    lines = F.filter(F.split(no_dot_runs(text), "\n"), lambda x: F.contains(x, F.lit("(주)")))
     names = F.flatten(F.transform(lines, lambda x: F.concat(all_found(x, V.ISSUER_BEFORE, 1), all_found(x, V.ISSUER_AFTER, 1))))
     stops = [s.replace(" ", "") for s in V.ISSUER_STOPS]
 
