@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.store import batches_of, saved, small
+from tallyglass.llm.store import batches_of, looked_up, saved
 from tallyglass.llm.urlfilter import host_of
 
 #: A subtree is template if it stands on more than this share of a host's different articles; hosts with fewer are left alone.
@@ -274,5 +274,6 @@ def extracted(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_P
     rows; other columns are not read.
     """
     found = saved(templates(pages, ratio, least_pages), "templates")
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(small(found), "host", "left")
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    rows = looked_up(rows, found, "host")
     return rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "template").mapInArrow(_text_batches, "page_id long, url string, text string, n_chars long")

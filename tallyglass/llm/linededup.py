@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.store import saved
+from tallyglass.llm.store import looked_up, saved
 from tallyglass.llm.urlfilter import host_of
 
 #: A line is boilerplate if it stands on more than this share of a host's pages; hosts of fewer pages are left alone.
@@ -44,8 +44,8 @@ def without_boilerplate(rows: DataFrame, ratio: float = RATIO, least_pages: int
     pages = marked.groupBy("site").agg(F.count("*").alias("pages"))
     counts = marked.select("site", F.explode("marks").alias("mark")).groupBy("site", "mark").agg(F.count("*").alias("n"))
     common = counts.where("n > 1" if least_pages > 1 else "true").join(pages, "site").where((F.col("pages") >= least_pages) & (F.col("n") > F.col("pages") * ratio))
-    lists = common.groupBy("site").agg(F.collect_list("mark").alias("common"))
-    joined = marked.select("id", "host", "lines", "site").join(lists, "site", "left")
+    lists = saved(common.groupBy("site").agg(F.collect_list("mark").alias("common")), "common")
+    joined = looked_up(marked.select("id", "host", "lines", "site"), lists, "site")
     kept = F.when(F.col("common").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: x.isNull() | ~F.array_contains("common", F.md5(x))))
     return joined.select("id", "host", kept.alias("kept"), (F.size("lines") - F.size(kept)).cast("long").alias("dropped"))
 

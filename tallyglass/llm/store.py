@@ -52,6 +52,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Parts that each key's rows are dealt to where a join can't broadcast.
+SALTS = 32
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with the columns of right (one row a key) or nulls. right is broadcast if its counted rows are few; else it is copied SALTS
+    times and left's rows are dealt to the copies, so that no key's rows are one task's work."""
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, "left")
+    dealt = left.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def batches_of(spark: SparkSession, rows: int) -> None:
     """Bound the rows of an Arrow batch sent to Python, unless the session asks for fewer already."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
