@@ -31,7 +31,7 @@ BROKEN = "_corrupt_record"
 def documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """(doc_id, page, broken) of each JSON file under path, or of one file: its first page, and its text if it isn't valid JSON. Ids are the
     files' names without .json. No schema is inferred, so files are read once."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    raw = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
     return _read(raw.select(stem.alias("doc_id"), F.col("value").alias("json")), "json")
 
@@ -68,7 +68,7 @@ def texts(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def answers(spark: SparkSession, path: str) -> DataFrame:
     """(sample, field, answer) of markdown answer tables: a section for each sample, the last cell of a row its answer, - none."""
-    return answer_rows(spark.read.option("wholetext", True).text(path), "value")
+    return answer_rows(spark.read.text(path, wholetext=True), "value")
 
 
 def answer_rows(rows: DataFrame, column: str) -> DataFrame:

@@ -39,7 +39,7 @@ EDGES = {"pages": [{"words": [{"text": ""}, {"text": "a"}, {"text": "b", "boundi
 
 def write(folder, **docs):
     for name, d in docs.items():
-        (folder / f"{name}.json").write_text(d if isinstance(d, str) else json.dumps(d, ensure_ascii=False), encoding="utf-8")
+        (folder / f"{name}.json").write_text(d if isinstance(d, str) else json.dumps(d, ensure_ascii=False, indent=2), encoding="utf-8")
     return str(folder)
 
 

@@ -75,6 +75,11 @@ def test_duplicates_and_reconciliation(spark):
 MD = "# x\n## sample_01.json\n| 필드 | 정답 |\n|---|---|\n| date | 2024.05.01 |\n| total_weight | 12,480 |\n| company | - |\n---\n## sample_02_noisy.json\r\n| gps | raw | 37.1, 127.2 |\n---\nnothing | here"
 
 
+def test_answer_files(spark, tmp_path):
+    (tmp_path / "answer.md").write_text(MD, encoding="utf-8")
+    assert ocr.answers(spark, str(tmp_path / "answer.md")).count() == 4
+
+
 def test_answers_and_match_rate(spark):
     a = ocr.answer_rows(spark.createDataFrame([(MD,)], "md string"), "md")
     assert sorted(tuple(r) for r in a.collect()) == [("sample_01", "company", None), ("sample_01", "date", "2024.05.01"), ("sample_01", "total_weight", "12480"), ("sample_02_noisy", "gps", "37.1, 127.2")]
