@@ -46,6 +46,12 @@ def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- whole documents ----
 
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over a few tasks a core: tickets take long to read and little room, so a small file would keep one core busy."""
+    return docs.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
+
+
 _SCORES = """
   round_even((dc * 1.0 + 100.0 + CASE WHEN ok THEN (tc * 1.5 + ac * 1.0 + nc * 1.5) ELSE 0 END + 40.0) / (CASE WHEN ok THEN 6.4 ELSE 2.4 END), 2)::DOUBLE AS overall_confidence"""
 _SCORED = f"""
@@ -71,7 +77,7 @@ SELECT doc_id, y || '-' || m || '-' || d AS date, plate AS vehicle_num, CASE WHE
   NULL::VARCHAR AS issuer, NULL::VARCHAR AS phone, NULL::VARCHAR AS ticket_id FROM r""")
 def box_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets of boxed words to scored records: scan, cleaning, layout, labels, neighbours, strategies, vote, cascades, scoring."""
-    out = parsed(boxed_tickets(spark, sf_dir), Options(as_of=AS_OF))
+    out = parsed(spread(boxed_tickets(spark, sf_dir)), Options(as_of=AS_OF))
     return out.select("doc_id", "date", "vehicle_num", *V.RANGES, "company", "product", "overall_confidence", "review_priority", F.array_join("issues", "|").alias("issues"), "issuer", "phone", "ticket_id")
 
 
@@ -83,7 +89,7 @@ SELECT doc_id, y || '-' || m || '-' || d AS date, plate AS vehicle_num, total AS
   {_SCORES.strip()} FROM s""")
 def text_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain ticket texts to scored records, without a shuffle."""
-    docs = ocr.texts(frame(spark, sf_dir, TICKET_TEXTS, "orders"), "doc_id", "text")
+    docs = ocr.texts(spread(frame(spark, sf_dir, TICKET_TEXTS, "orders")), "doc_id", "text")
     out = parsed(docs, Options(as_of=AS_OF))
     return out.select("doc_id", "date", "vehicle_num", *V.RANGES, "company", "product", "type", "phone", "gps.latitude", "gps.longitude", "overall_confidence")
 
@@ -91,7 +97,7 @@ def text_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text through the text route; held against the fixtures' expectations in tests."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
     return scored(from_text(docs), Options(as_of=AS_OF)).select("doc_id", *V.FIELDS, "overall_confidence", "review_priority")
 
 
