@@ -3,11 +3,12 @@
 A fingerprint of d segments is indexed under each segment with one bit left out. Fingerprints that differ in at most
 2 * segments - 1 bits agree on some segment but for one bit, so they meet under that segment's key. Equal keys make
 candidates, which are then verified. A key under which many fingerprints meet is never expanded into pairs:
-`linked_fingerprints` resolves such fingerprints exactly through shared centres, `near_pairs` splits the key further.
+`linked_fingerprints` resolves such fingerprints exactly through shared centres. `deduplicated` searches shingle sets instead.
 """
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
@@ -17,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm.components import components
-from tallyglass.llm.store import batches_of, dropped, saved
+from tallyglass.llm.store import batches_of, saved
 
 SEED = 42
 #: Words of a shingle and shingles hashed at a time; the latter bounds a worker's memory for any text length.
 WIDTH, CHUNK = 3, 1 << 15
 #: A key shared by more fingerprints than this is not expanded into pairs.
 CROWD = 16
-#: The same for the keys of wide fingerprints, of which two rows share many.
+#: The same for values of shingle sets' prefixes, of which two rows share many; rows of fuller ones are compared in blocks.
 WIDE_CROWD = 4
 
 
@@ -124,61 +125,90 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, distance: int = 2) -> D
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-# ---- wide fingerprints, for similarities that 64 bits cannot tell ----
+# ---- wide fingerprints ----
 
-#: Segments of a wide fingerprint and bits of a segment; bits of each segment that are left out, least certain first.
-SEGMENTS, BITS, LEFT_OUT = 24, 24, 2
-#: Words of the shingles that a wide fingerprint is made of: shorter ones move less under an edit.
+#: Segments of a wide fingerprint and bits of a segment.
+SEGMENTS, BITS = 24, 24
+#: Words of the shingles that a wide fingerprint is made of.
 WIDE_WIDTH = 2
-#: Candidates further apart than this share of the bits are not verified: far beyond what a Jaccard similarity of 0.8 gives.
-FAR_APART = 0.16
 _SALTS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(SEGMENTS * BITS // 64)], np.uint64)
 
 
 def wide_margins(text: bytes | None) -> np.ndarray:
-    """For each of the bits: shingles that set it less shingles that don't."""
-    ones, n = np.zeros(len(_SALTS) * 64, np.int64), 0
-    for h in shingle_hashes(text, WIDE_WIDTH):
-        for at in range(0, len(h), 4096):
-            part = h[at : at + 4096]
-            x = part[:, None] ^ _SALTS
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            ones += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            n += len(part)
-    return 2 * ones - n
-
-
-def _wide_batches(batches):
-    weight = 1 << np.arange(BITS, dtype=np.int64)
+    """For each of the bits: distinct shingles that set it less those that don't. No search reads it: `deduplicated` compares sets."""
+    ones, h = np.zeros(len(_SALTS) * 64, np.int64), shingle_set(text, WIDE_WIDTH)
+    for at in range(0, len(h), 4096):
+        x = h[at : at + 4096][:, None] ^ _SALTS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return 2 * ones - len(h)
+
+
+# ---- an exact search by Jaccard similarity of shingle sets ----
+
+#: Bits of a text's parity map: bit b is the parity of the shingles whose hash ends in b, so maps differ in no more bits than sets differ in shingles.
+PARITY = 1024
+#: Texts looked at for usual shingles, and most of these that are kept. They order the search and never change its result.
+LOOKED_AT, USUAL = 2000, 50_000
+#: Rows whose parity maps are compared with all others of a key at a time.
+BLOCK = 256
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """Sorted distinct shingle hashes."""
+    return np.unique(np.concatenate([*shingle_hashes(text, width), np.zeros(0, np.uint64)]))
+
+
+def parity(h: np.ndarray) -> np.ndarray:
+    odd = (np.bincount((h % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def prefix(h: np.ndarray, usual: np.ndarray, similarity: float) -> np.ndarray:
+    """The first values of a set in an order that all sets share (unusual ones by value, then usual ones, the most usual last), as many as
+    its size less those it must share with any set of that similarity, plus one: such sets hold a value of each other's prefix. An empty set has the value 0."""
+    if not len(h):
+        return np.zeros(1, np.int64)
+    ordered = h
+    if len(usual):
+        by = np.argsort(usual)
+        spot = by[np.minimum(np.searchsorted(usual, h, sorter=by), len(usual) - 1)]
+        known = usual[spot] == h
+        ordered = np.concatenate([h[~known], usual[np.sort(spot[known])[::-1]]])
+    return ordered[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64)
+
+
+def _marked_batches(batches, width, similarity, usual):
     for b in batches:
-        segments, unsure = [], []
+        sizes, bits, first = [], [], []
         for t in _texts(b):
-            m = wide_margins(t).reshape(SEGMENTS, BITS)
-            segments.append(((m > 0) * weight).sum(axis=1).astype(np.int32))
-            unsure.append(np.argsort(np.abs(m), axis=1, kind="stable")[:, :LEFT_OUT].astype(np.int32).reshape(-1))
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(x) if x else np.zeros(0, np.int32)), n).cast(pa.list_(pa.int32())) for x, n in ((segments, SEGMENTS), (unsure, SEGMENTS * LEFT_OUT))]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "none", "id")), *columns], ["key", "none", "id", "segments", "unsure"])
+            h = shingle_set(t, width)
+            sizes.append(len(h))
+            bits.append(parity(h))
+            first.append(prefix(h, usual, similarity))
+        bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)), PARITY // 64).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "none", "id")), pa.array(sizes, pa.int32()), bits, pa.array(first, pa.list_(pa.int64()))], ["key", "none", "id", "size", "bits", "prefix"])
 
 
-def wide_keys(segments: Column, unsure: Column) -> Column:
-    """(k, next) for each segment whole and with each of its unsure bits left out; next: the segment after it, whole."""
-    def of(part: Column, i: Column) -> Column:
-        after = F.get(segments, (i + 1) % SEGMENTS)
-        spot = lambda j: F.get(unsure, i * LEFT_OUT + j)
-        left = F.lit(1).cast("bigint")
-        place = i.cast("bigint") * (1 << 40)
-        whole = F.struct((place + part).alias("k"), after.alias("next"))
-        gone = [F.struct((place + (spot(j) + 1).cast("bigint") * (1 << 32) + part.cast("bigint").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", left, spot(j))))).alias("k"), after.alias("next")) for j in range(LEFT_OUT)]
-        return F.array(whole, *gone)
+def _value_batches(batches, width):
+    for b in batches:
+        for t in _texts(b):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, width).view(np.int64))], ["v"])
+
 
-    return F.flatten(F.transform(segments, of))
+def usual_shingles(rows: DataFrame, width: int) -> np.ndarray:
+    """Shingles that several of some 2,000 texts hold, the most usual first."""
+    part = max(1, rows.count() // LOOKED_AT)
+    values = rows.where(F.pmod(F.col("key"), F.lit(part)) == 0).select("text").distinct().mapInArrow(partial(_value_batches, width=width), "v long")
+    counted = values.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "v").limit(USUAL)
+    return np.array([r["v"] for r in counted.collect()], np.int64).view(np.uint64)
 
 
 def _set_batches(batches, width):
-    """Sorted distinct 32-bit shingle hashes of each text, as bytes."""
+    """Sorted distinct shingle hashes of each text, as bytes."""
     for b in batches:
-        out = [np.unique(np.concatenate([(h >> np.uint64(32)).astype(np.uint32) for h in shingle_hashes(t, width)] or [np.zeros(0, np.uint32)])).tobytes() for t in _texts(b)]
+        out = [shingle_set(t, width).tobytes() for t in _texts(b)]
         yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.binary())], ["key", "shingles"])
 
 
@@ -186,9 +216,9 @@ def _similar_batches(batches, similarity):
     for b in batches:
         keep = []
         for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= similarity * (len(x) + len(y) - both))
+            keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -199,58 +229,101 @@ def with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y")
 
 
-def close_pairs(marked: DataFrame, crowd: int = WIDE_CROWD) -> DataFrame:
-    """Pairs (a, b), a < b, of rows of marked (key, segments, unsure) that share a key of wide_keys and whose wide fingerprints
-    are not far apart.
-
-    Rows under a key that at most `crowd` share are paired. A fuller key is split by the segment that follows; there, each row is paired with
-    one that a digest picks anew for each segment, and those with one of the whole key, which keeps the work linear.
+def _may_share(size_a, at_a, size_b, at_b, similarity):
+    """Whether sets of these sizes can be similar if the value at these places is the first they share."""
+    least = F.least if isinstance(size_a, Column) else np.minimum
+    return least(size_a - at_a, size_b - at_b) >= (size_a + size_b) * (similarity / (1 + similarity)) - 1e-6
+
+
+def _apart(size_a, size_b, similarity):
+    """Most shingles that only one of two similar sets of these sizes holds."""
+    return (size_a + size_b) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def _key_pairs(t: pa.Table, similarity) -> pa.Table:
+    """Pairs of a key's rows of different roots whose sizes, places and parity maps allow the similarity, a block of rows at a time."""
+    key, root, size, at = (t.column(c).to_numpy() for c in ("key", "root", "size", "at"))
+    bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
+    order = np.argsort(size, kind="stable")
+    key, root, size, at, bits = key[order], root[order], size[order].astype(np.int64), at[order].astype(np.int64), bits[order]
+    a, b = [], []
+    for i in range(0, len(key), BLOCK):
+        end = np.searchsorted(size, size[min(i + BLOCK, len(key)) - 1] / similarity + 1e-6, side="right")
+        for j in range(i, end, BLOCK):
+            x, y = slice(i, i + BLOCK), slice(j, min(j + BLOCK, end))
+            fits = (root[x, None] != root[None, y]) & _may_share(size[x, None], at[x, None], size[None, y], at[None, y], similarity)
+            p, q = np.nonzero(fits)
+            p, q = p[p + i < q + j] + i, q[p + i < q + j] + j
+            near = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64) <= _apart(size[p], size[q], similarity)
+            a.append(key[p[near]])
+            b.append(key[q[near]])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def close_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The distinct pairs (a, b) whose parity maps allow the similarity."""
+    both = with_both(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts.select("key", F.struct("size", "bits").alias("m")), "m")
+    odd = F.aggregate(F.zip_with("x.bits", "y.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    return both.where(odd <= _apart(F.col("x.size"), F.col("y.size"), similarity)).select("a", "b")
+
+
+def linked_texts(texts: DataFrame, verified, similarity: float, crowd: int = WIDE_CROWD) -> DataFrame:
+    """Links (a, b) between rows of texts (key, size, bits, prefix) that connect exactly those that a chain of similar pairs connects.
+    verified(pairs) gives the similar ones of (a, b).
+
+    Similar sets share a value of their prefixes. Rows under a value that at most `crowd` share are paired. Under a fuller one, each is first paired with a head
+    that a digest picks, which links most of a group of copies; then all pairs of rows that are still in different components are
+    compared, a key in a task and in blocks. So no pair is left out that could connect anything.
     """
-    keyed = marked.select("key", F.explode(wide_keys(F.col("segments"), F.col("unsure"))).alias("s")).select("key", "s.k", "s.next")
+    keyed = texts.select("key", "size", F.posexplode("prefix").alias("at", "k"))
     sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     met = saved(keyed.join(sizes, "k"), "met")
+    few = met.where(F.col("n") <= crowd).groupBy("k").agg(F.collect_list(F.struct("key", "size", "at")).alias("all"))
     pair = F.explode(F.expr("flatten(transform(all, (a, i) -> transform(slice(all, i + 2, size(all)), b -> struct(a, b))))"))
-    few = met.where(F.col("n") <= crowd).groupBy("k").agg(F.sort_array(F.collect_list("key")).alias("all")).select(pair.alias("p")).select("p.a", "p.b")
+    few = few.select(pair.alias("p")).select("p.a", "p.b").where(_may_share(F.col("a.size"), F.col("a.at"), F.col("b.size"), F.col("b.at"), similarity)).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
     crowded = met.where(F.col("n") > crowd)
-    place = F.shiftright("k", 40)
-    pick = F.min_by("key", F.xxhash64(place, "key"))
-    heads = crowded.groupBy("k", "next").agg(pick.alias("head"))
-    stars = crowded.join(heads, ["k", "next"]).select(F.col("head").alias("a"), F.col("key").alias("b"))
-    tops = heads.groupBy("k").agg(F.min_by("head", F.xxhash64(place, "head")).alias("top")).join(heads, "k").select(F.col("top").alias("a"), F.col("head").alias("b"))
-    pairs = few.unionByName(stars).unionByName(tops).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    close = saved(with_both(pairs, marked, "segments").where(apart <= FAR_APART * SEGMENTS * BITS).select("a", "b"), "close")
-    dropped(met)
-    return close
+    heads = crowded.groupBy("k").agg(F.min_by("key", F.xxhash64(F.col("k").bitwiseAND(F.lit(3)), "key")).alias("head"))
+    stars = crowded.join(heads, "k").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    links = saved(verified(close_pairs(few.unionByName(stars), texts, similarity)), "links")
+    found = saved(components(links), "found")
+    rooted = crowded.join(found, crowded["key"] == found["node"], "left").select("k", "key", "size", "at", F.coalesce("root", "key").alias("root"))
+    mixed = rooted.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k")
+    left = rooted.join(mixed, "k").join(texts.select("key", "bits"), "key").select("k", "key", "root", "size", "at", "bits")
+    rest = left.groupBy("k").applyInArrow(lambda t: _key_pairs(t, similarity), "a long, b long").distinct()
+    return links.unionByName(saved(verified(rest), "links"))
 
 
 def deduplicated(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """docs with one row of each group of near copies: the one with the smallest doc_id.
 
     Equal texts (null counts as empty) share a group. Different texts are linked if the Jaccard similarity of their
-    sets of `width`-word shingles is `similarity` or more: candidates come from wide fingerprints, the sets decide. Chains of links make
+    sets of `width`-word shingles is `similarity` or more: every such pair is a candidate or already connected, and the sets decide. Chains of links make
     a group. Rows alike in doc_id and text leave one. A null doc_id counts as larger than all others. Columns of docs are kept as they
-    are, whatever their names. An empty table stays empty. Texts are known by a 64-bit digest of their SHA-256.
+    are, whatever their names. An empty table stays empty. Texts are known by a 64-bit digest of their SHA-256, shingles by 64 bits.
     """
     spark = docs.sparkSession
     batches_of(spark, 1000)
     body = F.coalesce("text", F.lit(""))
     named = [F.xxhash64(F.sha2(body, 256)).alias("key"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")]
     rows = docs.select(*named, body.alias("text"))
-    marked = rows.mapInArrow(_wide_batches, "key long, none boolean, id long, segments array<int>, unsure array<int>")
+    marked = rows.mapInArrow(partial(_marked_batches, width=width, similarity=similarity, usual=usual_shingles(rows, width)), "key long, none boolean, id long, size int, bits array<long>, prefix array<long>")
     first = F.min(F.struct("none", "id")).alias("first")
-    texts = marked.groupBy("key", "none", "id").agg(F.count("*").alias("n"), F.any_value("segments").alias("segments"), F.any_value("unsure").alias("unsure"))
-    texts = texts.groupBy("key").agg(first, F.max("n").alias("n"), F.any_value("segments").alias("segments"), F.any_value("unsure").alias("unsure"))
-    texts = saved(texts.select("key", "first.none", "first.id", "n", "segments", "unsure"), "texts")
+    marks = [F.any_value(c).alias(c) for c in ("size", "bits", "prefix")]
+    texts = marked.groupBy("key", "none", "id").agg(F.count("*").alias("n"), *marks)
+    texts = texts.groupBy("key").agg(first, F.max("n").alias("n"), *marks)
+    texts = saved(texts.select("key", "first.none", "first.id", "n", "size", "bits", "prefix"), "texts")
     repeated = not texts.where("n > 1").isEmpty()
-    close = close_pairs(texts.select("key", "segments", "unsure"))
-    wanted = close.select(F.col("a").alias("key")).unionByName(close.select(F.col("b").alias("key"))).distinct()
-    wanted = texts.select("key", "none", "id").join(wanted, "key", "left_semi")
-    sets = rows.join(wanted, ["key", "none", "id"], "left_semi").select("key", "text").mapInArrow(partial(_set_batches, width=width), "key long, shingles binary")
-    sets = saved(sets.dropDuplicates(["key"]) if repeated else sets, "sets")
-    links = with_both(close, sets, "shingles").mapInArrow(partial(_similar_batches, similarity=similarity), "a long, b long")
-    found = components(links)
-    dropped(sets)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        close = saved(pairs, "close")
+        wanted = close.select(F.col("a").alias("key")).unionByName(close.select(F.col("b").alias("key"))).distinct()
+        wanted = texts.select("key", "none", "id").join(wanted, "key", "left_semi")
+        sets = rows.join(wanted, ["key", "none", "id"], "left_semi").select("key", "text").mapInArrow(partial(_set_batches, width=width), "key long, shingles binary")
+        sets = saved(sets.dropDuplicates(["key"]) if repeated else sets, "sets")
+        return with_both(close, sets, "shingles").mapInArrow(partial(_similar_batches, similarity=similarity), "a long, b long")
+
+    found = components(linked_texts(texts, verified, similarity))
     grouped = texts.join(found, texts["key"] == found["node"], "left").select("key", "none", "id", F.coalesce("root", "key").alias("root"))
     best = grouped.groupBy("root").agg(F.min(F.struct("none", "id", "key")).alias("b")).select("b.key", "b.none", "b.id")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *named)

@@ -152,3 +152,34 @@ def test_wide_margins_are_counts():
     m = simhash.wide_margins(b"a b c d")
     assert m.shape == (simhash.SEGMENTS * simhash.BITS,)
     assert np.all(np.abs(m) <= 3) and np.all(m % 2 == 1)
+
+
+def kept_by_brute_force(texts):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.lower().split()) for i, t in texts.items())}
+    alike = lambda a, b: min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b)
+    linked = [(a, b) for a, b in itertools.combinations(texts, 2) if alike(sets[a], sets[b])]
+    return sorted(set(roots(texts, linked).values()))
+
+
+def kept(make_docs, texts):
+    return sorted(r["doc_id"] for r in simhash.deduplicated(make_docs([(i, t, "en", "s", 0) for i, t in texts.items()])).collect())
+
+
+def test_appended_cut_and_replaced_copies_from_the_least_similarity_up(make_docs):
+    random.seed(21)
+    new = lambda n: [f"u{random.getrandbits(40)}" for _ in range(n)]
+    texts = {}
+    for size in (24, 104, 404, 1004):
+        for share in (0.10, 0.15, 0.2, 0.24, 0.25, 0.26):
+            for _ in range(4):
+                base, block = new(size), int(share * (size - 4))
+                at = random.randrange(size - block)
+                changed = base[:at] + new(block // 2) + base[at + block // 2 :]
+                for t in (base, base + new(block), changed):
+                    texts[len(texts)] = " ".join(t)
+                other = new(size)
+                texts[len(texts)] = " ".join(other)
+                texts[len(texts)] = " ".join(other[: len(other) - int(share * 0.8 * size)])
+    least = {i: jaccard(texts[i], texts[i + 1]) for i in range(0, len(texts), 5)}
+    assert sum(0.8 <= j < 0.82 for j in least.values()) >= 8
+    assert kept(make_docs, texts) == kept_by_brute_force(texts)
