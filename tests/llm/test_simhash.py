@@ -183,3 +183,16 @@ def test_appended_cut_and_replaced_copies_from_the_least_similarity_up(make_docs
     least = {i: jaccard(texts[i], texts[i + 1]) for i in range(0, len(texts), 5)}
     assert sum(0.8 <= j < 0.82 for j in least.values()) >= 8
     assert kept(make_docs, texts) == kept_by_brute_force(texts)
+
+
+def test_copies_of_one_original_that_only_it_connects(make_docs):
+    random.seed(22)
+    base = [f"o{i}" for i in range(200)]
+    texts = {}
+    for i in range(101):
+        copy = list(base)
+        for at in random.sample(range(10, 190), 3) if i != 57 else []:
+            copy[at] = f"n{i}x{at}"
+        texts[i] = " ".join(copy)
+    assert kept_by_brute_force(texts) == [0]
+    assert kept(make_docs, texts) == [0]
