@@ -196,3 +196,14 @@ def test_copies_of_one_original_that_only_it_connects(make_docs):
         texts[i] = " ".join(copy)
     assert kept_by_brute_force(texts) == [0]
     assert kept(make_docs, texts) == [0]
+
+
+def test_similar_texts_with_distant_wide_fingerprints(make_docs):
+    random.seed(23)
+    texts, bits = {}, lambda t: simhash.wide_margins(t.encode()) > 0
+    while len(texts) < 16:
+        base = [f"w{random.getrandbits(40)}" for _ in range(404)]
+        pair = " ".join(base), " ".join(base + [f"a{random.getrandbits(40)}" for _ in range(99)])
+        if jaccard(*pair) >= 0.8 and (bits(pair[0]) != bits(pair[1])).sum() > 92:
+            texts |= {len(texts): pair[0], len(texts) + 1: pair[1]}
+    assert kept(make_docs, texts) == list(range(0, 16, 2))
