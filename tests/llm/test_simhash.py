@@ -207,3 +207,17 @@ def test_similar_texts_with_distant_wide_fingerprints(make_docs):
         if jaccard(*pair) >= 0.8 and (bits(pair[0]) != bits(pair[1])).sum() > 92:
             texts |= {len(texts): pair[0], len(texts) + 1: pair[1]}
     assert kept(make_docs, texts) == list(range(0, 16, 2))
+
+
+def test_copies_with_repeated_lines(make_docs):
+    random.seed(24)
+    texts = {}
+    for again in (2, 5, 10):
+        for _ in range(5):
+            base, line = ([f"r{random.getrandbits(40)}" for _ in range(n)] for n in (200, 10))
+            texts[len(texts)] = " ".join(base + line)
+            texts[len(texts)] = " ".join(base + line * again)
+    assert all(jaccard(texts[i], texts[i + 1]) > 0.9 for i in range(0, len(texts), 2))
+    assert kept(make_docs, texts) == list(range(0, len(texts), 2))
+    m = simhash.wide_margins(" ".join(base + line * 2).encode()), simhash.wide_margins(" ".join(base + line * 10).encode())
+    assert np.array_equal(*m)
