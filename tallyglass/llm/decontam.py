@@ -72,8 +72,8 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, containe
         hits = w.select("doc_id", "w", F.explode(probes).alias("p")).select("doc_id", "w", "p.wide", "p.value").join(F.broadcast(index), ["wide", "value"])
     else:
         asked = w.select("doc_id", F.explode(probes).alias("p")).select("doc_id", "p.wide", "p.value")
-        pairs = asked.join(index, ["wide", "value"]).select("doc_id", "item_id").distinct()
-        hits = pairs.join(kept.select("item_id", "wide", "n", "parts"), "item_id").join(w.select("doc_id", "w"), "doc_id")
+        pairs = asked.join(index, ["wide", "value"]).select(F.col("doc_id").alias("d"), F.col("item_id").alias("i")).distinct()
+        hits = pairs.join(kept.select("item_id", "wide", "n", "parts"), F.col("i").eqNullSafe(F.col("item_id"))).join(w.select("doc_id", "w"), F.col("d").eqNullSafe(F.col("doc_id")))
     return _verified(hits, [r["wide"] for r in shape], contained)
 
 

@@ -65,3 +65,14 @@ def test_documents_without_leaks_stay(spark, clash, no_docs):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in out.collect()) == sorted((r["doc_id"] is None, r["doc_id"]) for r in clash.collect() if r["doc_id"] != 5)
     assert decontam.contaminated(no_docs, items).count() == 0
     assert decontam.decontaminated(clash, items.limit(0)).count() == clash.count()
+
+
+def test_null_ids_on_both_paths(spark, monkeypatch):
+    docs = [(None, ITEM), (1, ITEM), (None, "say hello there world again"), (2, "nothing of the kind")]
+    items = [(None, ITEM), (101, "hello there world")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontam.BROADCAST_VALUES, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_VALUES", most)
+        got = {(r["doc_id"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in decontam.contaminated(d, i).collect()}
+        assert got == brute(docs, items)
+        assert [r["doc_id"] for r in decontam.decontaminated(d, i).collect()] == [2]
