@@ -238,10 +238,15 @@ _ORDERS = "(VALUES (1, 1, 2, 3), (2, 1, 3, 2), (3, 2, 1, 3), (4, 2, 3, 1), (5, 3
 _VALID = "abs(total - (tare + net)) <= 50 AND tare >= 500 AND net >= 10 AND tare < total AND net < total AND net / total BETWEEN 0.001 AND 0.95"
 
 
-def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, found): candidates of which three balance."""
-    p = frame(spark, sf_dir, LINE_WORDS, "lineitem").where("word_idx < 6").select("doc_id", F.col("word_idx").alias("i"), (600 + F.col("number") % 4000).cast("bigint").alias("value"))
-    total = p.where("i < 2").groupBy("doc_id").agg(F.sum("value").alias("value")).select("doc_id", F.lit(9).alias("i"), "value")
+def planted(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(doc_id, found): candidates of which three balance, from the first six lines of an order as the SQL has them, or from all."""
+    lines, last = frame(spark, sf_dir, LINE_WORDS, "lineitem"), 9
+    if whole:
+        last = 2**31 - 1
+    else:
+        lines = lines.where("word_idx < 6")
+    p = lines.select("doc_id", F.col("word_idx").alias("i"), (600 + F.col("number") % 4000).cast("bigint").alias("value"))
+    total = p.where("i < 2").groupBy("doc_id").agg(F.sum("value").alias("value")).select("doc_id", F.lit(last).alias("i"), "value")
     one = F.struct("i", "value", F.col("i").cast("double").alias("cy"))
     return p.unionByName(total).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda s: F.struct(s["value"].alias("value"), s["i"].alias("i"), s["cy"].alias("cy"))).alias("found"))
 
@@ -251,15 +256,36 @@ a AS (SELECT doc_id, i, j, k, n, v[t] AS total, v[a] AS tare, v[e] AS net, list_
 g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, i, j, k, n) AS place FROM a WHERE {_VALID})
 SELECT doc_id, total::INT AS total_weight, tare::INT AS tare_weight, net::INT AS net_weight FROM g WHERE place = 1""")
 def triplet_equation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planted(spark, sf_dir).select("doc_id", weights.by_equation(F.col("found")).alias("t")).where("t IS NOT NULL").select("doc_id", "t.*")
+    return equation_triplets(planted(spark, sf_dir))
+
+
+def equation_triplets(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", weights.by_equation(F.col("found")).alias("t")).where("t IS NOT NULL").select("doc_id", "t.*")
+
+
+@query()
+def triplet_equation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """triplet_equation over every line of an order; held against brute force in tests."""
+    return equation_triplets(planted(spark, sf_dir, whole=True))
 
 
 @query(f"""WITH {_PLANTED}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS place FROM c), v AS (SELECT doc_id, list(value ORDER BY place) AS v FROM r WHERE place <= 3 GROUP BY doc_id HAVING count(*) = 3),
 a AS (SELECT doc_id, n, v[t] AS total, v[a] AS tare, v[e] AS net FROM v, {_ORDERS}), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS place FROM a WHERE {_VALID})
 SELECT doc_id, total::INT AS total_weight, tare::INT AS tare_weight, net::INT AS net_weight FROM g WHERE place = 1""")
 def spatial_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_triplets(planted(spark, sf_dir))
+
+
+def order_triplets(found: DataFrame) -> DataFrame:
     turned = F.transform("found", lambda c: F.struct(c["value"].alias("value"), c["i"].alias("i"), (-c["cy"]).alias("cy")))
-    return planted(spark, sf_dir).select("doc_id", weights.by_order(turned).alias("t")).where("t IS NOT NULL").select("doc_id", "t.*")
+    return found.select("doc_id", weights.by_order(turned).alias("t")).where("t IS NOT NULL").select("doc_id", "t.*")
+
+
+@query()
+def spatial_order_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spatial_order over every line of an order; held against brute force in tests."""
+    return order_triplets(planted(spark, sf_dir, whole=True))
+
 
 
 @query(f"""WITH s AS (SELECT doc_id, k, 1 AS r, CASE WHEN k % 3 = 0 THEN net + 1 ELSE net END AS net, 8000 + k % 90 + net AS t FROM ({T}) UNION ALL SELECT doc_id, k, 2, net, 8000 + k % 90 + net FROM ({T}) WHERE k % 5 <> 0
