@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm.components import components
-from tallyglass.llm.store import batches_of, saved
+from tallyglass.llm.store import dropped, pieces, saved, small, split_join
 
 SEED = 42
 #: Words of a shingle and shingles hashed at a time; the latter bounds a worker's memory for any text length.
@@ -26,7 +26,7 @@ WIDTH, CHUNK = 3, 1 << 15
 #: A key shared by more fingerprints than this is not expanded into pairs.
 CROWD = 16
 #: The same for values of shingle sets' prefixes, of which two rows share many; rows of fuller ones are compared in blocks.
-WIDE_CROWD = 4
+FULL = 4
 
 
 def shingle_hashes(text: bytes | None, width: int):
@@ -58,24 +58,24 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 
 def _fingerprint_batches(batches, width):
-    for b in batches:
+    for b in pieces(batches, "text"):
         fps = pa.array([fingerprint(t, width) for t in _texts(b)], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), fps], ["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, fp) for each row of docs (doc_id, text; other columns are not read). Repeated rows stay; null text is empty."""
-    batches_of(docs.sparkSession, 1000)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_fingerprint_batches, width=width), "doc_id long, fp long")
 
 
 def deletion_keys(fp: Column, segments: int = 2) -> Column:
-    """For each segment of a 64-bit fingerprint and each bit of it: (segment, bit left out, rest of the segment)."""
+    """For each segment of a 64-bit fingerprint and each bit of it: the place of the bit left out, which names the segment too, times 2^32, plus the
+    rest of the segment."""
     size = 64 // segments
     keys = []
     for s in range(segments):
         part = F.shiftrightunsigned(fp, s * size).bitwiseAND(F.lit((1 << size) - 1))
-        keys += [F.struct(F.lit(s * size + i).cast("byte").alias("bit"), part.bitwiseAND(F.lit(((1 << size) - 1) & ~(1 << i))).alias("rest")) for i in range(size)]
+        keys += [part.bitwiseAND(F.lit(((1 << size) - 1) & ~(1 << i))) + F.lit((s * size + i) << 32) for i in range(size)]
     return F.array(*keys)
 
 
@@ -89,15 +89,15 @@ def linked_fingerprints(fps: DataFrame, distance: int = 2, crowd: int = CROWD) -
     """
     if distance not in (1, 2):
         raise ValueError("distance is 1 or 2")
-    keyed = fps.select("fp", F.explode(deletion_keys(F.col("fp"))).alias("key")).select("fp", "key.bit", "key.rest")
-    met = keyed.groupBy("bit", "rest").agg(F.count("*").alias("n")).where("n > 1")
-    members = saved(keyed.join(met, ["bit", "rest"]), "met")
-    few = members.where(F.col("n") <= crowd).groupBy("bit", "rest").agg(F.sort_array(F.collect_list("fp")).alias("all"))
+    keyed = fps.select("fp", F.explode(deletion_keys(F.col("fp"))).alias("key"))
+    met = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = saved(split_join(keyed, met.withColumn("met", F.col("n")), "key", ["fp"], 64 * fps.count()), "met")
+    few = members.where(F.col("met") <= crowd).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("all"))
     pair = F.explode(F.expr("flatten(transform(all, (a, i) -> transform(slice(all, i + 2, size(all)), b -> struct(a, b))))"))
     pairs = few.select(pair.alias("p")).select("p.a", "p.b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     around = F.array(*[F.struct(F.lit(i).alias("bit"), (F.col("fp").bitwiseAND(F.lit(~_mask(i))) if distance == 1 else F.col("fp").bitwiseXOR(F.lit(_mask(i)))).alias("at")) for i in range(64)])
     spots = F.explode(around if distance == 1 else F.concat(F.array(F.struct(F.lit(0).alias("bit"), F.col("fp").alias("at"))), around))
-    centres = members.where(F.col("n") > crowd).select("fp").distinct().select("fp", spots.alias("c"))
+    centres = members.where(F.col("met") > crowd).select("fp").distinct().select("fp", spots.alias("c"))
     by = ["c.bit", "c.at"] if distance == 1 else ["c.at"]
     stars = centres.groupBy(*by).agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     stars = stars.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a < b")
@@ -116,33 +116,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, distance: int = 2) -> D
     distinct fingerprints are searched. Null doc_ids stay and never name a component unless it has no other id. An empty
     table gives no rows. Columns other than doc_id and text are not read.
     """
-    rows = saved(fingerprints(docs, width), "fingerprints")
-    fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    rows = saved(fingerprints(docs, width), "fingerprints").withColumn("spot", F.monotonically_increasing_id())
+    fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "distinct")
     found = components(linked_fingerprints(fps.select("fp"), distance))
-    joined = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = joined.join(least, "root").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
-
-
-# ---- wide fingerprints ----
-
-#: Segments of a wide fingerprint and bits of a segment.
-SEGMENTS, BITS = 24, 24
-#: Words of the shingles that a wide fingerprint is made of.
-WIDE_WIDTH = 2
-_SALTS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(SEGMENTS * BITS // 64)], np.uint64)
-
-
-def wide_margins(text: bytes | None) -> np.ndarray:
-    """For each of the bits: distinct shingles that set it less those that don't. No search reads it: `deduplicated` compares sets."""
-    ones, h = np.zeros(len(_SALTS) * 64, np.int64), shingle_set(text, WIDE_WIDTH)
-    for at in range(0, len(h), 4096):
-        x = h[at : at + 4096][:, None] ^ _SALTS
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        ones += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return 2 * ones - len(h)
+    joined = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root"))
+    least = joined.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    total = fps.agg(F.count("*").alias("fps"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    ids = split_join(joined, least, "root", ["fp"], total["fps"]).select("fp", "component_id", F.col("rows").alias("n"))
+    return split_join(rows, ids, "fp", ["spot"], total["rows"]).select("doc_id", "fp", "component_id")
 
 
 # ---- an exact search by Jaccard similarity of shingle sets ----
@@ -150,9 +131,9 @@ def wide_margins(text: bytes | None) -> np.ndarray:
 #: Bits of a text's parity map: bit b is the parity of the shingles whose hash ends in b, so maps differ in no more bits than sets differ in shingles.
 PARITY = 1024
 #: Texts looked at for usual shingles, and most of these that are kept. They order the search and never change its result.
-LOOKED_AT, USUAL = 2000, 50_000
-#: Rows whose parity maps are compared with all others of a key at a time.
-BLOCK = 256
+LOOKED_AT, USUAL = 10_000, 200_000
+#: Rows of a block, about; blocks are compared with blocks, a pair of them in a task, so no task holds all rows of a key.
+BLOCK = 1024
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -165,55 +146,67 @@ def parity(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def prefix(h: np.ndarray, usual: np.ndarray, similarity: float) -> np.ndarray:
-    """The first values of a set in an order that all sets share (unusual ones by value, then usual ones, the most usual last), as many as
-    its size less those it must share with any set of that similarity, plus one: such sets hold a value of each other's prefix. An empty set has the value 0."""
+class Usual:
+    """Usual shingles, the most usual first, ready to be looked up."""
+
+    def __init__(self, shingles: np.ndarray):
+        self.rank = np.argsort(shingles)
+        self.sorted = shingles[self.rank]
+        self.shingles = shingles
+
+    def ordered(self, h: np.ndarray) -> np.ndarray:
+        """A set's values in an order that all sets share: unusual ones by value, then usual ones, the most usual last."""
+        if not len(self.sorted):
+            return h
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+        known = self.sorted[at] == h
+        return np.concatenate([h[~known], self.shingles[np.sort(self.rank[at[known]])[::-1]]])
+
+
+def prefix(h: np.ndarray, usual: Usual, similarity: float) -> np.ndarray:
+    """The first values of a set in the shared order, as many as its size less those it must share with any set of that similarity, plus
+    one: such sets hold a value of each other's prefix. An empty set has the value 0."""
     if not len(h):
         return np.zeros(1, np.int64)
-    ordered = h
-    if len(usual):
-        by = np.argsort(usual)
-        spot = by[np.minimum(np.searchsorted(usual, h, sorter=by), len(usual) - 1)]
-        known = usual[spot] == h
-        ordered = np.concatenate([h[~known], usual[np.sort(spot[known])[::-1]]])
-    return ordered[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64)
+    return usual.ordered(h)[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64)
 
 
 def _marked_batches(batches, width, similarity, usual):
-    for b in batches:
+    usual = Usual(usual)
+    for b in pieces(batches, "text"):
         sizes, bits, first = [], [], []
         for t in _texts(b):
             h = shingle_set(t, width)
             sizes.append(len(h))
             bits.append(parity(h))
             first.append(prefix(h, usual, similarity))
-        bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)), PARITY // 64).cast(pa.list_(pa.int64()))
+        bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bits)), PARITY // 64).cast(pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "none", "id")), pa.array(sizes, pa.int32()), bits, pa.array(first, pa.list_(pa.int64()))], ["key", "none", "id", "size", "bits", "prefix"])
 
 
 def _value_batches(batches, width):
-    for b in batches:
+    for b in pieces(batches, "text"):
         for t in _texts(b):
             yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, width).view(np.int64))], ["v"])
 
 
 def usual_shingles(rows: DataFrame, width: int) -> np.ndarray:
-    """Shingles that several of some 2,000 texts hold, the most usual first."""
+    """Shingles that several of some 10,000 texts hold, the most usual first."""
     part = max(1, rows.count() // LOOKED_AT)
     values = rows.where(F.pmod(F.col("key"), F.lit(part)) == 0).select("text").distinct().mapInArrow(partial(_value_batches, width=width), "v long")
     counted = values.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "v").limit(USUAL)
-    return np.array([r["v"] for r in counted.collect()], np.int64).view(np.uint64)
+    return counted.select("v").toArrow().column("v").to_numpy().view(np.uint64)
 
 
 def _set_batches(batches, width):
     """Sorted distinct shingle hashes of each text, as bytes."""
-    for b in batches:
+    for b in pieces(batches, "text"):
         out = [shingle_set(t, width).tobytes() for t in _texts(b)]
         yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.binary())], ["key", "shingles"])
 
 
 def _similar_batches(batches, similarity):
-    for b in batches:
+    for b in pieces(batches, "x", "y"):
         keep = []
         for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -240,25 +233,74 @@ def _apart(size_a, size_b, similarity):
     return (size_a + size_b) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
-def _key_pairs(t: pa.Table, similarity) -> pa.Table:
-    """Pairs of a key's rows of different roots whose sizes, places and parity maps allow the similarity, a block of rows at a time."""
-    key, root, size, at = (t.column(c).to_numpy() for c in ("key", "root", "size", "at"))
-    bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
-    order = np.argsort(size, kind="stable")
-    key, root, size, at, bits = key[order], root[order], size[order].astype(np.int64), at[order].astype(np.int64), bits[order]
+_ROW = ["probe", "key", "root", "size", "at", "bits"]
+
+
+def _block_pairs(probe, key, root, size, at, bits, similarity):
+    """Pairs of a probe (1) and a row (0, or -1 if it is of the main root), of different roots, whose sizes, places and parity maps allow the similarity.
+    Probes are rows of other cells too; a pair of them is kept once."""
+    p, r = np.flatnonzero(probe == 1), np.flatnonzero(probe != 1)
+    fits = (root[p, None] != root[None, r]) & _may_share(size[p, None], at[p, None], size[None, r], at[None, r], similarity)
+    fits &= (probe[None, r] < 0) | (key[p, None] < key[None, r])
+    i, j = np.nonzero(fits)
     a, b = [], []
-    for i in range(0, len(key), BLOCK):
-        end = np.searchsorted(size, size[min(i + BLOCK, len(key)) - 1] / similarity + 1e-6, side="right")
-        for j in range(i, end, BLOCK):
-            x, y = slice(i, i + BLOCK), slice(j, min(j + BLOCK, end))
-            fits = (root[x, None] != root[None, y]) & _may_share(size[x, None], at[x, None], size[None, y], at[None, y], similarity)
-            p, q = np.nonzero(fits)
-            p, q = p[p + i < q + j] + i, q[p + i < q + j] + j
-            near = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64) <= _apart(size[p], size[q], similarity)
-            a.append(key[p[near]])
-            b.append(key[q[near]])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    for lo in range(0, len(i), 1 << 16):
+        x, y = p[i[lo : lo + (1 << 16)]], r[j[lo : lo + (1 << 16)]]
+        near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= _apart(size[x], size[y], similarity)
+        a.append(key[x[near]])
+        b.append(key[y[near]])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+
+
+def _pair_batches(batches, similarity):
+    """Rows come sorted by group; the last group of a batch waits for the next, as it may go on there."""
+
+    def done(t: pa.Table):
+        group, (probe, key, root, size, at) = t.column("grp").to_numpy(), (t.column(c).to_numpy().astype(np.int64) for c in _ROW[:-1])
+        bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
+        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        found = [_block_pairs(*(c[i:j] for c in (probe, key, root, size, at, bits)), similarity) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column("grp").to_numpy()
+        cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if group[0] != group[-1] else 0
+        if cut or (held and held[-1].column("grp")[0].as_py() != group[0]):
+            yield done(pa.Table.from_batches([*held, batch.slice(0, cut)] if cut else held))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield done(pa.Table.from_batches(held))
+
+
+def cross_pairs(rooted: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different roots that meet under a value and may be similar. rooted: (k, key, size, at, root).
+
+    Under each value, all rows but those of its commonest root are compared with all rows. Both are dealt to blocks by digest and a task
+    takes a block of either, so a value that very many rows share is the work of many tasks, and rows of one root, however many, are never compared with one another.
+    """
+    shares = rooted.groupBy("k", "root").agg(F.count("*").alias("n"))
+    shape = shares.groupBy("k").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).where("top.n < all")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    shape = shape.select("k", F.col("top.root").alias("main"), blocks(F.col("all")).alias("blocks"), blocks(F.col("all") - F.col("top.n")).alias("others"), F.col("all").alias("n"))
+    shape = saved(shape, "shape")
+    total = shape.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    left = split_join(rooted.join(small(shape.select("k")), "k", "left_semi"), shape, "k", ["key"], total).join(texts.select("key", "bits"), "key")
+    spot = lambda n: F.pmod(F.xxhash64("key", "k"), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda probe, i, j: F.struct(probe.alias("probe"), i.alias("i"), j.alias("j"))
+    other = F.col("root") != F.col("main")
+    as_row = F.transform(upto(F.col("others")), lambda j: cell(F.when(other, 0).otherwise(-1), spot(F.col("blocks")), j))
+    as_probe = F.when(other, F.transform(upto(F.col("blocks")), lambda i: cell(F.lit(1), i, spot(F.col("others"))))).otherwise(F.array().cast("array<struct<probe:int,i:int,j:int>>"))
+    cells = left.withColumn("cell", F.explode(F.concat(as_row, as_probe)))
+    cells = cells.select(F.xxhash64("k", "cell.i", "cell.j").alias("grp"), "cell.probe", "key", "root", "size", "at", "bits")
+    cells = cells.repartition("grp").sortWithinPartitions("grp")
+    return cells.mapInArrow(partial(_pair_batches, similarity=similarity), "a long, b long").distinct()
 
 
 def close_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -268,30 +310,30 @@ def close_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFr
     return both.where(odd <= _apart(F.col("x.size"), F.col("y.size"), similarity)).select("a", "b")
 
 
-def linked_texts(texts: DataFrame, verified, similarity: float, crowd: int = WIDE_CROWD) -> DataFrame:
+def linked_texts(texts: DataFrame, verified, similarity: float, full: int = FULL) -> DataFrame:
     """Links (a, b) between rows of texts (key, size, bits, prefix) that connect exactly those that a chain of similar pairs connects.
     verified(pairs) gives the similar ones of (a, b).
 
-    Similar sets share a value of their prefixes. Rows under a value that at most `crowd` share are paired. Under a fuller one, each is first paired with a head
+    Similar sets share a value of their prefixes. Rows under a value that at most `full` share are paired. Under a fuller one, each is first paired with a head
     that a digest picks, which links most of a group of copies; then all pairs of rows that are still in different components are
-    compared, a key in a task and in blocks. So no pair is left out that could connect anything.
+    compared, by cross_pairs. So no pair is left out that could connect anything.
     """
     keyed = texts.select("key", "size", F.posexplode("prefix").alias("at", "k"))
     sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    met = saved(keyed.join(sizes, "k"), "met")
-    few = met.where(F.col("n") <= crowd).groupBy("k").agg(F.collect_list(F.struct("key", "size", "at")).alias("all"))
+    values = texts.agg(F.coalesce(F.sum(F.size("prefix").cast("long")), F.lit(0))).first()[0]
+    met = saved(split_join(keyed, sizes.withColumn("met", F.col("n")), "k", ["key"], values), "met")
+    few = met.where(F.col("met") <= full).groupBy("k").agg(F.collect_list(F.struct("key", "size", "at")).alias("all"))
     pair = F.explode(F.expr("flatten(transform(all, (a, i) -> transform(slice(all, i + 2, size(all)), b -> struct(a, b))))"))
     few = few.select(pair.alias("p")).select("p.a", "p.b").where(_may_share(F.col("a.size"), F.col("a.at"), F.col("b.size"), F.col("b.at"), similarity)).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
-    crowded = met.where(F.col("n") > crowd)
-    heads = crowded.groupBy("k").agg(F.min_by("key", F.xxhash64(F.col("k").bitwiseAND(F.lit(3)), "key")).alias("head"))
-    stars = crowded.join(heads, "k").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    crowded = met.where(F.col("met") > full)
+    heads = crowded.groupBy("k").agg(F.min_by("key", F.xxhash64(F.col("k").bitwiseAND(F.lit(3)), "key")).alias("head"), F.count("*").alias("n"))
+    stars = split_join(crowded.select("k", "key"), heads, "k", ["key"], values).select(F.col("head").alias("a"), F.col("key").alias("b"))
     links = saved(verified(close_pairs(few.unionByName(stars), texts, similarity)), "links")
     found = saved(components(links), "found")
-    rooted = crowded.join(found, crowded["key"] == found["node"], "left").select("k", "key", "size", "at", F.coalesce("root", "key").alias("root"))
-    mixed = rooted.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k")
-    left = rooted.join(mixed, "k").join(texts.select("key", "bits"), "key").select("k", "key", "root", "size", "at", "bits")
-    rest = left.groupBy("k").applyInArrow(lambda t: _key_pairs(t, similarity), "a long, b long").distinct()
-    return links.unionByName(saved(verified(rest), "links"))
+    rooted = crowded.join(small(found), crowded["key"] == found["node"], "left").select("k", "key", "size", "at", F.coalesce("root", "key").alias("root"))
+    rest = saved(verified(cross_pairs(saved(rooted, "rooted"), texts, similarity)), "links")
+    dropped(met)
+    return links.unionByName(rest)
 
 
 def deduplicated(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
@@ -302,8 +344,6 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Da
     a group. Rows alike in doc_id and text leave one. A null doc_id counts as larger than all others. Columns of docs are kept as they
     are, whatever their names. An empty table stays empty. Texts are known by a 64-bit digest of their SHA-256, shingles by 64 bits.
     """
-    spark = docs.sparkSession
-    batches_of(spark, 1000)
     body = F.coalesce("text", F.lit(""))
     named = [F.xxhash64(F.sha2(body, 256)).alias("key"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")]
     rows = docs.select(*named, body.alias("text"))
@@ -319,13 +359,14 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Da
         close = saved(pairs, "close")
         wanted = close.select(F.col("a").alias("key")).unionByName(close.select(F.col("b").alias("key"))).distinct()
         wanted = texts.select("key", "none", "id").join(wanted, "key", "left_semi")
-        sets = rows.join(wanted, ["key", "none", "id"], "left_semi").select("key", "text").mapInArrow(partial(_set_batches, width=width), "key long, shingles binary")
+        sets = rows.join(small(saved(wanted, "wanted")), ["key", "none", "id"], "left_semi").select("key", "text").mapInArrow(partial(_set_batches, width=width), "key long, shingles binary")
         sets = saved(sets.dropDuplicates(["key"]) if repeated else sets, "sets")
         return with_both(close, sets, "shingles").mapInArrow(partial(_similar_batches, similarity=similarity), "a long, b long")
 
     found = components(linked_texts(texts, verified, similarity))
     grouped = texts.join(found, texts["key"] == found["node"], "left").select("key", "none", "id", F.coalesce("root", "key").alias("root"))
     best = grouped.groupBy("root").agg(F.min(F.struct("none", "id", "key")).alias("b")).select("b.key", "b.none", "b.id")
+    best = small(saved(best, "best"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *named)
     kept = whole.join(best, ["key", "none", "id"], "left_semi")
     return (kept.dropDuplicates(["key", "none", "id"]) if repeated else kept).select("row.*")

@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that all executors share, and size-checked broadcasts."""
+"""Intermediate tables in the folder that all executors share, size-checked broadcasts, joins with hot keys, and slices of Arrow batches."""
 
 from __future__ import annotations
 
@@ -6,12 +6,23 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Most rows that a side may have to be broadcast; rows beyond it are joined by a shuffle.
-BROADCAST_ROWS = 20_000
+#: Most bytes that a side may have to be broadcast, by width(); larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Bytes that a broadcast row takes besides its values.
+ROW_BYTES = 48
+#: A key with more rows than this, and than one in HOT_SHARE of all, is dealt to SALTS tasks; so there are HOT_SHARE such keys at most.
+HOT_ROWS, HOT_SHARE, SALTS = 5_000, 1_000, 32
+#: Bytes of a column that a worker takes up at a time.
+PIECE = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,50 +38,107 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_saved: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _delete_saved() -> None:
+    for spark, path in _saved:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the context may be stopped already
+            pass
+
+
+atexit.register(_delete_saved)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet under the shared folder and return it read back: its lineage ends there, so a lost executor
-    costs no recomputation of what came before."""
+    costs no recomputation of what came before. What dropped() has not deleted by then goes when the driver's process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyglass/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyglass_path = path
+    _saved.append((spark, path))
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by saved() that nothing will read again."""
-    spark, path = df.sparkSession, getattr(df, "_tallyglass_path", None)
-    if path:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by saved() that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_tallyglass_path", None)
+        if path and (df.sparkSession, path) in _saved:
+            _saved.remove((df.sparkSession, path))
+            _delete(df.sparkSession, path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows (one count), else df as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def width(c: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, about: strings and lists by their length, other values 16."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda s, x: s + width(x, kind.elementType)), F.lit(16))
+        return F.greatest(F.size(c), F.lit(0)) * 8 + 16
+    if isinstance(kind, T.StructType):
+        return sum((width(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(16)
 
 
-#: Parts that each key's rows are dealt to where a join can't broadcast.
-SALTS = 32
+def fits(df: DataFrame, most: int | None = None) -> bool:
+    """Whether df's rows take at most `most` bytes as a broadcast side (one pass over df)."""
+    each = sum((width(F.col(f"`{f.name}`"), f.dataType).cast("long") for f in df.schema.fields), F.lit(ROW_BYTES).cast("long"))
+    return (df.agg(F.sum(each)).first()[0] or 0) <= (BROADCAST_BYTES if most is None else most)
 
 
-def looked_up(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left with the columns of right (one row a key) or nulls. right is broadcast if its counted rows are few; else it is copied SALTS
-    times and left's rows are dealt to the copies, so that no key's rows are one task's work."""
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right), key, "left")
-    dealt = left.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copies, [key, "_salt"], "left").drop("_salt")
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its bytes allow it, else df as it is, for a shuffled join."""
+    return F.broadcast(df) if fits(df) else df
+
 
+def dealt(by: list[str]) -> Column:
+    """A salt that depends on a row's values alone, so that a task that is done again deals alike."""
+    return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
 
-def batches_of(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of an Arrow batch sent to Python, unless the session asks for fewer already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """left with the columns of right (one row a key) or nulls. right is broadcast if its bytes allow it; else it is copied SALTS
+    times and left's rows are dealt to the copies by their columns `by`, so that no key's rows are one task's work."""
+    if fits(right):
+        return left.join(F.broadcast(right), key, "left")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("_salt", dealt(by)).join(copies, [key, "_salt"], "left").drop("_salt")
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, by: list[str], total: int) -> DataFrame:
+    """left joined with right (one row a key, with n, the rows that left has of it, of `total` in all; n goes). The rows of
+    hot keys are dealt to SALTS copies of right's row by left's columns `by`. At most HOT_SHARE keys are hot, whatever the data, and only these are broadcast."""
+    if total <= HOT_ROWS:
+        return left.join(right.drop("n"), key)
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_SHARE)
+    flags = F.broadcast(right.where(hot).select(key, F.lit(True).alias("_hot")))
+    salted = left.join(flags, key, "left").withColumn("_salt", F.when(F.col("_hot"), dealt(by)).otherwise(0)).drop("_hot")
+    copies = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(copies.drop("n"), [key, "_salt"]).drop("_salt")
+
+
+def pieces(batches: Iterator[pa.RecordBatch], *columns: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of batches, in order and without copying, whose texts in `columns` take `most` bytes at most, or of one row. Spark bounds a batch
+    by bytes too, but with room for what it holds only, not for what is made of it."""
+    most = PIECE if most is None else most
+    for b in batches:
+        sizes = sum(pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        ends, at = np.cumsum(sizes), 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield b.slice(at, to - at)
+            at = to
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
