@@ -1,11 +1,11 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-An item is sketched by the least hash values of its word shingles. Items are partitioned by their number of shingles n, and
-the partition sets the sketch's size: n - ceil(t * n) + 1 values. A document that holds the share t of an item's
-shingles lacks n - ceil(t * n) of them at most, hence holds a value of the sketch: no such pair is missed, however long the document.
-Documents probe with all their shingles (a sketch of a 20,000-word document would not see a 15-word item). Each
-partition also bounds the values that its sketches hold, so most shingles are dropped before any join. Hits are verified by exact
-containment, on the shingles themselves.
+Items are partitioned by the power of two below their number of shingles. A partition sets the size of its items' sketches, which are
+their least shingle hashes: a document that holds the share t of an item's n shingles lacks n - ceil(t * n) of them at most, so one more
+value than the partition's largest item may lack always meets such a document, however long it is. The containment threshold thus becomes, for each partition, a
+sketch size, a bound on the values that its sketches hold, and the number of shingles that a document must have to be asked at all. Documents
+are asked with their shingles, not with a sketch of their own (one of a 20,000-word document would not see a 15-word item). The search joins ids only; hits are
+verified by exact containment, on the shingles themselves, each document's shingles being made once.
 """
 
 from __future__ import annotations
@@ -13,11 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.store import saved
+from tallyglass.llm.store import SALTS, dealt, fits, saved, small
 
 WIDTH, CONTAINED = 5, 0.8
-#: Most sketch values, and most characters of the items, that are broadcast; larger benchmarks are joined by shuffles.
-BROADCAST_VALUES, BROADCAST_CHARS = 200_000, 16_000_000
+FOUND = "doc_id long, item_id long, n_shared int, n_shingles int, containment double"
 
 
 def words(text: Column) -> Column:
@@ -25,29 +24,36 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _starts(w: Column, width: int) -> Column:
+    return F.when(F.size(w) >= width, F.sequence(F.lit(1), F.size(w) - width + 1)).otherwise(F.array().cast("array<int>"))
+
+
 def shingles(w: Column, width: int) -> Column:
-    """The distinct runs of `width` words, joined by a space; none if there are fewer words."""
-    starts = F.when(F.size(w) >= width, F.sequence(F.lit(1), F.size(w) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, width), " ")))
+    """The runs of `width` words, joined by a space; none if there are fewer words."""
+    return F.transform(_starts(w, width), lambda i: F.array_join(F.slice(w, i, width), " "))
 
 
 def hashes(w: Column, width: int) -> Column:
     """The distinct hash values of the runs of `width` words."""
-    starts = F.when(F.size(w) >= width, F.sequence(F.lit(1), F.size(w) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, width))))
+    return F.array_distinct(F.transform(_starts(w, width), lambda i: F.xxhash64(F.slice(w, i, width))))
+
+
+def _lacking(n: Column, contained: float) -> Column:
+    """How many of n shingles a text that holds the share may lack."""
+    return n - F.ceil(n * contained - 1e-9).cast("int")
 
 
 def sketched(items: DataFrame, width: int = WIDTH, contained: float = CONTAINED) -> DataFrame:
-    """(item_id, size, wide, n, parts, sketch) of items that have words: n shingles of `wide` words (an item of fewer than `width` words is one shingle), the
-    least hash values among them as many as its size partition asks, and the shingles themselves."""
+    """(item_id, wide, part, n, parts, sketch) of items that have words: n distinct shingles, parts, of `wide` words (an item of fewer than `width` words is one
+    shingle), the size partition, and the sketch that it asks for."""
     w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).select("item_id", "w", F.least(F.size("w"), F.lit(width)).alias("wide"))
     sizes = range(1, width + 1)
-    parts = F.coalesce(*[F.when(F.col("wide") == k, shingles(F.col("w"), k)) for k in sizes])
+    parts = F.coalesce(*[F.when(F.col("wide") == k, F.array_distinct(shingles(F.col("w"), k))) for k in sizes])
     values = F.coalesce(*[F.when(F.col("wide") == k, hashes(F.col("w"), k)) for k in sizes])
-    n = F.size("parts")
-    out = w.select("item_id", "wide", parts.alias("parts"), F.sort_array(values).alias("values")).withColumn("n", n)
-    missing = F.col("n") - F.ceil(F.col("n") * contained - 1e-9).cast("int")
-    return out.select("item_id", "wide", "n", "parts", F.slice("values", F.lit(1), missing + 1).alias("sketch"))
+    out = w.select("item_id", "wide", parts.alias("parts"), F.sort_array(values).alias("values")).withColumn("n", F.size("parts"))
+    out = out.withColumn("part", F.floor(F.log2("n") + 1e-9).cast("int"))
+    largest = F.pow(F.lit(2.0), F.col("part") + 1).cast("int") - 1
+    return out.select("item_id", "wide", "part", "n", "parts", F.slice("values", F.lit(1), _lacking(largest, contained) + 1).alias("sketch"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, contained: float = CONTAINED) -> DataFrame:
@@ -55,37 +61,55 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, containe
     the shingles or more; one row for a pair of ids.
 
     Null and empty texts, and items without words, match nothing. Repeated rows and rows with the same id count
-    together (the most shared counts). Other columns are not read. Empty tables give no rows. A shingle that very many documents hold
-    makes one small row for each of them and item, and no group of documents is ever gathered.
+    together (the most shared counts); null ids are one id. Other columns are not read. Empty tables give no rows. A shingle that very many documents hold
+    makes one small row for each of them and item, and no group of documents is ever gathered. The sketches are broadcast only if their bytes as shipped
+    allow it; else they are copied to as many parts as documents are dealt to.
     """
     spark = docs.sparkSession
     kept = saved(sketched(items, width, contained), "items")
-    shape = kept.groupBy("wide").agg(F.max(F.element_at("sketch", -1)).alias("most")).collect()  # five rows at most
-    size = kept.agg(F.sum(F.size("sketch")).alias("v"), F.sum(F.expr("aggregate(parts, 0L, (s, p) -> s + length(p))")).alias("c")).first()
-    fits = (size["v"] or 0) <= BROADCAST_VALUES and (size["c"] or 0) <= BROADCAST_CHARS
+    # A row for each width and power of two at most.
+    shape = kept.groupBy("wide", "part").agg(F.max(F.element_at("sketch", -1)).alias("most"), F.min(F.ceil(F.col("n") * contained - 1e-9)).alias("least")).orderBy("wide", "part").collect()
     if not shape:
-        return spark.createDataFrame([], "doc_id long, item_id long, n_shared int, n_shingles int, containment double")
-    index = kept.select("wide", F.explode("sketch").alias("value"), *(["item_id", "n", "parts"] if fits else ["item_id"]))
-    w = docs.select("doc_id", "text", words(F.col("text")).alias("w"))
-    probes = F.flatten(F.array(*[_probes(F.col("w"), r["wide"], r["most"]) for r in shape]))
-    if fits:
-        hits = w.select("doc_id", "w", F.explode(probes).alias("p")).select("doc_id", "w", "p.wide", "p.value").join(F.broadcast(index), ["wide", "value"])
+        return spark.createDataFrame([], FOUND)
+    wides = sorted({r["wide"] for r in shape})
+    index = kept.select("wide", "part", F.explode("sketch").alias("value"), "item_id")
+    w = docs.select("doc_id", words(F.col("text")).alias("w"))
+    asked = F.flatten(F.array(*[_asked(hashes(F.col("w"), k), k, [r for r in shape if r["wide"] == k]) for k in wides]))
+    asked = w.select("doc_id", F.explode(asked).alias("p")).select("doc_id", "p.wide", "p.value")
+    if fits(index):
+        pairs = asked.join(F.broadcast(index), ["wide", "value"])
     else:
-        asked = w.select("doc_id", F.explode(probes).alias("p")).select("doc_id", "p.wide", "p.value")
-        pairs = asked.join(index, ["wide", "value"]).select(F.col("doc_id").alias("d"), F.col("item_id").alias("i")).distinct()
-        hits = pairs.join(kept.select("item_id", "wide", "n", "parts"), F.col("i").eqNullSafe(F.col("item_id"))).join(w.select("doc_id", "w"), F.col("d").eqNullSafe(F.col("doc_id")))
-    return _verified(hits, [r["wide"] for r in shape], contained)
+        copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = asked.withColumn("salt", dealt(["doc_id", "value"])).join(copies, ["wide", "value", "salt"])
+    pairs = saved(pairs.select("doc_id", "item_id").distinct(), "pairs")
+    return _verified(docs, kept, pairs, wides, contained)
+
+
+def _asked(values: Column, wide: int, partitions: list) -> Column:
+    """The hash values, of runs of `wide` words, that a sketch of a partition can hold whose items such a document may hold."""
+
+    def of(values: Column) -> Column:
+        bound = F.greatest(*[F.when(F.size(values) >= r["least"], F.lit(r["most"])) for r in partitions], F.lit(None).cast("long"))
+        return F.transform(F.filter(values, lambda v: v <= bound), lambda v: F.struct(F.lit(wide).alias("wide"), v.alias("value")))
+
+    return F.get(F.transform(F.array(values), of), F.lit(0))
 
 
-def _probes(w: Column, wide: int, most: int) -> Column:
-    """The hash values of runs of `wide` words that a sketch of that width can hold."""
-    return F.transform(F.filter(hashes(w, wide), lambda v: v <= most), lambda v: F.struct(F.lit(wide).alias("wide"), v.alias("value")))
+def _of_width(runs: Column, wide: int) -> Column:
+    return F.transform(runs, lambda g: F.struct(F.lit(wide).alias("wide"), g.alias("g")))
 
 
-def _verified(hits: DataFrame, sizes: list[int], contained: float) -> DataFrame:
-    held = F.coalesce(*[F.when(F.col("wide") == k, shingles(F.col("w"), k)) for k in sizes])
-    shared = hits.select("doc_id", "item_id", "n", F.size(F.array_intersect("parts", held)).alias("shared")).where(F.col("shared") >= F.col("n") * contained - 1e-9)
-    found = shared.groupBy("doc_id", "item_id").agg(F.max("shared").alias("n_shared"), F.max("n").alias("n_shingles"))
+def _verified(docs: DataFrame, kept: DataFrame, pairs: DataFrame, wides: list[int], contained: float) -> DataFrame:
+    """The pairs whose document holds enough of the item's shingles. Texts are read again for the documents of pairs only."""
+    of_pair = [F.col("doc_id").alias("d"), F.col("item_id").alias("i")]
+    held = docs.select("doc_id", "text").join(small(pairs.select(F.col("doc_id").alias("d")).distinct()), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    held = held.select("doc_id", F.xxhash64("text").alias("body"), words(F.col("text")).alias("w"))
+    held = held.select("doc_id", "body", F.explode(F.flatten(F.array(*[_of_width(shingles(F.col("w"), k), k) for k in wides]))).alias("s"))
+    parts = small(kept.select("item_id", F.xxhash64("parts").alias("item"), "wide", "n", F.explode("parts").alias("g")))
+    shared = held.select("doc_id", "body", "s.wide", "s.g").join(parts, ["wide", "g"]).groupBy("doc_id", "body", "item_id", "item", "n").agg(F.count_distinct("g").cast("int").alias("shared"))
+    enough = shared.where(F.col("shared") >= F.col("n") * contained - 1e-9)
+    enough = enough.join(small(pairs.select(*of_pair)), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left_semi")
+    found = enough.groupBy("doc_id", "item_id").agg(F.max("shared").alias("n_shared"), F.max("n").alias("n_shingles"))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 

@@ -1,6 +1,6 @@
 import re
 
-from tallyglass.llm import decontam
+from tallyglass.llm import decontam, store
 
 
 def words(t):
@@ -52,7 +52,7 @@ def test_matches_brute_force(spark):
 
 def test_without_broadcast_too(spark, monkeypatch):
     docs, items = case(spark)
-    monkeypatch.setattr(decontam, "BROADCAST_VALUES", 0)
+    monkeypatch.setattr(store, "BROADCAST_BYTES", -1)
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in decontam.contaminated(d, i).collect()}
     assert got == brute(docs, items)
@@ -71,8 +71,38 @@ def test_null_ids_on_both_paths(spark, monkeypatch):
     docs = [(None, ITEM), (1, ITEM), (None, "say hello there world again"), (2, "nothing of the kind")]
     items = [(None, ITEM), (101, "hello there world")]
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for most in (decontam.BROADCAST_VALUES, 0):
-        monkeypatch.setattr(decontam, "BROADCAST_VALUES", most)
+    for most in (store.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(store, "BROADCAST_BYTES", most)
         got = {(r["doc_id"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in decontam.contaminated(d, i).collect()}
         assert got == brute(docs, items)
         assert [r["doc_id"] for r in decontam.decontaminated(d, i).collect()] == [2]
+
+
+def test_size_partitions(spark):
+    """Each item's sketch is as large as its partition's largest item needs, and holds the least hash values."""
+    texts = [(n, " ".join(f"w{n}x{k}" for k in range(n + 4))) for n in (1, 2, 3, 4, 7, 8, 15, 16, 40, 100)]
+    rows = decontam.sketched(spark.createDataFrame(texts, "item_id long, text string")).collect()
+    for r in rows:
+        assert r["n"] == r["item_id"] and r["part"] == r["n"].bit_length() - 1
+        largest = 2 ** (r["part"] + 1) - 1
+        assert len(r["sketch"]) == min(r["n"], largest - -(-largest * 8 // 10) + 1) and r["sketch"] == sorted(r["sketch"])
+
+
+def test_items_of_one_id_and_lost_shingles(spark):
+    """Items that share an id are judged apart; documents that hold any 0.8 of an item's shingles are found, whichever they lack."""
+    w = [f"t{k}" for k in range(44)]
+    docs = [(d, " ".join([*w[: at + 2], f"odd{d}", *w[at + 3 :], "tail " * 9])) for d, at in enumerate(range(0, 42, 3))]
+    items = [(1, " ".join(w)), (1, " ".join(w[:20] + ["u1"] * 20)), (2, " ".join(w[5:30])), (2, "tail tail tail tail tail")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    best = {}
+    for d_, i_, shared, n in brute(docs, items):
+        old = best.get((d_, i_), (0, 0))
+        best[d_, i_] = (max(old[0], shared), max(old[1], n))
+    got = {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_shingles"]) for r in decontam.contaminated(d, i).collect()}
+    assert got == best
+
+
+def test_a_very_long_document(spark):
+    text = " ".join(f"f{i % 90_001}" for i in range(300_000)) + " " + ITEM
+    got = decontam.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(100, ITEM)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["containment"]) for r in got] == [(1, 100, 1.0)]
