@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import html
 import re
-from functools import partial
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.store import batches_of, looked_up, saved
+from tallyglass.llm.store import looked_up, pieces, saved
 from tallyglass.llm.urlfilter import host_of
 
 #: A subtree is template if it stands on more than this share of a host's different articles; hosts with fewer are left alone.
@@ -29,23 +29,36 @@ ENDS = {
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"},
 }
 CONTAINERS = frozenset("ul ol dl table thead tbody tfoot tr td th div section article main aside nav form body html select blockquote".split())
+#: What an end tag inside doesn't reach through, and the end tags that do.
+WALLS = frozenset("td th article main body".split())
+THROUGH = frozenset("table tr tbody article main body html thead tfoot".split())
+FOREIGN = frozenset("svg path g circle rect use".split())
 CLOSE_P = BLOCKS - frozenset("br body head html td th tr tbody thead tfoot caption option optgroup select title".split())
 #: Elements that never hold main text.
 DROPPED = frozenset(
     "head script style noscript template nav header footer aside form button select input textarea iframe svg math canvas object embed audio video dialog menu search map noembed noframes".split()
 )
-#: Words of a class, id or role that mark what is not main text.
+#: Classes, ids and roles of what is not main text, alone or joined by - or _ with one another and with PLACES.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs "
     "header masthead footer sidebar sidebars complementary contentinfo cookie cookies consent gdpr notice notices notification alert popup popups modal overlay newsletter subscribe subscription "
     "signup login search share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond pagination pager toolbar widget widgets skip hidden".split()
 )
+#: Words beside which a mark still is one: the place, kind or part of the furniture.
+PLACES = frozenset("site page global main post article primary secondary top bottom left right inner outer sticky fixed mobile desktop bar box block area wrap wrapper container section list item items group links buttons button form inline thread".split())
+#: Marks of what readers wrote, which never is the main text.
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: Elements whose recurrence inside an article is no sign of a template: prose repeats, as licences and quotations do.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption b i em strong span a code u s small sub sup mark q cite br hr img".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|\Z)""", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag: quotes count after = only.
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+>""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_PIECE = re.compile(r"[-_]+")
+_ENDS_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+_CUT_OFF = re.compile(r"<[/!a-zA-Z][^<>]*\Z")
 
 
 class Node:
@@ -55,16 +68,26 @@ class Node:
         self.tag, self.marks, self.kind, self.children = tag, marks, kind, []
 
 
+@lru_cache(1 << 14)
+def marked(token: str) -> str:
+    """What a class, id or role says: "reader", "furniture" or nothing. Each of its words must be a mark or a place, and one of them a mark:
+    site-header is furniture, share-price and with-sidebar are not."""
+    words = [w for w in _PIECE.split(token) if w]
+    if not any(w in MARKS for w in words) or not all(w in MARKS or w in PLACES for w in words):
+        return ""
+    return "reader" if any(w in READERS for w in words) else "furniture"
+
+
 def _node(tag: str, attributes: str) -> Node:
-    if "=" not in attributes and "hidden" not in attributes.lower():
+    if not attributes or ("=" not in attributes and "hidden" not in attributes.lower()):
         return Node(tag)
     marks, kind = set(), ""
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDING.search(value)):
             marks.add("hidden")
         elif name in ("class", "id", "role"):
-            marks.update(_WORD.findall(value))
+            marks.update(value.split())
             if name == "role" and value == "main":
                 kind = "main"
         elif name == "itemprop" and value == "articlebody":
@@ -72,132 +95,177 @@ def _node(tag: str, attributes: str) -> Node:
     return Node(tag, frozenset(marks), kind)
 
 
+class _Open:
+    """The open elements, with the places of each tag and of some kinds, so that none of them has to be searched for."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.of: dict[str, list[int]] = {}
+        self.blocks, self.containers, self.walls = [], [], []
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.of.setdefault(node.tag, []).append(at)
+        for kind, places in ((BLOCKS, self.blocks), (CONTAINERS, self.containers), (WALLS, self.walls)):
+            if node.tag in kind:
+                places.append(at)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.of[tag].pop()
+            for kind, places in ((BLOCKS, self.blocks), (CONTAINERS, self.containers), (WALLS, self.walls)):
+                if tag in kind:
+                    places.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.of.get(tag)
+        return places[-1] if places else 0
+
+    def end(self, tag: str) -> None:
+        at = self.last(tag)
+        if at and (tag in THROUGH or not self.walls or self.walls[-1] <= at):
+            self.cut(at)
+
+    def start(self, tag: str) -> None:
+        """End what the start of an element ends."""
+        if tag in CLOSE_P and self.blocks and self.last("p") == self.blocks[-1]:
+            self.cut(self.blocks[-1])
+        ends = ENDS.get(tag)
+        while ends:
+            at = max(self.last(t) for t in ends)
+            wall = next((k for k in reversed(self.containers) if self.stack[k].tag not in ends), 0)
+            if at <= wall:
+                return
+            self.cut(at)
+            if tag not in ("tr", "tbody", "thead", "tfoot"):
+                return
+
+
 def parse(text: str) -> Node:
-    """A tree of elements and strings. Unclosed, misnested and cut-off markup is taken as browsers mostly do."""
+    """A tree of elements and strings, in time linear in the text. Unclosed, misnested and cut-off markup is taken as browsers mostly do, but a
+    quote that never ends ends with its tag."""
     root = Node("#root")
-    stack, at = [root], 0
-    find = _TOKEN.search
-    while m := find(text, at):
-        if m.start() > at:
-            stack[-1].children.append(text[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+    open_, at, size = _Open(root), 0, len(text)
+    last_gt, quotes = text.rfind(">"), True
+
+    def add(x: str) -> None:
+        if x:
+            open_.stack[-1].children.append(x)
+
+    done = 0  # text before it is in the tree
+    while 0 <= (at := text.find("<", at)) <= last_gt:
+        if text.startswith("<!--", at):
+            end = text.find("-->", at + 4)
+            add(text[done:at])
+            at = done = end + 3 if end >= 0 else size
+            continue
+        if text[at + 1] in "!?":
+            add(text[done:at])
+            at = done = text.find(">", at) + 1
             continue
-        tag = tag.lower()
+        m = _TAG.match(text, at)
+        if not m:
+            at += 1
+            continue
+        rest = _REST.match(text, m.end()) if quotes else None
+        if not rest:
+            quotes = False  # one of them never ends; from here on they don't count, or each tag would look for its end anew
+        end = rest.end() if rest else text.find(">", m.end()) + 1
+        if not end:
+            break
+        add(text[done:at])
+        tag, attributes = m[2].lower(), text[m.end() : end - 1]
+        at = done = end
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("td", "th", "article", "main", "body") and tag not in ("table", "tr", "tbody", "article", "main", "body", "html", "thead", "tfoot"):
-                    break
+            open_.end(tag)
             continue
-        if tag in CLOSE_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
-        if tag in ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ENDS[tag]:
-                    del stack[k:]
-                    if tag not in ("tr", "tbody", "thead", "tfoot"):
-                        break
-                elif stack[k].tag in CONTAINERS:
-                    break
-        node = _node(tag, m[3])
-        stack[-1].children.append(node)
+        open_.start(tag)
+        node = _node(tag, attributes)
+        open_.stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(text, at) if tag != "plaintext" else None
-            if tag in ("title", "textarea", "xmp"):
-                node.children.append(text[at : end.start() if end else len(text)])
-            at = end.end() if end else len(text)
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-        elif tag not in VOID and tag not in ("svg", "path", "g", "circle", "rect", "use"):
-            stack.append(node)
-    if at < len(text):
-        rest = text[at:]
-        cut = re.search(r"<[/!a-zA-Z][^<>]*\Z", rest)  # a tag that the page's end cuts off
-        stack[-1].children.append(rest[: cut.start()] if cut else rest)
+            close = _ENDS_RAW[tag].search(text, at) if tag != "plaintext" else None
+            stop = close.start() if close else size
+            if tag in ("title", "textarea", "xmp", "plaintext"):
+                node.children.append(text[at:stop])
+            at = done = (text.find(">", stop) + 1 or size) if close else size
+        elif tag not in VOID and not (tag in FOREIGN and attributes.endswith("/")):
+            open_.push(node)
+    rest = text[done:]
+    cut = _CUT_OFF.search(rest)  # a tag that the page's end cuts off
+    add(rest[: cut.start()] if cut else rest)
     return root
 
 
-def _noise(node: Node) -> bool:
-    return node.tag in DROPPED or not node.marks.isdisjoint(MARKS)
+def _walk(tree: Node):
+    """Each node under tree before those inside it, with the one that holds it."""
+    todo = [(x, tree) for x in reversed(tree.children) if isinstance(x, Node)]
+    while todo:
+        x, holder = todo.pop()
+        yield x, holder
+        todo.extend((y, x) for y in reversed(x.children) if isinstance(y, Node))
 
 
-def roots(tree: Node) -> list[Node]:
-    """The outermost articles that are not inside page furniture; else main elements; else the whole tree."""
-    articles, mains = [], []
+def _says(node: Node) -> str:
+    found = {marked(m) for m in node.marks}
+    return "reader" if "reader" in found else "furniture" if "furniture" in found else ""
 
-    def walk(node: Node) -> None:
+
+def roots(tree: Node) -> list[Node]:
+    """The outermost articles that are in no page furniture; else main elements; else articles in furniture; else the whole tree.
+
+    What elements like nav and aside hold is never main text, nor what readers wrote. Forms, and furniture told by its marks, give way to the
+    articles and main elements that they hold, if there are no others."""
+    plain: list[Node] = []
+    in_marked: list[Node] = []
+    mains: list[Node] = []
+    state: dict[int, str] = {id(tree): ""}  # "": outside all; marked: in marked furniture; in: in an article or what is left out
+    inner: dict[int, bool] = {id(tree): False}
+    for x, holder in _walk(tree):
+        above = state[id(holder)]
+        inner[id(x)] = inner[id(holder)]
+        if above == "in" or (x.tag in DROPPED and x.tag != "form"):
+            state[id(x)] = "in"
+            continue
+        says = "furniture" if x.tag == "form" else _says(x) if x.tag not in ("html", "body", "main") else ""
+        if says == "reader":
+            state[id(x)] = "in"
+        elif x.tag == "article":
+            (in_marked if above or says else plain).append(x)
+            state[id(x)] = "in"
+        else:
+            state[id(x)] = above or says
+            if (x.tag == "main" or x.kind == "main") and not inner[id(x)]:
+                mains.append(x)
+                inner[id(x)] = True
+    return plain or mains or in_marked or [tree]
+
+
+def _hashes(tree: Node) -> list[tuple[Node, int]]:
+    """Each subtree with its hash: of its tag, marks, text without outer white space and subtrees' hashes."""
+    out: list[tuple[Node, int]] = []
+    of: dict[int, bytes] = {}
+    for node in [*reversed([x for x, _ in _walk(tree)]), tree]:
+        h = xxhash.xxh64(node.tag)
+        for m in sorted(node.marks):
+            h.update("\x01" + m)
         for x in node.children:
             if isinstance(x, Node):
-                if x.tag == "article" and x.marks.isdisjoint(MARKS):
-                    articles.append(x)
-                elif x.tag in DROPPED:
-                    continue
-                else:
-                    if x.tag == "main" or x.kind == "main":
-                        mains.append(x)
-                    if x.tag in ("html", "body", "main") or x.marks.isdisjoint(MARKS):
-                        walk(x)
-
-    _deep(walk, tree)
-    if articles:
-        return articles
-    return [m for m in mains if not any(_inside(m, o) for o in mains if o is not m)] or [tree]
-
-
-def _deep(f, *args):
-    """Call f with room for deeply nested pages."""
-    import sys
-
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 20_000))
-    try:
-        return f(*args)
-    finally:
-        sys.setrecursionlimit(limit)
-
-
-def _inside(node: Node, outer: Node) -> bool:
-    todo = [outer]
-    while todo:
-        for x in todo.pop().children:
-            if x is node:
-                return True
-            if isinstance(x, Node):
-                todo.append(x)
-    return False
-
-
-def _hash(node: Node, out: list[tuple[Node, int]] | None) -> int:
-    """The hash of a subtree: its tag, marks, text without outer white space and subtrees' hashes. out: gets each one inside."""
-    h = xxhash.xxh64(node.tag)
-    for m in sorted(node.marks):
-        h.update("\x01" + m)
-    for x in node.children:
-        if isinstance(x, Node):
-            h.update(b"\x02" + _hash(x, out).to_bytes(8, "little", signed=True))
-        elif x := " ".join(x.split()):
-            h.update("\x03" + x)
-    value = h.intdigest() - (1 << 63)
-    if out is not None:
+                h.update(b"\x02" + of.pop(id(x)))
+            elif x := " ".join(x.split()):
+                h.update("\x03" + x)
+        value = h.intdigest() - (1 << 63)
+        of[id(node)] = value.to_bytes(8, "little", signed=True)
         out.append((node, value))
-    return value
+    return out
 
 
 def subtrees(page: str) -> tuple[int, list[int]]:
     """The hash of a page's main part, and those of its subtrees that could be template: all but prose in an article, without its ancestors."""
     tree = parse(page)
     mains = roots(tree)
-    all_: list[tuple[Node, int]] = []
-    _deep(_hash, tree, all_)
+    all_ = _hashes(tree)
     of = {id(n): v for n, v in all_}
     identity = xxhash.xxh64_intdigest(b"".join(of[id(m)].to_bytes(8, "little", signed=True) for m in mains)) - (1 << 63)
     skip = {"#root", "html", "head", "body", "main", "article"} | (PROSE if mains != [tree] else frozenset({"b", "i", "br", "hr"}))
@@ -206,43 +274,49 @@ def subtrees(page: str) -> tuple[int, list[int]]:
 
 def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text of a page: character references decoded, white space inside a block one space, blocks joined by one
-    space. Subtrees whose hash is in `template` are left out, prose inside an article excepted."""
+    space. Subtrees whose hash is in `template` are left out, prose inside an article excepted. Marked elements go, but not if they hold an
+    article or main element."""
     tree = parse(page)
     mains = roots(tree)
-    of = {}
+    gone = set()
     if template:
-        all_: list[tuple[Node, int]] = []
-        _deep(_hash, tree, all_)
-        of = {id(n): v for n, v in all_}
-    kept = PROSE if mains != [tree] else frozenset()
+        kept = {"html", "body"} | (PROSE if mains != [tree] else frozenset())
+        gone = {id(n) for n, v in _hashes(tree) if v in template and n.tag not in kept}
+    holders = set()
+    for x, holder in reversed(list(_walk(tree))):
+        if x.tag in ("article", "main", "body") or x.kind == "main" or id(x) in holders:
+            if _says(x) != "reader":
+                holders.add(id(holder))
     parts: list[str] = []
-
-    def walk(node: Node) -> None:
-        block = node.tag in BLOCKS
-        if block:
-            parts.append(" ")
-        for x in node.children:
-            if not isinstance(x, Node):
-                parts.append(html.unescape(x) if "&" in x else x)
-            elif not (_noise(x) and x.tag not in ("html", "body")) and not (of and of.get(id(x)) in template and x.tag not in kept and x.tag not in ("html", "body")):
-                walk(x)
-        if block:
+    todo: list[Node | str] = [x for m in reversed(mains) for x in (m, " ")]
+    chosen = {id(m) for m in mains}
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            parts.append(html.unescape(x) if "&" in x else x)
+            continue
+        if id(x) not in chosen and x.tag not in ("html", "body"):
+            says = _says(x)
+            if id(x) in gone or says == "reader" or "hidden" in x.marks or (x.tag in DROPPED and x.tag != "form") or ((says or x.tag == "form") and id(x) not in holders):
+                if x.tag in BLOCKS:
+                    parts.append(" ")
+                continue
+        inside = reversed(x.children)
+        if x.tag in BLOCKS:
             parts.append(" ")
-
-    for m in mains:
-        parts.append(" ")
-        _deep(walk, m)
+            todo.append(" ")
+        todo.extend(inside)
     return " ".join("".join(parts).split())
 
 
 def _subtree_batches(batches):
-    for b in batches:
+    for b in pieces(batches, "html"):
         found = [subtrees(x or "") for x in b.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["host", "identity", "hashes"])
 
 
 def _text_batches(batches):
-    for b in batches:
+    for b in pieces(batches, "html"):
         texts, sets = [], {}
         for page, template in zip(b.column("html").to_pylist(), b.column("template").to_pylist(), strict=True):
             key = tuple(template or ())
@@ -257,7 +331,6 @@ def templates(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_P
     Pages with equal main parts count once, so copies of an article don't make it a template. All counts combine before
     their shuffles; a host's template has at most (mean subtrees of a page / ratio) hashes.
     """
-    batches_of(pages.sparkSession, 500)
     found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_subtree_batches, "host string, identity long, hashes array<long>")
     found = saved(found, "subtrees")
     totals = found.select("host", "identity").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
@@ -275,5 +348,5 @@ def extracted(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_P
     """
     found = saved(templates(pages, ratio, least_pages), "templates")
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    rows = looked_up(rows, found, "host")
+    rows = looked_up(rows, found, "host", ["page_id", "url"])
     return rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "template").mapInArrow(_text_batches, "page_id long, url string, text string, n_chars long")

@@ -1,3 +1,8 @@
+import time
+from collections import Counter
+
+import pytest
+
 from tallyglass.llm import extract
 
 ARTICLE = "<article><h1>Head &amp; line</h1><p>One <b>two</b>three<br>four<p>Five&nbsp;&copy; &#x41;&am<ul><li>six<li>seven</ul></article>"
@@ -51,6 +56,70 @@ def test_templates_are_found_per_host(spark):
     assert extract.extracted(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ('<body><div class="content-with-sidebar"><article><p>Hello world</p></article></div></body>', "Hello world"),
+    ('<body><article class="post has-comments"><p>Hello world</p></article></body>', "Hello world"),
+    ('<body><div id="page" class="hide-header"><p>Hello world</p></div></body>', "Hello world"),
+    ('<body><article>Up <div class="share-price">12.5</div> now</article></body>', "Up 12.5 now"),
+    ('<body><div class="sidebar"><article>only one</article></div></body>', "only one"),
+    ('<body><article>text</article><div class="related-items"><article>teaser</article></div><aside><article>other</article></aside></body>', "text"),
+    ('<body><main>text</main><div class="related"><article>teaser</article></div></body>', "text"),
+    ('<body><div>text</div><section id="comments"><article class="comment">me too</article></section></body>', "text"),
+    ('<body><form action="x"><input><article>in a form</article></form></body>', "in a form"),
+    ('<body><article>a<div class="site-header">top</div><div class="newsletter-form">join</div><div class="post-comments">hi</div>b</article></body>', "a b"),
+    ('<article>a<p hidden>h</p><p style="display: none">n</p><p class="hidden">c</p>b</article>', "a b"),
+    ('<article><a title="x > y" href=/a?b=c>link</a> <a "odd>text</a></article>', "link text"),
+    ('<article>1 < 2 <3 a<b <!doctype x> & <? y ?>c</article>', "1 < 2 <3 a & c"),
+    ("<article>a <a href='never ends>b</a> <p>c</article>", "a b c"),
+])
+def test_wrappers_stay_and_furniture_goes(html, want):
+    assert extract.main_text(html) == want
+
+
+@pytest.mark.parametrize("html", [
+    "<article>" + "<div>" * 100_000 + "deep" + "</div>" * 100_000, "<b>" * 60_000 + "</x>" * 60_000 + "deep", '<a "' * 250_000, "<a ='" * 200_000, "</x>" * 250_000, "<p>" * 200_000 + "deep",
+    "<b>" * 50_000 + "<p>" * 50_000, "<ul><li>" * 50_000, "<script" * 100_000, "<script>" + "</script " * 100_000, "<!--" * 100_000, "<!" * 300_000, "<" * 500_000, "<table><tr><td>" * 30_000, "&" * 500_000, "<title>" + "</titl" * 100_000,
+    "<a class='" + "x-" * 200_000 + "'>", "<a " + "b" * 500_000, "<a " + "b = " * 200_000 + ">",
+])
+def test_time_is_linear(html):
+    start = time.process_time()
+    extract.main_text(html, {1})
+    extract.subtrees(html)
+    assert time.process_time() - start < 10
+
+
+def test_templates_equal_a_recount_without_spark(spark):
+    """Every subtree is written out as text and counted by page; unlabelled menus go from pages without an article."""
+    rows = []
+    for host in range(3):
+        for i in range(7):
+            menu = "".join(f"<li>entry {k} of host {host}</li>" for k in range(5))
+            note = f"<div><p>Season {i % 2} note</p></div>"
+            rows.append((host * 10 + i, f"http://host{host}.org/{i}", f"<html><body><div><ul>{menu}</ul></div>{note}<div><p>Page {i} of {host} says <b>this</b>.</p></div></body></html>"))
+
+    def written(node):
+        return f"<{node.tag} {sorted(node.marks)}>" + "".join(written(x) if isinstance(x, extract.Node) else "|" + " ".join(x.split()) for x in node.children if isinstance(x, extract.Node) or x.strip())
+
+    hash_of, counted, pages = {}, Counter(), Counter()
+    for _, url, html in rows:
+        host, tree = url.split("/")[2], extract.parse(html)
+        pages[host] += 1
+        own = set()
+        for node, value in extract._hashes(tree):
+            hash_of[value] = written(node)
+            if node.tag not in ("#root", "html", "head", "body", "b"):
+                own.add((host, written(node)))
+        counted.update(own)
+    assert len(set(hash_of.values())) == len(hash_of)
+    want = {(h, w) for (h, w), n in counted.items() if n > 0.5 * pages[h]}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r["host"], hash_of[v]) for r in extract.templates(df).collect() for v in r["template"]}
+    assert got == want and any("entry 3" in w for _, w in got)
+    text = {r["page_id"]: r["text"] for r in extract.extracted(df).collect()}
+    assert text[11] == "Season 1 note Page 1 of 1 says this." and text[10] == "Page 0 of 1 says this."
+    assert all("entry 3" in r["text"] for r in extract.extracted(df, ratio=2.0).collect())
+
+
 def test_the_test_pages(spark):
     import html
     import re
