@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm.store import batches_of
+from tallyglass.llm.store import pieces
 
 #: Vocabulary file (base64 of a token's bytes and its rank, a line each), read by the driver and sent to the workers.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -19,8 +19,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The id that ends a document and fills a row; ids of a row; ids that are packed at a time, which bounds a worker's memory.
 END, LENGTH, WINDOW = 50_256, 2_048, 4_000_000
-#: Characters without white space that are tokenized at once; longer runs are cut, as merging takes more than linear time.
-LONG_RUN = 100_000
 
 SCHEMA = "pack_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, resets array<int>, ids binary"
 
@@ -85,20 +83,10 @@ def encoder(vocabulary: bytes, pattern: str = PATTERN):
     """A function from text to ids, made once in each worker. Its ids' bytes, joined, are the text's UTF-8."""
     key = (hash(vocabulary), pattern)
     if key not in _encoders:
-        import re
-
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
-        encode = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        runs = re.compile(rf"\S{{{LONG_RUN}}}")
-
-        def ids(text: str) -> list[int]:
-            if len(text) <= LONG_RUN or not runs.search(text):
-                return encode(text)
-            return [x for part in re.split(rf"(\S{{{LONG_RUN}}})", text) if part for x in encode(part)]
-
-        _encoders[key] = ids
+        _encoders[key] = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     return _encoders[key]
 
 
@@ -106,17 +94,17 @@ def _emit(items, length, end, dtype, numbers):
     """A batch of packed rows. items: (doc_id, piece, ids)."""
     rows = best_fit_decreasing([len(x[2]) for x in items], length)
     matrix = np.full((len(rows), length), end, dtype)
-    docs, pieces, ends, resets = [], [], [], []
+    docs, numbers_, ends, resets = [], [], [], []
     for r, row in enumerate(rows):
         cu = np.concatenate([[0], np.cumsum([len(items[i][2]) for i in row])]).astype(np.int32)
         matrix[r, : cu[-1]] = np.concatenate([items[i][2] for i in row])
         docs.append([items[i][0] for i in row])
-        pieces.append([items[i][1] for i in row])
+        numbers_.append([items[i][1] for i in row])
         ends.append(cu)
         resets.append(cu if cu[-1] < length else cu[:-1])
     columns = [
         pa.array([next(numbers) for _ in rows], pa.int64()), pa.array([int(c[-1]) for c in ends], pa.int32()), pa.array(docs, pa.list_(pa.int64())),
-        pa.array(pieces, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(resets, pa.list_(pa.int32())), pa.array([m.tobytes() for m in matrix], pa.binary()),
+        pa.array(numbers_, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(resets, pa.list_(pa.int32())), pa.array([m.tobytes() for m in matrix], pa.binary()),
     ]
     return pa.RecordBatch.from_arrays(columns, ["pack_id", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "resets", "ids"])
 
@@ -125,7 +113,7 @@ def _pack_batches(batches, vocabulary, pattern, length, window, end, dtype):
     encode, base = encoder(vocabulary.value, pattern), TaskContext.get().partitionId() << 33
     numbers = iter(range(base, base + (1 << 33)))
     items, held = [], 0
-    for b in batches:
+    for b in pieces(batches, "text"):
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
             ids = np.array([*encode(text.as_py() or ""), end], dtype)
             for piece, at in enumerate(range(0, len(ids), length)):
@@ -144,12 +132,13 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH,
     A document longer than a row is split into pieces, in order, of which all but the last fill a row's length. Segment k of a row is piece
     pieces[k] of document doc_ids[k], at ids[cu_seqlens[k]:cu_seqlens[k + 1]]; positions start at 0 again at each of
     `resets`, which has the fill's start too. ids: little-endian, 2 bytes an id up to 65,536 ids, else 4. Rows are filled within
-    a partition, some millions of ids at a time, so nothing is shuffled, memory is bounded, and a lost task is redone alike.
+    a partition, some millions of ids at a time, so nothing is shuffled, memory is bounded, and a lost task is redone alike. So which
+    segments share a row depends on how the input is split into partitions; which segments there are, and their ids, does not: they are those
+    of the vocabulary's public tokenizer for the whole text, however long.
     Null and empty texts are an end mark; repeated rows are packed as often; null doc_ids stay null; empty tables give no
     rows; other columns are not read.
     """
     spark = docs.sparkSession
-    batches_of(spark, 500)
     with open(vocabulary, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
     dtype = "<u2" if end < 1 << 16 else "<u4"

@@ -90,10 +90,42 @@ def test_nothing(no_docs):
     assert packing.packed(no_docs).count() == 0
 
 
-def test_long_runs_are_cut_losslessly():
-    vocabulary = open(packing.VOCABULARY, "rb").read()
+LONG = ["ab" * 60_000, "".join(random.Random(5).choices("abcdefgh", k=120_000)), "\u65e5\u672c" * 70_000, "!" * 150_000, "7" * 110_000, " " * 130_000 + "x"]
+
+
+def merged(piece, ranks):
+    """The ids of one piece by the rule alone: the adjacent pair of the least rank merges, the first among equals."""
+    import heapq
+
+    parts, after, before = [piece[i : i + 1] for i in range(len(piece))], list(range(1, len(piece) + 1)), list(range(-1, len(piece) - 1))
+    heap = [(ranks[parts[i] + parts[i + 1]], i, parts[i], parts[i + 1]) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, a, b = heapq.heappop(heap)
+        j = after[i] if parts[i] is not None else None
+        if j is None or j >= len(parts) or parts[i] != a or parts[j] != b:
+            continue
+        parts[i], parts[j], after[i] = a + b, None, after[j]
+        if after[j] < len(parts):
+            before[after[j]] = i
+        for x, y in ((before[i], i), (i, after[i])):
+            if x >= 0 and y < len(parts) and parts[x] + parts[y] in ranks:
+                heapq.heappush(heap, (ranks[parts[x] + parts[y]], x, parts[x], parts[y]))
+    return [ranks[p] for p in parts if p is not None]
+
+
+def test_long_runs_get_the_ids_of_the_rule():
     import base64
 
-    ids = packing.encoder(vocabulary)("ab" * 120_000)
-    ranks = {int(b): base64.b64decode(a) for a, b in (x.split() for x in vocabulary.splitlines())}
-    assert b"".join(ranks[i] for i in ids) == b"ab" * 120_000
+    import regex
+
+    vocabulary = open(packing.VOCABULARY, "rb").read()
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines())}
+    for text in LONG:
+        assert packing.encoder(vocabulary)(text) == [i for piece in regex.findall(packing.PATTERN, text) for i in merged(piece.encode(), ranks)]
+
+
+def test_segments_do_not_depend_on_partitions(spark, make_docs):
+    docs = make_docs([(i, f"text {i} " * (i % 40 + 1)) for i in range(300)] + [(1000 + i, t) for i, t in enumerate(LONG)])
+    cut = lambda df: sorted((d, p, x.tobytes()) for d, v in unpacked(packing.packed(df, length=64).collect()).items() for p, x in v)
+    assert cut(docs.coalesce(1)) == cut(docs.repartition(7))
