@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.store import batches_of
+from tallyglass.llm.store import PIECE, pieces
 
 #: A turn is TURN role SAYS text END. These and the control strings of common chat templates never
 #: stand inside an escaped role or text.
@@ -49,7 +49,7 @@ def assembled(conv: np.ndarray, roles: pa.Array, texts: pa.Array) -> tuple[pa.Ar
     """One formatted string for each run of equal numbers in conv, the byte spans of each that carry loss, and the runs' starts.
 
     Segments are the mark, role, mark, text and mark of each turn. Their lengths give cumulative offsets into one preallocated
-    Arrow buffer; each column of segments is scattered there at once, by indices.
+    Arrow buffer; each column of segments is scattered there by indices, for as many rows at a time as hold PIECE bytes, which bounds the indices.
     """
     n = len(conv)
     learnt = pc.is_in(roles, pa.array(LEARNT)).to_numpy(zero_copy_only=False)
@@ -66,7 +66,14 @@ def assembled(conv: np.ndarray, roles: pa.Array, texts: pa.Array) -> tuple[pa.Ar
     for k, mark in zip((0, 2, 4), marks, strict=True):
         out[(starts[:, k, None] + np.arange(len(mark))).reshape(-1)] = np.tile(mark, n)
     for k, data, at in ((1, role_bytes, role_at), (3, text_bytes, text_at)):
-        out[np.arange(at[0], at[-1]) + np.repeat(starts[:, k] - at[:-1], lengths[:, k])] = data[at[0] : at[-1]]
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PIECE, side="right")) - 1)
+            if hi == lo + 1:
+                out[starts[lo, k] : ends[lo, k]] = data[at[lo] : at[hi]]
+            else:
+                out[np.arange(at[lo], at[hi]) + np.repeat(starts[lo:hi, k] - at[lo:hi], lengths[lo:hi, k])] = data[at[lo] : at[hi]]
+            lo = hi
     first = np.flatnonzero(np.concatenate([[True], conv[1:] != conv[:-1]])) if n else np.zeros(0, np.int64)
     bounds = np.append(starts[first, 0], total)
     formatted = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(bounds.astype(np.int64)), buffer])
@@ -81,14 +88,35 @@ _OUT = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss_st
 
 
 def _formatted_batches(batches):
-    """Rows come sorted by group; the last conversation of a batch waits for the next, as it may go on there."""
+    """Rows come sorted by group; the last conversation of a batch waits for the next, as it may go on there. Conversations are assembled some
+    megabytes at a time."""
 
-    def done(t: pa.Table):
+    def begins(b) -> np.ndarray:
+        """Where a conversation begins; null is one of its own, beside the number that stands for it."""
+        group, none = b.column("grp").to_numpy(), b.column("none").to_numpy(zero_copy_only=False)
+        return np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (none[1:] != none[:-1])]))
+
+    def parts(t: pa.Table):
         t = t.combine_chunks()
-        group = t.column("grp").to_numpy()
-        roles, texts = (t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c) for c in ("role", "text"))
+        b = t.to_batches()[0]
+        starts = begins(b)
+        sizes = np.cumsum(pc.binary_length(b.column("text")).to_numpy())
+        lo = 0
+        while lo < len(starts):
+            base = sizes[starts[lo] - 1] if starts[lo] else 0
+            fit = int(np.searchsorted(sizes, base + PIECE, side="right"))
+            hi = max(lo + 1, int(np.searchsorted(starts, fit, side="right")) - 1) if fit < b.num_rows else len(starts)
+            end = starts[hi] if hi < len(starts) else b.num_rows
+            yield done(b.slice(starts[lo], end - starts[lo]))
+            lo = hi
+
+    def done(t: pa.RecordBatch):
+        group = np.zeros(t.num_rows, np.int64)
+        group[begins(t)] = 1
+        group = np.cumsum(group)
+        roles, texts = t.column("role"), t.column("text")
         formatted, spans, first = assembled(group, roles, texts)
-        ids = t.column("conv_id").combine_chunks().take(pa.array(first))
+        ids = t.column("conv_id").take(pa.array(first))
         starts, ends = ([[s[k] for s in x] for x in spans] for k in (0, 1))
         return pa.RecordBatch.from_arrays([ids, formatted.cast(pa.string()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], schema=_OUT)
 
@@ -96,31 +124,28 @@ def _formatted_batches(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        group = b.column("grp").to_numpy()
-        cut = int(np.searchsorted(group, group[-1]))
-        if cut or (held and held[-1].column("grp")[0].as_py() != group[0]):
-            whole = [*held, b.slice(0, cut)] if cut else held
-            yield done(pa.Table.from_batches(whole))
+        cut = int(begins(b)[-1])
+        if cut or (held and any(held[-1].column(c)[0].as_py() != b.column(c)[0].as_py() for c in ("grp", "none"))):
+            yield from parts(pa.Table.from_batches([*held, b.slice(0, cut)] if cut else held))
             held = []
         held.append(b.slice(cut))
     if held:
-        yield done(pa.Table.from_batches(held))
+        yield from parts(pa.Table.from_batches(held))
 
 
 def formatted(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_starts, loss_ends) for each conversation of rows (conv_id, turn, role, text).
 
     Turns are taken in order of turn, null turns first, ties by role and text; repeated rows are turns of their own. Null roles and texts are empty;
-    rows with a null conv_id are one conversation. loss_starts and loss_ends bound, in bytes of the UTF-8, the escaped
+    rows with a null conv_id are one conversation, apart from all numbers. loss_starts and loss_ends bound, in bytes of the UTF-8, the escaped
     texts of learnt roles. A conversation is one cell of the result, so it must fit into one (2 GB). Empty tables give no
     rows; other columns are not read.
     """
-    batches_of(rows.sparkSession, 10_000)
     id_ = F.col("conv_id").cast("long")
-    # Sorted by group, which tells conversations apart as 64-bit numbers with null as the first.
+    # Sorted by a number that is never null, and by whether it stands for null.
     group = F.coalesce(id_, F.lit(-(1 << 63)))
     rows = rows.select(id_.alias("conv_id"), group.alias("grp"), id_.isNull().alias("none"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartition("grp").sortWithinPartitions("grp", "none", "turn", "role", "text").select("conv_id", "grp", "role", "text")
+    rows = rows.repartition("grp").sortWithinPartitions("grp", "none", "turn", "role", "text").select("conv_id", "grp", "none", "role", "text")
     return rows.mapInArrow(_formatted_batches, "conv_id long, formatted string, loss_starts array<long>, loss_ends array<long>")
 
 
@@ -132,7 +157,7 @@ def turns_of(formatted_text: str) -> list[tuple[str, str]]:
 def _read_batches(batches):
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    for b in batches:
+    for b in pieces(batches, "formatted"):
         rows = []
         for conv_id, text, starts, ends in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_starts", "loss_ends")), strict=True):
             raw, turns = text.encode(), turns_of(text)

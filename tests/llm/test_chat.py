@@ -48,7 +48,7 @@ def expected(rows):
 
 
 def test_query_columns_against_brute_force(spark):
-    rows = [(-7, 0, "user", ODD), (-7, 1, "assistant", ODD), (1, 3, "assistant", "c\\"), (1, 1, "user", None), (1, 2, None, "b"), (2, 0, "assistant", ""), (2, 0, "assistant", ""), (2, None, "system", "first"), (3, 0, "assist<|says|>ant\n", "é☃\n\n"), (None, 0, "user", "no id")]
+    rows = [(-7, 0, "user", ODD), (-7, 1, "assistant", ODD), (1, 3, "assistant", "c\\"), (1, 1, "user", None), (1, 2, None, "b"), (2, 0, "assistant", ""), (2, 0, "assistant", ""), (2, None, "system", "first"), (3, 0, "assist<|says|>ant\n", "é☃\n\n"), (None, 0, "user", "no id"), (None, 1, "assistant", "none"), (-(2**63), 0, "user", "least"), (2**63 - 1, 0, "user", "most")]
     rows += [(10 + i // 40, i % 40, "assistant" if i % 2 else "user", ("x" * (i % 7) + ODD) * (1 + 300 * (i == 55))) for i in range(400)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS grp", "2 AS formatted").repartition(5)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
@@ -60,6 +60,19 @@ def test_query_columns_against_brute_force(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_pieces_and_one_large_conversation(spark, monkeypatch):
+    """The same bytes however small the pieces are that are assembled at a time, and for a conversation of many pieces."""
+    rows = [(i // 3, i % 3, ("user", "assistant")[i % 2], f"text {i} é " * (i % 11)) for i in range(90)] + [(50, i, "assistant", "large " * (i % 50)) for i in range(500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = expected(rows)
+    assert {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(chat.formatted(df)).collect()} == want
+    batch = pa.RecordBatch.from_pylist([{"conv_id": c, "grp": c, "none": False, "role": r, "text": x} for c, _, r, x in sorted(rows)])
+    whole = [r for b in chat._formatted_batches([batch]) for r in b.to_pylist()]
+    for piece in (1, 100, 3000):
+        monkeypatch.setattr(chat, "PIECE", piece)
+        assert [r for b in chat._formatted_batches([batch.slice(0, 40), batch.slice(40, 1), batch.slice(41)]) for r in b.to_pylist()] == whole
+
+
 def test_formatted_chars(spark):
     df = spark.createDataFrame([(1, 0, "user", "é")], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.formatted(df)).first()["formatted_chars"] == len(chat.TURN + "user" + chat.SAYS + "é" + chat.END)
