@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.store import batches_of
+from tallyglass.llm.store import pieces
 
 PACKET, SYNC, NULL_PID = 188, 0x47, 0x1FFF
 PMT_PID, DATA_PID, PROGRAM, PRIVATE = 0x1000, 0x0100, 1, 0x06
@@ -249,12 +249,20 @@ def demux(data: bytes) -> Stream:
     return s
 
 
+def damage(s: Stream) -> dict[str, int]:
+    """What is wrong with a stream, counted; all 0 for a sound one."""
+    return {
+        "continuity": s.cc_errors, "transport": s.transport_errors, "crc": s.crc_errors, "scrambled": s.scrambled, "skipped_bytes": s.skipped_bytes,
+        "broken_units": sum(not u.whole for u in s.units), "no_program": int(s.packets > 0 and not s.programs),
+    }
+
+
 def features(s: Stream) -> str:
-    """Programs and streams, counts, first and last stamps and random-access points as unit:pts, in one line."""
+    """Programs and streams, counts, damage, first and last stamps and random-access points as unit:pts, in one line."""
     programs = ",".join(f"{n}@{p['pmt']}:" + "+".join(f"{pid}/{kind}" for pid, kind in sorted(p["streams"].items())) for n, p in sorted(s.programs.items()))
     stamps = [u.pts for u in s.units if u.pts is not None]
     entries = ",".join(f"{i}:{u.pts}" for i, u in enumerate(s.units) if u.random_access)
-    return f"programs={programs};packets={s.packets};units={len(s.units)};cc={s.cc_errors};pts={stamps[0] if stamps else ''}-{stamps[-1] if stamps else ''};entries={entries}"
+    return f"programs={programs};packets={s.packets};units={len(s.units)};damage={','.join(f'{k}:{n}' for k, n in damage(s).items() if n)};pts={stamps[0] if stamps else ''}-{stamps[-1] if stamps else ''};entries={entries}"
 
 
 def padded(text: bytes) -> bytes:
@@ -262,7 +270,7 @@ def padded(text: bytes) -> bytes:
 
 
 def _mux_batches(batches):
-    for b in batches:
+    for b in pieces(batches, "text"):
         texts = [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array([mux(padded(x)) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"]
@@ -270,29 +278,30 @@ def _mux_batches(batches):
 
 
 def _probe_batches(batches):
-    for b in batches:
+    for b in pieces(batches, "media"):
         rows = []
         for doc_id, n, media in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
+            media = media or b""
             s = demux(media)
             data = b"".join(u.data for u in s.units)
-            rows.append((doc_id, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), features(s)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            rows.append((doc_id, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), features(s), [u.pts for u in s.units], [u.dts for u in s.units], [i for i, u in enumerate(s.units) if u.random_access], sum(damage(s).values())))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()]
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _PROBE)
 
 
-_PROBE = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+_PROBE = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "dts", "random_access", "damage"]
 
 
 def stored(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text (null: empty) as a transport stream. Ties and repeated rows stay; an empty
     table gives no rows; columns other than doc_id and text are not read."""
-    batches_of(docs.sparkSession, 500)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_mux_batches, "doc_id long, n_bytes long, media binary")
 
 
 def probed(media: DataFrame) -> DataFrame:
-    """Digests and features of each row of (doc_id, n_bytes, media), from what the streams hold."""
+    """Digests and features of each row of (doc_id, n_bytes, media), from what the streams hold: pts and dts of each elementary packet (null if it
+    has none), the numbers of those at which decoding can start, and the count of all damage, 0 for a sound stream. Null media are an empty stream."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        _probe_batches, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        _probe_batches, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, dts array<long>, random_access array<int>, damage long"
     )

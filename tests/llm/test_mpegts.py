@@ -71,5 +71,26 @@ def test_query_columns_against_the_texts(clash):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_stamps_entry_points_and_damage_are_columns(spark):
+    payload = os.urandom(mpegts.UNIT * 20 + 5)
+    sound = mpegts.mux(payload)
+    p = packets(sound)
+    bad, table, secret = bytearray(p[5]), bytearray(p[0]), bytearray(p[9])
+    bad[1] |= 0x80
+    table[10] ^= 1
+    secret[3] |= 0x80
+    cases = {
+        "": sound, "transport:1": b"".join([*p[:5], bytes(bad), *p[5:]]), "crc:1,no_program:1": b"".join([bytes(table), *p[1:]]), "continuity:1,broken_units:1": b"".join([*p[:50], *p[51:]]),
+        "scrambled:1,broken_units:1": b"".join([*p[:9], bytes(secret), *p[10:]]), "skipped_bytes:4": sound + b"tail",
+    }
+    rows = mpegts.probed(spark.createDataFrame([(i, 0, bytearray(m)) for i, m in enumerate(cases.values())] + [(99, 0, None)], "doc_id long, n_bytes long, media binary")).collect()
+    by = {r["doc_id"]: r for r in rows}
+    for i, name in enumerate(cases):
+        assert f";damage={name};" in by[i]["feature"]
+        assert (by[i]["damage"] == 0) == (name == "")
+    assert by[0]["pts"] == [k * mpegts.TICKS for k in range(21)] and by[0]["dts"] == [None] * 21 and by[0]["random_access"] == [0, 8, 16]
+    assert (by[99]["payload_bytes"], by[99]["pts"]) == (0, [])
+
+
 def test_nothing(no_docs):
     assert mpegts.probed(mpegts.stored(no_docs)).count() == 0
