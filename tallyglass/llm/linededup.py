@@ -45,7 +45,7 @@ def without_boilerplate(rows: DataFrame, ratio: float = RATIO, least_pages: int
     counts = marked.select("site", F.explode("marks").alias("mark")).groupBy("site", "mark").agg(F.count("*").alias("n"))
     common = counts.where("n > 1" if least_pages > 1 else "true").join(pages, "site").where((F.col("pages") >= least_pages) & (F.col("n") > F.col("pages") * ratio))
     lists = saved(common.groupBy("site").agg(F.collect_list("mark").alias("common")), "common")
-    joined = looked_up(marked.select("id", "host", "lines", "site"), lists, "site")
+    joined = looked_up(marked.select("id", "host", "lines", "site"), lists, "site", ["id", "lines"])
     kept = F.when(F.col("common").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: x.isNull() | ~F.array_contains("common", F.md5(x))))
     return joined.select("id", "host", kept.alias("kept"), (F.size("lines") - F.size(kept)).cast("long").alias("dropped"))
 

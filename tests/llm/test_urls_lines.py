@@ -26,6 +26,25 @@ def test_verdicts_match_brute_force(spark):
     assert got == sorted(((i, *brute(u)) for i, u in URLS), key=str)
 
 
+def test_ties_letters_and_rules_of_many_sizes(spark):
+    rules = [("X.org", "/a", "allow"), ("x.org", "/a", "block"), ("y.x.org", "", "allow"), ("\u00c9.org", "/", "block"), (None, "/", "block"), ("q.org", None, "block"), ("x.org", "/z", None)]
+    rules += [("s.org", "/" + "p" * k, "block" if k % 2 else "allow") for k in range(60)]
+    urls = [(1, "http://y.x.org/a"), (2, "http://X.ORG/a/b"), (3, "http://\u00e9.org/"), (4, "http://\u00c9.org/"), (5, "http://w.q.org"), (6, "http://x.org/z"), (7, "http://s.org/" + "p" * 33 + "x"), (8, "http://s.org/" + "p" * 99)]
+    table = spark.createDataFrame(rules, "rule_host string, rule_path string, rule_verdict string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judged(spark.createDataFrame(urls, "page_id long, url string"), table).collect()}
+    assert got == {
+        1: ("x.org/a", "block"), 2: ("x.org/a", "block"), 3: (None, "allow"), 4: ("\u00c9.org/", "block"), 5: ("q.org", "block"), 6: (None, "allow"), 7: ("s.org/" + "p" * 33, "block"), 8: ("s.org/" + "p" * 59, "block"),
+    }
+
+
+def test_pages_of_one_id_and_clashing_columns(spark):
+    rows = [(1, "http://h/a", "<p>menu<p>own"), (1, "http://h/a", "<p>menu<p>own"), (2, "http://h/b", "<p>menu<p>b"), (3, "http://h/c", "<p>menu<p>menu<p>c"), (None, "http://h/d", None), (4, None, "<p>menu")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS host", "'y' AS lines", "1 AS site", "2 AS id", "3 AS common")
+    got = sorted(map(tuple, linededup.cleaned_pages(df, ratio=0.5).collect()), key=str)
+    want = [(1, "h", "own", 2, 1)] * 2 + [(2, "h", "b", 2, 1), (3, "h", "c", 3, 2), (None, "h", "", 0, 0), (4, "", "menu", 1, 0)]
+    assert got == sorted(want, key=str)
+
+
 def test_no_rules_and_no_pages(spark):
     df = spark.createDataFrame(URLS, "page_id long, url string")
     none = spark.createDataFrame([], "rule_host string, rule_path string, rule_verdict string")
@@ -59,6 +78,6 @@ def test_many_hosts_are_joined_by_salted_copies(spark, monkeypatch):
 
     df = spark.createDataFrame([(i, f"h{i % 3}", ["menu", f"own {i}"]) for i in range(60)], "id long, host string, lines array<string>")
     want = sorted(map(tuple, linededup.without_boilerplate(df).select("id", "dropped").collect()))
-    monkeypatch.setattr(store, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(store, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, linededup.without_boilerplate(df).select("id", "dropped").collect())) == want
     assert all(n == 1 for _, n in want)
