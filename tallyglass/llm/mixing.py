@@ -12,6 +12,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 #: Words and rows of a shard at most, roughly; words of a block at most, and blocks that the smallest target has at least.
 SHARD_WORDS, SHARD_ROWS, BLOCK, BLOCKS = 1_000_000, 20_000, 2_048, 64
+#: Shards of a source at most: they meet in one window, and a shard's rows in another.
+SHARDS = 10_000
 SEED = "mix"
 
 
@@ -73,20 +75,22 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEATS) -> Dat
     A source's documents are dealt to shards by a seeded digest of doc_id and laid end to end in seeded order. Equal-token blocks
     go to sources by highest quotients of the targets, a source's blocks to its shards likewise; a shard of quota q yields the q blocks
     from a seeded block on, going round at most `repeats` times. taken: the words of the document among them. Null
-    text has size 0, null sources are one source, a null doc_id is dealt as an empty one; rows alike in doc_id and size are
-    interchangeable. A source is split into shards of bounded words and rows, so none is one task's work. Empty tables give no rows.
+    text has size 0, null sources are one source, rows without a doc_id are dealt by their texts; rows alike in doc_id and size are
+    interchangeable. A source is split into shards, so none is one task's work: neither the shards of a source (SHARDS at most, as small rows) nor a shard's rows
+    (ids and sizes only; over 200 million of a source, one in SHARDS of them). Empty tables give no rows.
     """
-    sizes = saved(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    key = seeded(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+    sizes = saved(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key")), "sizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     t = saved(source_targets(sources, weights, share, repeats), "targets")
     every = Window.partitionBy(F.lit(1))
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.coalesce(least, F.lit(1.0)) / BLOCKS))).cast("long")
-    t = t.withColumn("block", block).withColumn("shards", F.ceil(F.greatest(F.col("size") / SHARD_WORDS, F.col("n") / SHARD_ROWS)).cast("long"))
+    t = t.withColumn("block", block).withColumn("shards", F.ceil(F.least(F.greatest(F.col("size") / SHARD_WORDS, F.col("n") / SHARD_ROWS), F.lit(float(SHARDS)))).cast("long"))
     t = t.withColumn("seats", F.floor(F.sum("target").over(every) / F.col("block") + 0.5).cast("long")).withColumn("all", F.lit(0))
     t = saved(apportioned(t.withColumnRenamed("target", "votes"), "all", "rank").withColumnRenamed("votes", "target"), "quotas")
     by_source = t.select(F.col("source").alias("of"), "rank", F.col("size").alias("source_size"), "target", "block", "shards", F.col("quota").alias("seats"))
-    dealt = sizes.withColumn("key", seeded(F.col("doc_id"))).join(small(by_source), F.col("source").eqNullSafe(F.col("of")))
+    dealt = sizes.join(small(by_source), F.col("source").eqNullSafe(F.col("of")))
     dealt = dealt.withColumn("shard", number(F.col("key")) % F.col("shards")).drop("of")
     shards = dealt.groupBy("rank", "shard").agg(F.sum("size").cast("double").alias("votes"), F.first("seats").alias("seats"), F.first("block").alias("block"))
     shards = apportioned(shards, "rank", "shard").select("rank", "shard", F.col("votes").cast("long").alias("shard_size"), F.col("block").alias("b"), "quota")
@@ -136,7 +140,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEA
 
 
 SQL = rf"""
-WITH z AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key, row_number() OVER () AS row FROM documents),
+WITH z AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS key, row_number() OVER () AS row FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS size, count(*) AS n FROM z GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") AS rank FROM s0),
 s2 AS (SELECT *, [5.0, 2.0, 1.0][((rank - 1) % 3 + 1)::INT]::DOUBLE AS weight, 2.0::DOUBLE * size AS cap FROM s1),
@@ -145,7 +149,7 @@ s3 AS (SELECT *, (1.5::DOUBLE * sum(size) OVER () - coalesce(sum(cap) OVER (ORDE
 lv AS (SELECT arg_min(level, pos) AS level FROM s3 WHERE level * weight <= cap),
 s4 AS (SELECT source, size, n, rank, coalesce(least(cap, weight * lv.level), cap) AS target FROM s3, lv),
 s5 AS (SELECT *, greatest(1, least({BLOCK}, floor(coalesce(min(target) FILTER (WHERE target > 0) OVER (), 1.0) / {BLOCKS})))::BIGINT AS block,
-  ceil(greatest(size / {SHARD_WORDS}, n / {SHARD_ROWS}))::BIGINT AS shards, sum(target) OVER () AS total FROM s4),
+  ceil(least(greatest(size / {SHARD_WORDS}, n / {SHARD_ROWS}), {SHARDS}.0))::BIGINT AS shards, sum(target) OVER () AS total FROM s4),
 s6 AS (SELECT *, floor(total / block + 0.5)::BIGINT AS seats, floor(target * floor(total / block + 0.5) / total + 0.5)::BIGINT AS base, count(*) OVER () AS items FROM s5),
 s7 AS (SELECT *, (seats - sum(base) OVER ())::BIGINT AS m FROM s6),
 c1 AS (SELECT rank, target, base, m, unnest(CASE WHEN m > 0 THEN range(1, ceil(1.5 * items * target / total)::BIGINT + 3) ELSE range(-least(ceil(1.5 * items * target / total)::BIGINT + 2, base) + 1, 1) END) AS step FROM s7 WHERE m <> 0 AND target > 0 AND (m > 0 OR base > 0)),
