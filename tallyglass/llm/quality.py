@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.store import batches_of, saved
+from tallyglass.llm.store import pieces, saved
 
 #: Labelled rows that a fit uses at most, about; one in CALIBRATION of them calibrates instead of fitting the ridge.
 MOST_ROWS, CALIBRATION = 40_000, 4
@@ -72,18 +72,20 @@ class Model:
 
 
 def design(x, mean, scale, frequencies, phases) -> np.ndarray:
-    """A constant, the standardised statistics and their random Fourier features."""
+    """A constant and the random Fourier features of the standardised statistics. The statistics themselves are not among them: a score is a
+    function of the kernel alone."""
     z = np.clip((x - mean) / scale, -8, 8)
-    return np.hstack([np.ones((len(z), 1)), z, np.sqrt(2 / len(phases)) * np.cos(z @ frequencies + phases)])
+    return np.hstack([np.ones((len(z), 1)), np.sqrt(2 / len(phases)) * np.cos(z @ frequencies + phases)])
 
 
-def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Knots and levels of the non-decreasing curve through pooled adjacent violators, with one row of either label added, so
-    that no level is quite 0 or 1."""
+    that no level is quite 0 or 1. counts: how often each row counts."""
+    counts = np.ones(len(scores)) if counts is None else counts
     order = np.argsort(scores, kind="stable")
     blocks: list[list[float]] = []
-    for s, y in zip(scores[order], labels[order], strict=True):
-        blocks.append([y, 1.0, s])
+    for s, y, k in zip(scores[order], labels[order], counts[order], strict=True):
+        blocks.append([y * k, float(k), s * k])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             b = blocks.pop()
             for k in range(3):
@@ -91,12 +93,12 @@ def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nda
     n = np.array([b[1] for b in blocks])
     centre = np.array([b[2] for b in blocks]) / n
     level = np.array([b[0] for b in blocks]) / n
-    prior = (labels.sum() + 1) / (len(labels) + 2)
+    prior = ((labels * counts).sum() + 1) / (counts.sum() + 2)
     return centre, np.maximum.accumulate((level * n + prior) / (n + 1))
 
 
 def _statistic_batches(batches, keep):
-    for b in batches:
+    for b in pieces(batches, "text"):
         x = [statistics(t) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
 
@@ -105,17 +107,18 @@ def _moment_batches(batches):
     total = np.zeros((3, len(STATISTICS)))
     for b in batches:
         x = np.array(b.column("x").to_pylist()).reshape(-1, len(STATISTICS))
-        total += [np.full(len(STATISTICS), len(x)), x.sum(axis=0), (x * x).sum(axis=0)]
+        k = b.column("k").to_numpy()[:, None]
+        total += [np.full(len(STATISTICS), k.sum()), (k * x).sum(axis=0), (k * x * x).sum(axis=0)]
     yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tobytes()])], ["part", "sums"])
 
 
 def _normal_batches(batches, mean, scale, frequencies, phases):
-    size = 1 + len(mean) + len(phases)
+    size = 1 + len(phases)
     total = np.zeros((size, size + 1))
     for b in batches:
         x = np.array(b.column("x").to_pylist()).reshape(-1, len(mean))
         z = design(x, mean, scale, frequencies, phases)
-        total += z.T @ np.hstack([z, b.column("y").to_numpy(zero_copy_only=False)[:, None]])
+        total += (z * b.column("k").to_numpy()[:, None]).T @ np.hstack([z, b.column("y").to_numpy(zero_copy_only=False)[:, None]])
     yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tobytes()])], ["part", "sums"])
 
 
@@ -143,7 +146,6 @@ def held_out(doc_id: Column) -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, x) for each row of docs: the statistics of its text."""
-    batches_of(docs.sparkSession, 1000)
     return docs.select("doc_id", "text").mapInArrow(partial(_statistic_batches, keep=["doc_id"]), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
@@ -159,30 +161,34 @@ def _usable(labels: DataFrame) -> DataFrame:
     return labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("double").alias("y"))
 
 
-def fitted(rows: DataFrame, labels: DataFrame) -> Model | None:
+def fitted(rows: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model | None:
     """A model of labels (doc_id, quality; 1 is good) learnt from the statistics of rows (doc_id, x), which sampled() has bounded;
-    that bound is what may reach the driver as sums and calibration scores. Null labels and ids are left out; repeated ones
-    count as often. None if no row is labelled.
+    what reaches the driver are sums, and the different calibration rows. Null labels and ids are left out; repeated ones
+    count as often, as one row with its count `k`; ids that are repeated with different texts are thinned again to most_rows by digest. None if no row is labelled.
     """
-    train = saved(rows.join(_usable(labels), "doc_id").withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(CALIBRATION))), "train")
-    if train.isEmpty():
+    train = rows.join(_usable(labels), "doc_id").groupBy("doc_id", "x", "y").agg(F.count("*").alias("k"))
+    train = saved(train.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(CALIBRATION))), "train")
+    n = train.count()
+    if not n:
         return None
+    if n > 2 * most_rows:
+        train = train.where(F.pmod(F.xxhash64("x", "y"), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
     train = train.repartition(PARTS, "doc_id").sortWithinPartitions("doc_id", "y")
-    sums = _summed(train.select("x").mapInArrow(_moment_batches, "part long, sums binary"), (3, len(STATISTICS)))
+    sums = _summed(train.select("x", "k").mapInArrow(_moment_batches, "part long, sums binary"), (3, len(STATISTICS)))
     mean = sums[1] / np.maximum(sums[0], 1)
     scale = np.sqrt(np.maximum(sums[2] / np.maximum(sums[0], 1) - mean**2, 0)) + 1e-3
     random = np.random.default_rng(SEED)
     frequencies = random.standard_normal((len(STATISTICS), FEATURES)) / KERNEL_WIDTH
     phases = random.uniform(0, 2 * np.pi, FEATURES)
-    size = 1 + len(STATISTICS) + FEATURES
+    size = 1 + FEATURES
     run = partial(_normal_batches, mean=mean, scale=scale, frequencies=frequencies, phases=phases)
-    sums = _summed(train.where("h <> 0").select("x", "y").mapInArrow(run, "part long, sums binary"), (size, size + 1))
+    sums = _summed(train.where("h <> 0").select("x", "y", "k").mapInArrow(run, "part long, sums binary"), (size, size + 1))
     weights = np.linalg.solve(sums[:, :-1] + RIDGE * np.eye(size), sums[:, -1])
     model = Model(mean, scale, frequencies, phases, weights, np.zeros(1), np.zeros(1))
-    rest = train.where("h = 0").select("doc_id", "x", "y").collect()
-    rest.sort(key=lambda r: (r["doc_id"], r["y"]))
-    y = np.array([r["y"] for r in rest])
-    model.knots, model.levels = isotonic(model.raw(np.array([r["x"] for r in rest])), y) if len(rest) else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    rest = train.where("h = 0").select("doc_id", "x", "y", "k").collect()
+    rest.sort(key=lambda r: (r["doc_id"], r["y"], r["x"]))
+    y, k = np.array([r["y"] for r in rest]), np.array([r["k"] for r in rest])
+    model.knots, model.levels = isotonic(model.raw(np.array([r["x"] for r in rest])), y, k) if len(rest) else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     return model
 
 
@@ -201,7 +207,7 @@ def scored(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Da
     every score is 1. An empty table gives no rows. Other columns are not read.
     """
     rows = saved(measured(docs), "statistics")
-    model = fitted(sampled(rows, labels, most_rows), labels)
+    model = fitted(sampled(rows, labels, most_rows), labels, most_rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = rows.mapInArrow(partial(_score_batches, model=model, keep=["doc_id"]), f"doc_id {kind}, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -209,14 +215,13 @@ def scored(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Da
 
 def accepted(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """docs without the rows whose text scores below 0.5. Columns stay as they are, whatever their names."""
-    model = fitted(measured(sampled(docs, labels, most_rows)), labels)
-    batches_of(docs.sparkSession, 1000)
+    model = fitted(measured(sampled(docs, labels, most_rows)), labels, most_rows)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), F.col("text").alias("text"))
     schema = rows.select("row").schema
 
     def keep(batches):
-        for b in batches:
+        for b in pieces(batches, "text"):
             x = np.array([statistics(t) for t in b.column("text").to_pylist()]).reshape(-1, len(STATISTICS))
             good = np.clip(model.score(x), 0, 1) >= 0.5 if model else np.ones(len(x), bool)
             yield b.select(["row"]).filter(pa.array(good))
