@@ -14,7 +14,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.llm.components import components
@@ -130,6 +130,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, distance: int = 2) -> D
 
 #: Bits of a text's parity map: bit b is the parity of the shingles whose hash ends in b, so maps differ in no more bits than sets differ in shingles.
 PARITY = 1024
+#: Sets with more shingles than this also have a wide map, of two to four bits a shingle, as a map fills up.
+WIDE_FROM = 512
+#: Values of which so many of the texts looked at have one are dealt to many tasks; there are LOOKED_AT / HOT_TEXTS * (values of a prefix) of them at most.
+HOT_TEXTS, HOT_VALUES = 10, 1_000
 #: Texts looked at for usual shingles, and most of these that are kept. They order the search and never change its result.
 LOOKED_AT, USUAL = 10_000, 200_000
 #: Rows of a block, about; blocks are compared with blocks, a pair of them in a task, so no task holds all rows of a key.
@@ -141,11 +145,24 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate([*shingle_hashes(text, width), np.zeros(0, np.uint64)]))
 
 
-def parity(h: np.ndarray) -> np.ndarray:
-    odd = (np.bincount((h % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
+def parity(h: np.ndarray, bits: int = PARITY) -> np.ndarray:
+    odd = (np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def wide_parity(h: np.ndarray) -> bytes | None:
+    return parity(h, 1 << (2 * len(h) - 1).bit_length()).tobytes() if len(h) > WIDE_FROM else None
+
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    """Bits that two maps differ in, the longer one folded to the other's length: maps are powers of two long."""
+    x, y = (np.frombuffer(m, np.uint64) for m in (x, y))
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 class Usual:
     """Usual shingles, the most usual first, ready to be looked up."""
 
@@ -171,17 +188,21 @@ def prefix(h: np.ndarray, usual: Usual, similarity: float) -> np.ndarray:
     return usual.ordered(h)[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64)
 
 
+MARKS = ["size", "bits", "wide", "prefix"]
+
+
 def _marked_batches(batches, width, similarity, usual):
-    usual = Usual(usual)
+    usual = Usual(usual.value)
     for b in pieces(batches, "text"):
-        sizes, bits, first = [], [], []
+        sizes, bits, wide, first = [], [], [], []
         for t in _texts(b):
             h = shingle_set(t, width)
             sizes.append(len(h))
             bits.append(parity(h))
+            wide.append(wide_parity(h))
             first.append(prefix(h, usual, similarity))
         bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bits)), PARITY // 64).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "none", "id")), pa.array(sizes, pa.int32()), bits, pa.array(first, pa.list_(pa.int64()))], ["key", "none", "id", "size", "bits", "prefix"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "none", "id")), pa.array(sizes, pa.int32()), bits, pa.array(wide, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["key", "none", "id", *MARKS])
 
 
 def _value_batches(batches, width):
@@ -190,12 +211,15 @@ def _value_batches(batches, width):
             yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, width).view(np.int64))], ["v"])
 
 
-def usual_shingles(rows: DataFrame, width: int) -> np.ndarray:
-    """Shingles that several of some 10,000 texts hold, the most usual first."""
+def usual_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, list[int]]:
+    """Shingles that several of some 10,000 texts hold, the most usual first, and those at the head that HOT_TEXTS hold."""
     part = max(1, rows.count() // LOOKED_AT)
     values = rows.where(F.pmod(F.col("key"), F.lit(part)) == 0).select("text").distinct().mapInArrow(partial(_value_batches, width=width), "v long")
     counted = values.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "v").limit(USUAL)
-    return counted.select("v").toArrow().column("v").to_numpy().view(np.uint64)
+    counted = counted.toArrow()
+    hot = int((counted.column("n").to_numpy() >= HOT_TEXTS).sum())
+    values = counted.column("v").to_numpy()
+    return values.view(np.uint64), values[: min(hot, HOT_VALUES)].tolist()
 
 
 def _set_batches(batches, width):
@@ -303,6 +327,14 @@ def cross_pairs(rooted: DataFrame, texts: DataFrame, similarity: float) -> DataF
     return cells.mapInArrow(partial(_pair_batches, similarity=similarity), "a long, b long").distinct()
 
 
+def _apart_batches(batches, similarity):
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+            keep.append(parity_distance(x["wide"], y["wide"]) <= _apart(x["size"], y["size"], similarity))
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def close_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The distinct pairs (a, b) whose parity maps allow the similarity."""
     both = with_both(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts.select("key", F.struct("size", "bits").alias("m")), "m")
@@ -310,29 +342,54 @@ def close_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFr
     return both.where(odd <= _apart(F.col("x.size"), F.col("y.size"), similarity)).select("a", "b")
 
 
-def linked_texts(texts: DataFrame, verified, similarity: float, full: int = FULL) -> DataFrame:
+def wide_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of which one has no wide map, or whose wide maps allow the similarity, as a table: maps take a thirtieth of a set's bytes."""
+    pairs = saved(pairs, "pairs")
+    long_ = saved(texts.where("wide IS NOT NULL").select("key", F.struct("size", "wide").alias("m")), "long")
+    ends = small(long_.select("key"))
+    both = pairs.join(ends.withColumnRenamed("key", "a"), "a", "left_semi").join(ends.withColumnRenamed("key", "b"), "b", "left_semi").select("a", "b")
+    compared = with_both(both, long_, "m").mapInArrow(partial(_apart_batches, similarity=similarity), "a long, b long")
+    out = saved(pairs.join(both, ["a", "b"], "left_anti").unionByName(compared), "close")
+    dropped(pairs, long_)
+    return out
+
+
+def met_values(texts: DataFrame, hot: list[int]) -> DataFrame:
+    """(k, key, size, at, met) for each value k of a prefix that more than one row has, met being their number. Values that are not in `hot` are shuffled
+    once, rows and count together: few rows share one, as the texts looked at tell. Those in `hot` are counted first, and their rows dealt to many tasks."""
+    keyed = texts.select("key", "size", F.posexplode("prefix").alias("at", "k")).select("k", "key", "size", "at")
+    often = F.col("k").isin(hot) if hot else F.lit(False)
+    rare = keyed.where(~often).withColumn("met", F.count("*").over(Window.partitionBy("k"))).where("met > 1")
+    if not hot:
+        return rare
+    keyed = keyed.where(often)
+    sizes = keyed.groupBy("k").agg(F.count("*").alias("n"))
+    return rare.unionByName(keyed.join(F.broadcast(sizes.select("k", F.col("n").alias("met"))), "k").where("met > 1"))
+
+
+def linked_texts(texts: DataFrame, verified, similarity: float, hot: list[int] | None = None, full: int = FULL) -> DataFrame:
     """Links (a, b) between rows of texts (key, size, bits, prefix) that connect exactly those that a chain of similar pairs connects.
-    verified(pairs) gives the similar ones of (a, b).
+    verified(pairs) gives a table of the similar ones of (a, b).
 
     Similar sets share a value of their prefixes. Rows under a value that at most `full` share are paired. Under a fuller one, each is first paired with a head
     that a digest picks, which links most of a group of copies; then all pairs of rows that are still in different components are
     compared, by cross_pairs. So no pair is left out that could connect anything.
     """
-    keyed = texts.select("key", "size", F.posexplode("prefix").alias("at", "k"))
-    sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    values = texts.agg(F.coalesce(F.sum(F.size("prefix").cast("long")), F.lit(0))).first()[0]
-    met = saved(split_join(keyed, sizes.withColumn("met", F.col("n")), "k", ["key"], values), "met")
+    met = saved(met_values(texts, hot or []), "met")
+    values = met.count()
     few = met.where(F.col("met") <= full).groupBy("k").agg(F.collect_list(F.struct("key", "size", "at")).alias("all"))
     pair = F.explode(F.expr("flatten(transform(all, (a, i) -> transform(slice(all, i + 2, size(all)), b -> struct(a, b))))"))
     few = few.select(pair.alias("p")).select("p.a", "p.b").where(_may_share(F.col("a.size"), F.col("a.at"), F.col("b.size"), F.col("b.at"), similarity)).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
     crowded = met.where(F.col("met") > full)
     heads = crowded.groupBy("k").agg(F.min_by("key", F.xxhash64(F.col("k").bitwiseAND(F.lit(3)), "key")).alias("head"), F.count("*").alias("n"))
     stars = split_join(crowded.select("k", "key"), heads, "k", ["key"], values).select(F.col("head").alias("a"), F.col("key").alias("b"))
-    links = saved(verified(close_pairs(few.unionByName(stars), texts, similarity)), "links")
+    links = verified(close_pairs(few.unionByName(stars), texts, similarity))
     found = saved(components(links), "found")
     rooted = crowded.join(small(found), crowded["key"] == found["node"], "left").select("k", "key", "size", "at", F.coalesce("root", "key").alias("root"))
-    rest = saved(verified(cross_pairs(saved(rooted, "rooted"), texts, similarity)), "links")
+    rooted = saved(rooted, "rooted")
     dropped(met)
+    rest = verified(cross_pairs(rooted, texts, similarity))
+    dropped(rooted, found)
     return links.unionByName(rest)
 
 
@@ -345,25 +402,27 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Da
     are, whatever their names. An empty table stays empty. Texts are known by a 64-bit digest of their SHA-256, shingles by 64 bits.
     """
     body = F.coalesce("text", F.lit(""))
+    spark = docs.sparkSession
     named = [F.xxhash64(F.sha2(body, 256)).alias("key"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")]
     rows = docs.select(*named, body.alias("text"))
-    marked = rows.mapInArrow(partial(_marked_batches, width=width, similarity=similarity, usual=usual_shingles(rows, width)), "key long, none boolean, id long, size int, bits array<long>, prefix array<long>")
-    first = F.min(F.struct("none", "id")).alias("first")
-    marks = [F.any_value(c).alias(c) for c in ("size", "bits", "prefix")]
-    texts = marked.groupBy("key", "none", "id").agg(F.count("*").alias("n"), *marks)
-    texts = texts.groupBy("key").agg(first, F.max("n").alias("n"), *marks)
-    texts = saved(texts.select("key", "first.none", "first.id", "n", "size", "bits", "prefix"), "texts")
-    repeated = not texts.where("n > 1").isEmpty()
+    usual, hot = usual_shingles(rows, width)
+    sent = spark.sparkContext.broadcast(usual)
+    marked = rows.mapInArrow(partial(_marked_batches, width=width, similarity=similarity, usual=sent), "key long, none boolean, id long, size int, bits array<long>, wide binary, prefix array<long>")
+    texts = marked.groupBy("key").agg(F.min(F.struct("none", "id")).alias("first"), *[F.any_value(c).alias(c) for c in MARKS])
+    texts = saved(texts.select("key", "first.none", "first.id", *MARKS), "texts")
+    repeated = not rows.groupBy("key", "none", "id").count().where("count > 1").isEmpty()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        close = saved(pairs, "close")
+        close = wide_pairs(pairs, texts, similarity)
         wanted = close.select(F.col("a").alias("key")).unionByName(close.select(F.col("b").alias("key"))).distinct()
-        wanted = texts.select("key", "none", "id").join(wanted, "key", "left_semi")
-        sets = rows.join(small(saved(wanted, "wanted")), ["key", "none", "id"], "left_semi").select("key", "text").mapInArrow(partial(_set_batches, width=width), "key long, shingles binary")
+        wanted = saved(texts.select("key", "none", "id").join(wanted, "key", "left_semi"), "wanted")
+        sets = rows.join(small(wanted), ["key", "none", "id"], "left_semi").select("key", "text").mapInArrow(partial(_set_batches, width=width), "key long, shingles binary")
         sets = saved(sets.dropDuplicates(["key"]) if repeated else sets, "sets")
-        return with_both(close, sets, "shingles").mapInArrow(partial(_similar_batches, similarity=similarity), "a long, b long")
+        links = saved(with_both(close, sets, "shingles").mapInArrow(partial(_similar_batches, similarity=similarity), "a long, b long"), "links")
+        dropped(close, wanted, sets)
+        return links
 
-    found = components(linked_texts(texts, verified, similarity))
+    found = components(linked_texts(texts, verified, similarity, hot))
     grouped = texts.join(found, texts["key"] == found["node"], "left").select("key", "none", "id", F.coalesce("root", "key").alias("root"))
     best = grouped.groupBy("root").agg(F.min(F.struct("none", "id", "key")).alias("b")).select("b.key", "b.none", "b.id")
     best = small(saved(best, "best"))

@@ -21,6 +21,8 @@ BROADCAST_BYTES = 32 << 20
 ROW_BYTES = 48
 #: A key with more rows than this, and than one in HOT_SHARE of all, is dealt to SALTS tasks; so there are HOT_SHARE such keys at most.
 HOT_ROWS, HOT_SHARE, SALTS = 5_000, 1_000, 32
+#: Spark's setting, where it has one, that shuffle files are deleted at the end of an execution.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of a column that a worker takes up at a time.
 PIECE = 4 << 20
 
@@ -59,10 +61,18 @@ atexit.register(_delete_saved)
 
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet under the shared folder and return it read back: its lineage ends there, so a lost executor
-    costs no recomputation of what came before. What dropped() has not deleted by then goes when the driver's process ends."""
+    costs no recomputation of what came before. The write's shuffle files go when it ends, as nothing reads them again; for that a setting of the session is changed
+    while it runs. What dropped() has not deleted by then goes when the driver's process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyglass/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyglass_path = path
     _saved.append((spark, path))
