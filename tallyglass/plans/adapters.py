@@ -50,6 +50,48 @@ FROM g
 """
 
 
+#: A page for each customer, in five shapes: who issued it and whose it is are told by place, honorific or sign; phones stand behind, beside or in a label.
+NAMED_WORDS = """
+WITH c AS (SELECT CAST(c_custkey AS STRING) AS doc_id, c_custkey % 5 AS shape, lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') AS tail,
+  CASE c_custkey % 3 WHEN 0 THEN '한빛' WHEN 1 THEN '푸른' ELSE '동해' END AS name FROM {customer}),
+w AS (
+  SELECT doc_id, 0 AS word_idx, '계량증명서' AS text, 100 AS x0, 300 AS x1, 0 AS line FROM c
+  UNION ALL SELECT doc_id, 1, 'Hanbit', 10, 80, 1 FROM c WHERE shape = 1 UNION ALL SELECT doc_id, 2, 'ENG', 90, 130, 1 FROM c WHERE shape = 1
+  UNION ALL SELECT doc_id, 3, '(주)' || name || '금속', 10, 150, 1 FROM c WHERE shape = 4
+  UNION ALL SELECT doc_id, 4, '대한산업', 10, 80, 4 FROM c WHERE shape IN (0, 2) UNION ALL SELECT doc_id, 5, '귀하', 90, 130, 4 FROM c WHERE shape IN (0, 2)
+  UNION ALL SELECT doc_id, 6, '02-555-0' || tail, 10, 120, 5 FROM c WHERE shape = 1 UNION ALL SELECT doc_id, 7, '-', 10, 20, 5 FROM c WHERE shape <> 1
+  UNION ALL SELECT doc_id, 8, 'TEL031-123-0' || tail, 10, 150, 7 FROM c WHERE shape = 1
+  UNION ALL SELECT doc_id, 9, '전화', 10, 50, 7 FROM c WHERE shape = 2 UNION ALL SELECT doc_id, 10, '(031)555-0' || tail, 60, 160, 7 FROM c WHERE shape = 2
+  UNION ALL SELECT doc_id, 11, name, 10, 60, 8 FROM c WHERE shape = 0 UNION ALL SELECT doc_id, 12, '환경', 70, 120, 8 FROM c WHERE shape = 0
+  UNION ALL SELECT doc_id, 13, 'TEL', 130, 160, 8 FROM c WHERE shape = 0 UNION ALL SELECT doc_id, 14, '031-123-0' || tail, 170, 270, 8 FROM c WHERE shape = 0
+  UNION ALL SELECT doc_id, 15, '(주)' || name || '금속', 10, 150, 8 FROM c WHERE shape IN (3, 4)
+  UNION ALL SELECT doc_id, 16, '-', 10, 20, 10 FROM c)
+SELECT doc_id, word_idx, text, CAST(x0 AS DOUBLE) AS x_min, CAST(10 + 70 * line AS DOUBLE) AS y_min, CAST(x1 AS DOUBLE) AS x_max, CAST(30 + 70 * line AS DOUBLE) AS y_max, CAST(0.9 AS DOUBLE) AS confidence FROM w
+"""
+
+#: A label, a quantity and its unit for each customer: tonnes, thousands, a unit out of reach, too small a number, a half.
+QUANTITY_WORDS = """
+WITH c AS (SELECT c_custkey AS k, CAST(c_custkey AS STRING) AS doc_id, c_custkey % 5 AS shape FROM {customer}),
+w AS (SELECT doc_id, 0 AS word_idx, '총중량' AS text, 10 AS x0, 80 AS x1 FROM c
+  UNION ALL SELECT doc_id, 1, CASE shape WHEN 0 THEN CAST(10 + k % 50 AS STRING) || '.5' WHEN 1 THEN CAST(1 + k % 9 AS STRING) || ',' || lpad(CAST(k % 1000 AS STRING), 3, '0')
+    WHEN 2 THEN CAST(10 + k % 80 AS STRING) WHEN 3 THEN '9' ELSE CAST(100 + k % 100 AS STRING) || '.5' END, 90, 150 FROM c
+  UNION ALL SELECT doc_id, 2, CASE WHEN shape IN (0, 2) THEN 't' ELSE 'kg' END, CASE WHEN shape = 2 THEN 190 ELSE 160 END, 200 FROM c)
+SELECT doc_id, word_idx, text, CAST(x0 AS DOUBLE) AS x_min, CAST(10 AS DOUBLE) AS y_min, CAST(x1 AS DOUBLE) AS x_max, CAST(30 AS DOUBLE) AS y_max, CAST(0.9 AS DOUBLE) AS confidence FROM w
+"""
+
+#: Company and issuer as read, for each supplier: a supplier named as company, one firm written in two ways, two firms, no company.
+NAMED_PARTIES = """
+SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 'Supplier : Metal ' || CAST(s_suppkey AS STRING) WHEN 1 THEN '(주)한빛' || CAST(s_suppkey AS STRING) WHEN 2 THEN '한빛' || CAST(s_suppkey AS STRING) END AS company,
+  CASE s_suppkey % 4 WHEN 0 THEN '동해' WHEN 1 THEN '한빛 ' || CAST(s_suppkey AS STRING) || '.' ELSE '푸른' || CAST(s_suppkey AS STRING) END AS issuer FROM {supplier}
+"""
+
+#: Decomposed text for each customer: a syllable in two or three conjoining letters, and a letter with a combining accent.
+DECOMPOSED = """
+SELECT c_custkey AS k, substr('\u1100\u1102\u1103\u1105\u1106\u1107\u1109', CAST(1 + c_custkey % 7 AS INT), 1) || substr('\u1161\u1165\u1169\u116e\u1175', CAST(1 + c_custkey % 5 AS INT), 1)
+  || CASE WHEN c_custkey % 2 = 0 THEN substr('\u11a8\u11ab\u11af', CAST(1 + c_custkey % 3 AS INT), 1) ELSE '' END || ' e' || '\u0301' || ' ' || c_name AS text FROM {customer}
+"""
+
+
 def frame(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """An adapter's rows in Spark."""
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})

@@ -12,8 +12,8 @@ from tallyglass.functions import quality as Q
 from tallyglass.functions import textnorm as N
 from tallyglass.functions import vocab as V
 from tallyglass.functions.similarity import best_score, folded, label_rows
-from tallyglass.operators import evaluate, labels, review, spatial, weights, words
-from tallyglass.plans.adapters import LINE_WORDS, TICKET_TEXTS, TICKET_WORDS, WEIGHINGS, duck, frame
+from tallyglass.operators import evaluate, fields, labels, review, spatial, weights, words
+from tallyglass.plans.adapters import DECOMPOSED, LINE_WORDS, NAMED_PARTIES, NAMED_WORDS, QUANTITY_WORDS, TICKET_TEXTS, TICKET_WORDS, WEIGHINGS, duck, frame
 from tallyglass.plans.documents import Options, from_text, parsed, scored
 from tallyglass.sources import ocr, sinks
 
@@ -403,6 +403,46 @@ def topk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.array_join(F.transform(spatial.left_to_right(F.slice("near", 1, 5)), lambda n: n["text"]), " ").alias("nearest"))
 
 
+# ---- who issued a page, whose it is, and how to reach them ----
+
+
+@query("""WITH c AS (SELECT c_custkey::VARCHAR AS doc_id, c_custkey % 5 AS shape, lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS tail,
+  CASE c_custkey % 3 WHEN 0 THEN '한빛' WHEN 1 THEN '푸른' ELSE '동해' END AS name FROM customer)
+SELECT doc_id, CASE WHEN shape IN (0, 2) THEN '대한산업' WHEN shape = 4 THEN '(주)' || name || '금속' END AS company,
+  CASE shape WHEN 0 THEN name || '환경' WHEN 1 THEN 'Hanbit ENG' WHEN 3 THEN '(주)' || name || '금속' END AS issuer,
+  CASE WHEN shape IN (0, 1) THEN '031-123-0' || tail WHEN shape = 2 THEN '(031)555-0' || tail END AS phone FROM c""")
+def named_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascades of company, issuer and phone: the word before an honorific, the veto of names at the foot, the best-rated word's
+    line, numbers in, beside and away from a phone label."""
+    w = F.col("words")
+    docs = words.collected(frame(spark, sf_dir, NAMED_WORDS, "customer")).withColumns({"text": words.full_text(w), "runs": labels.runs(w)})
+    docs = docs.withColumn("company", fields.company(w, F.col("text"), labels.field_label(w, F.col("runs"), "company")))
+    return docs.select("doc_id", "company", fields.issuer(w, F.col("text"), F.col("company")).alias("issuer"), fields.phone(w, F.col("text")).alias("phone"))
+
+
+@query("""SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 1 THEN '(주)한빛' || s_suppkey::VARCHAR WHEN 2 THEN '한빛' || s_suppkey::VARCHAR END AS company,
+  CASE s_suppkey % 4 WHEN 0 THEN 'Metal ' || s_suppkey::VARCHAR WHEN 1 THEN NULL ELSE '푸른' || s_suppkey::VARCHAR END AS issuer FROM supplier""")
+def settled_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier named as company becomes the issuer; an issuer that is the company goes."""
+    company, issuer = fields.settled(F.col("company"), F.col("issuer"))
+    return frame(spark, sf_dir, NAMED_PARTIES, "supplier").select("k", company.alias("company"), issuer.alias("issuer"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS doc_id, (CASE c_custkey % 5 WHEN 0 THEN 10500 + 1000 * (c_custkey % 50) WHEN 1 THEN 1000 * (1 + c_custkey % 9) + c_custkey % 1000 WHEN 2 THEN 10 + c_custkey % 80
+  WHEN 4 THEN round_even(100.5 + c_custkey % 100, 0) END)::INTEGER AS weight FROM customer""")
+def nearby_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weight beside a label, in its unit, within reach."""
+    w = F.col("words")
+    docs = words.collected(frame(spark, sf_dir, QUANTITY_WORDS, "customer"))
+    return docs.select("doc_id", spatial.value_near(F.get(w, F.lit(0)), w, "weight", 50.0).alias("weight"))
+
+
+@query(f"SELECT k, nfc_normalize(text) AS text, length(nfc_normalize(text)) AS n FROM ({duck(DECOMPOSED, 'customer')})")
+def composed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decomposed texts in their composed form."""
+    return frame(spark, sf_dir, DECOMPOSED, "customer").select("k", N.nfc(F.col("text")).alias("text")).withColumn("n", F.char_length("text").cast("bigint"))
+
+
 # ---- extraction from text ----
 
 
