@@ -92,9 +92,22 @@ SELECT c_custkey AS k, substr('\u1100\u1102\u1103\u1105\u1106\u1107\u1109', CAST
 """
 
 
+#: Bytes of a table a core, below which its rows are dealt to a few tasks a core before they are worked on.
+SMALL = 32 << 20
+
+
+def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table. Pages take long to read and little room, so a file of one row group would keep one core busy: a table of few bytes
+    a core is dealt to several tasks a core. Larger ones are read as they are split, without a shuffle."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(4 * cores) if size < SMALL * cores else rows
+
+
 def frame(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """An adapter's rows in Spark."""
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    return spark.sql(sql, **{t: source(spark, sf_dir, t) for t in tables})
 
 
 def duck(sql: str, *tables: str) -> str:

@@ -13,7 +13,7 @@ from tallyglass.functions import textnorm as N
 from tallyglass.functions import vocab as V
 from tallyglass.functions.similarity import best_score, folded, label_rows
 from tallyglass.operators import evaluate, fields, labels, review, spatial, weights, words
-from tallyglass.plans.adapters import DECOMPOSED, LINE_WORDS, NAMED_PARTIES, NAMED_WORDS, QUANTITY_WORDS, TICKET_TEXTS, TICKET_WORDS, WEIGHINGS, duck, frame
+from tallyglass.plans.adapters import DECOMPOSED, LINE_WORDS, NAMED_PARTIES, NAMED_WORDS, QUANTITY_WORDS, TICKET_TEXTS, TICKET_WORDS, WEIGHINGS, duck, frame, source
 from tallyglass.plans.documents import Options, from_text, parsed, scored
 from tallyglass.sources import ocr, sinks
 
@@ -47,11 +47,6 @@ def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- whole documents ----
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """docs over a few tasks a core: tickets take long to read and little room, so a small file would keep one core busy."""
-    return docs.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
-
-
 _SCORES = """
   round_even((dc * 1.0 + 100.0 + CASE WHEN ok THEN (tc * 1.5 + ac * 1.0 + nc * 1.5) ELSE 0 END + 40.0) / (CASE WHEN ok THEN 6.4 ELSE 2.4 END), 2)::DOUBLE AS overall_confidence"""
 _SCORED = f"""
@@ -77,7 +72,7 @@ SELECT doc_id, y || '-' || m || '-' || d AS date, plate AS vehicle_num, CASE WHE
   NULL::VARCHAR AS issuer, NULL::VARCHAR AS phone, NULL::VARCHAR AS ticket_id FROM r""")
 def box_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets of boxed words to scored records: scan, cleaning, layout, labels, neighbours, strategies, vote, cascades, scoring."""
-    out = parsed(spread(boxed_tickets(spark, sf_dir)), Options(as_of=AS_OF))
+    out = parsed(boxed_tickets(spark, sf_dir), Options(as_of=AS_OF))
     return out.select("doc_id", "date", "vehicle_num", *V.RANGES, "company", "product", "overall_confidence", "review_priority", F.array_join("issues", "|").alias("issues"), "issuer", "phone", "ticket_id")
 
 
@@ -97,7 +92,7 @@ def ticket_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_records(texts: DataFrame) -> DataFrame:
-    out = parsed(ocr.texts(spread(texts), "doc_id", "text"), Options(as_of=AS_OF))
+    out = parsed(ocr.texts(texts, "doc_id", "text"), Options(as_of=AS_OF))
     return out.select("doc_id", "date", "vehicle_num", *V.RANGES, "company", "product", "type", "phone", "gps.latitude", "gps.longitude", "overall_confidence")
 
 
@@ -110,7 +105,7 @@ def text_route_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text through the text route; held against the fixtures' expectations in tests."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+    docs = source(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     return scored(from_text(docs), Options(as_of=AS_OF)).select("doc_id", *V.FIELDS, "overall_confidence", "review_priority")
 
 
@@ -122,7 +117,7 @@ _GRID = f"""SELECT *, (word_idx % 10) * 60.0 + word_idx % 3 AS x0, (word_idx //
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page): every document's words on a grid, ten to a line."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = source(spark, sf_dir, "documents")
     ws = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
 
     def made(t: Column, i: Column) -> Column:
@@ -190,7 +185,7 @@ def lines_by_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_partkey, trim(regexp_replace(replace(replace('  ' || p_name || '  샹 호 ', '샹 호', '상호'), '차랑', '차량'), '\\s+', ' ', 'g')) AS cleaned FROM part""")
 def word_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/part.parquet")
+    df = source(spark, sf_dir, "part")
     return df.select("p_partkey", N.cleaned_word(N.nfc(F.concat(F.lit("  "), "p_name", F.lit("  샹 호 ")))).alias("cleaned"))
 
 
@@ -353,7 +348,7 @@ m AS (SELECT w, l, list_reduce(list_prepend((-1)::BIGINT, {_MASK}), lambda v, m:
 s AS (SELECT w, max(CASE WHEN w = l THEN 100.0 ELSE 200.0 * bit_count(~v & ((1::BIGINT << length(l)) - 1)) / (length(w) + length(l)) END) AS score FROM m GROUP BY w)
 SELECT w.w AS word, count(*) AS n, max(s.score)::DOUBLE AS score FROM w JOIN s USING (w) WHERE s.score >= 50 GROUP BY w.w""")
 def fuzzy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = source(spark, sf_dir, "part")
     w = part.select(F.explode(F.split(F.concat_ws(" ", "p_type", "p_name"), " ")).alias("word")).select(folded(F.col("word")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
     return w.withColumn("score", best_score(F.col("word"), F.lit(0), label_rows(_LABEL_WORDS), 50.0)).where("score IS NOT NULL")
 
