@@ -76,32 +76,19 @@ def box_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "date", "vehicle_num", *V.RANGES, "company", "product", "overall_confidence", "review_priority", F.array_join("issues", "|").alias("issues"), "issuer", "phone", "ticket_id")
 
 
-@query(f"""WITH t AS (SELECT *, true AS ok, greatest(tare, net) AS a, least(tare, net) AS b FROM ({T}) WHERE k % 11 <> 0),
+@query(f"""WITH t AS (SELECT *, k % 11 <> 0 AS ok, greatest(tare, net) AS a, least(tare, net) AS b FROM ({T})),
 s AS (SELECT *, CASE WHEN make_date(y::INT, m::INT, d::INT) > DATE '{AS_OF}' THEN 80.0 ELSE 100.0 END::DOUBLE AS dc,
   (100 - CASE WHEN total % 1000 = 0 THEN 5 ELSE 0 END)::DOUBLE AS tc, (100 - CASE WHEN a % 1000 = 0 THEN 5 ELSE 0 END)::DOUBLE AS ac, (100 - CASE WHEN b % 1000 = 0 THEN 5 ELSE 0 END)::DOUBLE AS nc FROM t)
-SELECT doc_id, y || '-' || m || '-' || d AS date, plate AS vehicle_num, total AS total_weight, a AS tare_weight, b AS net_weight, '대한산업' AS company, '고철' AS product,
-  CASE WHEN k % 2 = 0 THEN '입고' ELSE '출고' END AS type, '031-123-0' || tail AS phone, ('37.234' || tail)::DOUBLE AS latitude, ('127.345' || tail)::DOUBLE AS longitude,
+SELECT doc_id, y || '-' || m || '-' || d AS date, plate AS vehicle_num, CASE WHEN ok THEN total END AS total_weight, CASE WHEN ok THEN a END AS tare_weight, CASE WHEN ok THEN b END AS net_weight,
+  '대한산업' AS company, '고철' AS product, CASE WHEN k % 2 = 0 THEN '입고' ELSE '출고' END AS type, '031-123-0' || tail AS phone, ('37.234' || tail)::DOUBLE AS latitude, ('127.345' || tail)::DOUBLE AS longitude,
   {_SCORES.strip()} FROM s""")
 def text_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain tickets whose weights balance, the ones its SQL gives, to scored records, without a shuffle; text_route_whole runs all."""
-    return text_records(ticket_texts(spark, sf_dir).where(F.col("doc_id").cast("long") % 11 != 0))
-
-
-def ticket_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, sf_dir, TICKET_TEXTS, "orders")
-
-
-def text_records(texts: DataFrame) -> DataFrame:
-    out = parsed(ocr.texts(texts, "doc_id", "text"), Options(as_of=AS_OF))
+    """Plain tickets to scored records, those whose weights don't balance too, without a shuffle."""
+    tickets = ocr.texts(frame(spark, sf_dir, TICKET_TEXTS, "orders"), "doc_id", "text")
+    out = parsed(tickets, Options(as_of=AS_OF))
     return out.select("doc_id", "date", "vehicle_num", *V.RANGES, "company", "product", "type", "phone", "gps.latitude", "gps.longitude", "overall_confidence")
 
 
-@query()
-def text_route_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """text_route over every order's ticket; held against brute force in tests."""
-    return text_records(ticket_texts(spark, sf_dir))
-
-
 @query()
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text through the text route; held against the fixtures' expectations in tests."""
@@ -227,21 +214,17 @@ def number_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Numbers of an order's lines, with the sum of the first two behind them: values that balance.
-_PLANTED = f"""p AS (SELECT doc_id, word_idx AS i, 600 + number % 4000 AS value FROM ({LW}) WHERE word_idx < 6),
-c AS (SELECT * FROM p UNION ALL SELECT doc_id, 9, sum(value) FROM p WHERE i < 2 GROUP BY doc_id)"""
+_PLANTED = f"""p AS (SELECT doc_id, word_idx AS i, 600 + number % 4000 AS value FROM ({LW})),
+c AS (SELECT * FROM p UNION ALL SELECT doc_id, {2**31 - 1}, sum(value) FROM p WHERE i < 2 GROUP BY doc_id)"""
 _ORDERS = "(VALUES (1, 1, 2, 3), (2, 1, 3, 2), (3, 2, 1, 3), (4, 2, 3, 1), (5, 3, 1, 2), (6, 3, 2, 1)) AS o(n, t, a, e)"
 _VALID = "abs(total - (tare + net)) <= 50 AND tare >= 500 AND net >= 10 AND tare < total AND net < total AND net / total BETWEEN 0.001 AND 0.95"
 
 
-def planted(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(doc_id, found): candidates of which three balance, from the first six lines of an order as the SQL has them, or from all."""
-    lines, last = frame(spark, sf_dir, LINE_WORDS, "lineitem"), 9
-    if whole:
-        last = 2**31 - 1
-    else:
-        lines = lines.where("word_idx < 6")
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, found): candidates of every line of an order, of which three balance."""
+    lines = frame(spark, sf_dir, LINE_WORDS, "lineitem")
     p = lines.select("doc_id", F.col("word_idx").alias("i"), (600 + F.col("number") % 4000).cast("bigint").alias("value"))
-    total = p.where("i < 2").groupBy("doc_id").agg(F.sum("value").alias("value")).select("doc_id", F.lit(last).alias("i"), "value")
+    total = p.where("i < 2").groupBy("doc_id").agg(F.sum("value").alias("value")).select("doc_id", F.lit(2**31 - 1).alias("i"), "value")
     one = F.struct("i", "value", F.col("i").cast("double").alias("cy"))
     return p.unionByName(total).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda s: F.struct(s["value"].alias("value"), s["i"].alias("i"), s["cy"].alias("cy"))).alias("found"))
 
@@ -251,36 +234,17 @@ a AS (SELECT doc_id, i, j, k, n, v[t] AS total, v[a] AS tare, v[e] AS net, list_
 g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, i, j, k, n) AS place FROM a WHERE {_VALID})
 SELECT doc_id, total::INT AS total_weight, tare::INT AS tare_weight, net::INT AS net_weight FROM g WHERE place = 1""")
 def triplet_equation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return equation_triplets(planted(spark, sf_dir))
-
-
-def equation_triplets(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", weights.by_equation(F.col("found")).alias("t")).where("t IS NOT NULL").select("doc_id", "t.*")
-
-
-@query()
-def triplet_equation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """triplet_equation over every line of an order; held against brute force in tests."""
-    return equation_triplets(planted(spark, sf_dir, whole=True))
+    t = planted(spark, sf_dir).select("doc_id", weights.by_equation(F.col("found")).alias("t"))
+    return t.where("t IS NOT NULL").select("doc_id", "t.*")
 
 
 @query(f"""WITH {_PLANTED}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS place FROM c), v AS (SELECT doc_id, list(value ORDER BY place) AS v FROM r WHERE place <= 3 GROUP BY doc_id HAVING count(*) = 3),
 a AS (SELECT doc_id, n, v[t] AS total, v[a] AS tare, v[e] AS net FROM v, {_ORDERS}), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS place FROM a WHERE {_VALID})
 SELECT doc_id, total::INT AS total_weight, tare::INT AS tare_weight, net::INT AS net_weight FROM g WHERE place = 1""")
 def spatial_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_triplets(planted(spark, sf_dir))
-
-
-def order_triplets(found: DataFrame) -> DataFrame:
     turned = F.transform("found", lambda c: F.struct(c["value"].alias("value"), c["i"].alias("i"), (-c["cy"]).alias("cy")))
-    return found.select("doc_id", weights.by_order(turned).alias("t")).where("t IS NOT NULL").select("doc_id", "t.*")
-
-
-@query()
-def spatial_order_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """spatial_order over every line of an order; held against brute force in tests."""
-    return order_triplets(planted(spark, sf_dir, whole=True))
-
+    t = planted(spark, sf_dir).select("doc_id", weights.by_order(turned).alias("t"))
+    return t.where("t IS NOT NULL").select("doc_id", "t.*")
 
 
 @query(f"""WITH s AS (SELECT doc_id, k, 1 AS r, CASE WHEN k % 3 = 0 THEN net + 1 ELSE net END AS net, 8000 + k % 90 + net AS t FROM ({T}) UNION ALL SELECT doc_id, k, 2, net, 8000 + k % 90 + net FROM ({T}) WHERE k % 5 <> 0
