@@ -112,17 +112,31 @@ def thresholds(layout_: Column) -> Column:
 def lines_by_head(words: Column, same_line: Column) -> Column:
     """Lines as arrays of words from left to right: a word joins while it is near the line's first word in height."""
     ordered = F.array_sort(F.transform(words, lambda w: F.struct(w["cy"].alias("cy"), w["i"].alias("i"), w.alias("w"))))
-    kind = f"array<struct<head:double,words:array<{WORD}>>>"
+    return _lines_of(ordered, same_line)
 
-    def step(lines: Column, x: Column) -> Column:
-        last, n = F.get(lines, F.size(lines) - 1), F.size(lines)
-        joined = F.concat(F.slice(lines, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.struct(last["head"].alias("head"), F.concat(last["words"], F.array(x["w"])).alias("words"))))
-        opened = F.concat(lines, F.array(F.struct(x["cy"].alias("head"), F.array(x["w"]).alias("words"))))
-        return F.when((n > 0) & (F.abs(x["cy"] - last["head"]) <= same_line), joined).otherwise(opened)
 
-    lines = F.aggregate(ordered, F.array().cast(kind), step)
-    by_x = lambda ws: F.transform(F.array_sort(F.transform(ws, lambda w, k: F.struct(w["cx"].alias("cx"), k.alias("k"), w.alias("w")))), lambda s: s["w"])
-    return F.transform(lines, lambda line: F.struct(by_x(line["words"]).alias("words"), (F.aggregate(line["words"], F.lit(0.0), lambda s, w: s + w["cy"]) / F.size(line["words"])).alias("y_avg")))
+@bound
+def _lines_of(ordered: Column, same_line: Column) -> Column:
+    """Only the places where lines begin are gathered, so that a step copies no words."""
+    start = F.struct(F.lit(None).cast("double").alias("head"), F.array().cast("array<int>").alias("starts"), F.lit(0).alias("k"))
+
+    def step(s: Column, x: Column) -> Column:
+        stays = F.struct(s["head"].alias("head"), s["starts"].alias("starts"), (s["k"] + 1).alias("k"))
+        opens = F.struct(x["cy"].alias("head"), F.concat(s["starts"], F.array(s["k"])).alias("starts"), (s["k"] + 1).alias("k"))
+        return F.when((F.size(s["starts"]) > 0) & (F.abs(x["cy"] - s["head"]) <= same_line), stays).otherwise(opens)
+
+    return _cut_lines(ordered, F.aggregate(ordered, start, step, lambda s: s["starts"]))
+
+
+@bound
+def _cut_lines(ordered: Column, starts: Column) -> Column:
+    by_x = lambda ws: F.transform(F.array_sort(F.transform(ws, lambda x, k: F.struct(x["w"]["cx"].alias("cx"), k.alias("k"), x["w"].alias("w")))), lambda s: s["w"])
+
+    def line(ws: Column) -> Column:
+        return F.struct(by_x(ws).alias("words"), (F.aggregate(ws, F.lit(0.0), lambda s, x: s + x["w"]["cy"]) / F.size(ws)).alias("y_avg"))
+
+    ends = lambda n: F.coalesce(F.get(starts, n + 1), F.size(ordered))
+    return F.transform(F.transform(starts, lambda s, n: F.slice(ordered, s + 1, ends(n) - s)), line)
 
 
 def rendered_lines(rows: DataFrame) -> DataFrame:
