@@ -31,7 +31,11 @@ BROKEN = "_corrupt_record"
 def documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """(doc_id, page, broken) of each JSON file under path, or of one file: its first page, and its text if it isn't valid JSON. Ids are the
     files' names without .json. No schema is inferred, so files are read once."""
-    raw = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
+    return from_files(spark.read.option("pathGlobFilter", glob).text(path, wholetext=True))
+
+
+def from_files(raw: DataFrame) -> DataFrame:
+    """(doc_id, page, broken) of files read as whole texts, a batch or a stream."""
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
     return _read(raw.select(stem.alias("doc_id"), F.col("value").alias("json")), "json")
 

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyglass.plans.documents import Options, parsed
-from tallyglass.sources.ocr import DOCUMENT
+from tallyglass.sources import ocr
+
+
+def files(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
+    """(doc_id, page, broken) of JSON files as they arrive, `per_trigger` files at a time: ocr.valid of it are documents, ocr.broken of it are
+    the texts that don't parse."""
+    raw = spark.readStream.option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    return ocr.from_files(raw)
 
 
 def documents(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
-    """(doc_id, page) of JSON files as they arrive, `per_trigger` files at a time."""
-    raw = spark.readStream.schema(DOCUMENT).option("multiLine", True).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", "*.json").json(path)
-    return raw.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("doc_id"), F.get("pages", F.lit(0)).alias("page"))
+    """(doc_id, page) of the JSON files that parse, as they arrive."""
+    return ocr.valid(files(spark, path, per_trigger))
 
 
 def records(docs: DataFrame, options: Options | None = None) -> DataFrame:
