@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import chat, decontam, extract, linededup, mixing, mpegts, packing, quality, simhash, urlfilter
+from tallyglass.llm import chat, decontam, extract, linededup, mixing, mpegts, packing, pii, quality, resampling, simhash, urlfilter, variants
 from tallyglass.llm.store import table
 
 
@@ -66,6 +66,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(rows.unionByName(more)))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight for the benchmark's texts, and its rank in a draw of a quarter of them."""
+    found = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words, usual form and root."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts by kind, spans and a digest of the base ones."""
+    return pii.summarised(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mpegts": op2_mpegts,
@@ -77,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extraction": op8_extraction,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
+    "op11_resampling": op11_resampling,
+    "op12_variants": op12_variants,
+    "op13_pii": op13_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {

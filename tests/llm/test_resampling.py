@@ -1,0 +1,84 @@
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+from zlib import crc32
+
+import pytest
+
+from tallyglass.llm import queries, resampling
+from tallyglass.llm.store import table
+
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def features(text, n=2):
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(UPPER))
+    return len(words), [crc32(" ".join(words[i : i + k]).encode()) % 10_000 for k in range(1, n + 1) for i in range(len(words) - k + 1)]
+
+
+def brute(docs, target, n=2):
+    s, t = (Counter(b for x in texts for b in features(x, n)[1]) for texts in ([x for _, x in docs], target))
+    big, small = sum(s.values()) + 10_000, sum(t.values()) + 10_000
+    out = []
+    for i, text in docs:
+        words, found = features(text, n)
+        gains = [math.floor(1000 * math.log((t[b] + 1) * big / ((s[b] + 1) * small))) for b in found]
+        weight = sum(gains) // len(gains) if gains else 0
+        h = int(hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append((i, words, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    may = sorted((r for r in out if r[1] >= 20), key=lambda r: (-r[4], r[0] is None, r[0] or 0))
+    return out, [(r[0], r[4]) for r in may[: len(may) * 25 // 100]]
+
+
+def check(got, docs, target, n=2):
+    rows, drawn = brute(docs, target, n)
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(rows, key=str)
+    assert [(r["doc_id"], r["score"]) for r in sorted((r for r in got if r["rank"]), key=lambda r: r["rank"])] == drawn
+    assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, len(drawn) + 1))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(3)
+    some = [" ".join(rng.choice(["Red", "blue", "grün", "x9", "ZZ", "one-two", "it's", "İ", "KK"]) for _ in range(rng.randrange(60))) for _ in range(150)]
+    return [*enumerate(some), (None, some[0]), (None, some[1]), (7, some[7]), (7, some[7]), (900, None), (901, ""), (902, " \x00-_ "), (903, "Red blue " * 40_000), (903, "Red blue " * 40_000), (904, "x" * 300_000), (905, "-" * 200_000 + "tail end")]
+
+
+def test_matches_brute_force(spark, texts):
+    docs = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS owned", "2 AS part", "3 AS score", "4 AS rank", "5 AS _place")
+    target = ["red red blue x9", None, "", "blue grün " * 30, "red blue " * 50_000]
+    wanted = spark.createDataFrame([(t,) for t in target], "text string")
+    for n, size in ((2, 64), (2, 1 << 16), (3, 10), (1, 7)):
+        check(resampling.resampled(docs, wanted, n=n, size=size).collect(), texts, target, n)
+
+
+def test_chunks_own_every_run_once():
+    rng = random.Random(1)
+    for _ in range(300):
+        words = [b"w" * rng.randrange(1, 9) + b"%d" % i for i in range(rng.randrange(40))]
+        text = b"  ".join(words) + b" "
+        for n in (1, 2, 4):
+            runs = Counter(b" ".join(words[i : i + k]) for k in range(1, n + 1) for i in range(len(words) - k + 1))
+            found = Counter()
+            for owned, part in resampling.chunks(text, n, rng.randrange(1, 60)):
+                own = part.split()
+                found.update(b" ".join(own[i : i + k]) for k in range(1, n + 1) for i in range(owned) if i + k <= len(own))
+            assert found == runs
+
+
+def test_nothing_to_draw(spark, no_docs):
+    target = spark.createDataFrame([("a b",)], "text string")
+    assert resampling.resampled(no_docs, target).count() == 0
+    few = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    check(resampling.resampled(few, target.limit(0)).collect(), [(1, "a b c"), (2, None)], [])
+
+
+def test_the_query(spark):
+    d = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in table(spark, d, "documents").select("doc_id", "text").collect()]
+    target = [r["text"] for r in table(spark, d, "benchmark").select("text").collect()]
+    got = queries.QUERIES["op11_resampling"](spark, d)
+    assert [f.dataType.simpleString() for f in got.select("doc_id", "n_features", "weight", "score", "rank").schema] == ["bigint"] * 5
+    check(got.select("doc_id", "n_words", "n_features", "weight", "score", "rank").collect(), docs, target)

@@ -1,0 +1,117 @@
+import random
+import re
+from collections import Counter
+from zlib import crc32
+
+import pytest
+
+from tallyglass.llm import queries, variants
+from tallyglass.llm.store import table
+
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words_of(docs):
+    n = Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(UPPER)
+            h = crc32(f"{'' if i is None else i}:{run}".encode())
+            n[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 31 == 0 else run] += 1
+    return {w: c for w, c in n.items() if len(w) >= 7 and c >= 2}
+
+
+def near(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def brute(n):
+    """By length and common halves, as no pair at a distance of one differs in both."""
+    beside = {w: set() for w in n}
+    buckets = {}
+    for w in n:
+        for size in {len(w), len(w) + 1}:
+            h = size // 2
+            buckets.setdefault((size, w[: h - 1]), []).append(w)
+            buckets.setdefault((size, None, w[len(w) - (size - h - 1) :] if size > h + 1 else ""), []).append(w)
+    for group in buckets.values():
+        for a in group:
+            beside[a].update(b for b in group if near(a, b))
+    form = {}
+    for w, c in n.items():
+        best = min(beside[w], key=lambda b: (-n[b], b), default=None)
+        form[w] = best if best is not None and n[best] >= 10 * c else None
+    out = set()
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.add((w, form[w], root, n[w], len(beside[w]), n[form[w]] if form[w] else None))
+    return out
+
+
+@pytest.fixture(scope="module")
+def vocab():
+    rng = random.Random(11)
+    out = {}
+    for letters, size, count in (("ab", (1, 9), 300), ("abcé", (3, 6), 150), ("xyzÿ", (7, 11), 200)):
+        for _ in range(count):
+            out["".join(rng.choice(letters) for _ in range(rng.randint(*size)))] = rng.choice((1, 1, 2, 20, 300, 5000))
+    stem = "prefixed" * 4
+    for _ in range(150):
+        out[stem + "".join(rng.choice("pq") for _ in range(rng.randint(0, 6)))] = rng.choice((2, 30))
+    out |= {"l" * k: 2 * k for k in range(2990, 3000)} | {"aaaa" + "😀" * 4: 9, "aaaa" + "😀" * 3: 100}
+    return out
+
+
+def slow(n):
+    beside = {w: [b for b in n if near(w, b)] for w in n}
+    return {(w, b) for w in n for b in beside[w]}
+
+
+@pytest.mark.parametrize("full,deepest", [(1_000, 16), (5, 16), (2, 5), (0, 3), (0, 40)])
+def test_pairs_match_brute_force(spark, vocab, full, deepest):
+    df = spark.createDataFrame(list(vocab.items()), "word string, n long").selectExpr("*", "1 AS k", "2 AS cut", "'z' AS rest")
+    rows = variants.near_pairs(df, full, deepest).collect()
+    got = [(r["word"], r["near"]) for r in rows]
+    assert len(got) == len(set(got)) and all(vocab[r["near"]] == r["near_n"] for r in rows)
+    assert set(got) == slow(vocab)
+
+
+def test_forms_and_roots(spark):
+    n = {"spelling": 20_000, "speling": 1_000, "spelin": 30, "speli": 3, "spelings": 99, "spellinq": 2_000, "aspelling": 2, "bspelling": 2, "tieword": 2, "tiewora": 20, "tiewore": 20, "alone": 7, "": 5, "q": 600}
+    got = {tuple(r) for r in variants.grouped(spark.createDataFrame(list(n.items()), "word string, n long"), full=2).select("word", "form", "root", "n", "n_near", "form_n").collect()}
+    assert got == brute_slow(n)
+    roots = {r[0]: r[2] for r in got}
+    assert roots["speli"] == "spelling" and roots["tieword"] == "tiewora" and roots["alone"] == "alone"
+
+
+def brute_slow(n):
+    beside = {w: [b for b in n if near(w, b)] for w in n}
+    form = {w: next((b for b in sorted(beside[w], key=lambda b: (-n[b], b))[:1] if n[b] >= 10 * n[w]), None) for w in n}
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return {(w, form[w], root(w), n[w], len(beside[w]), n[form[w]] if form[w] is not None else None) for w in n}
+
+
+def test_words_of_documents(spark, clash, edge_docs, no_docs):
+    rows = [(1, "Réunion RÉUNION reunionÀÈ xreunionx7reunion"), (1, "Réunion RÉUNION"), (None, "reunions reunions"), (2, None), (3, ""), *[(k, "tomorrow toomorrow") for k in range(400)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["word"]: r["n"] for r in variants.vocabulary(df).collect()} == words_of(rows)
+    assert {tuple(r) for r in variants.spelling_variants(df).collect()} == brute_slow(words_of(rows))
+    assert sorted(map(str, variants.spelling_variants(clash).collect())) == sorted(map(str, variants.spelling_variants(edge_docs).collect()))
+    assert variants.spelling_variants(no_docs).count() == 0
+
+
+def test_the_query(spark):
+    d = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in table(spark, d, "documents").select("doc_id", "text").collect()]
+    got = queries.QUERIES["op12_variants"](spark, d)
+    assert {f.name: f.dataType.simpleString() for f in got.schema} == {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"}
+    assert {tuple(r) for r in got.select("word", "form", "root", "n", "n_near", "form_n").collect()} == brute(words_of(docs))
