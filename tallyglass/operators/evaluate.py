@@ -10,12 +10,16 @@ from tallyglass.functions.quality import present
 from tallyglass.functions.textnorm import comparable
 
 
+COMPARED = V.COMPARED_FIELDS
+
+
+def _text(f: str) -> Column:
+    return F.concat(F.col("gps.latitude").cast("string"), F.col("gps.longitude").cast("string")) if f == "gps" else F.col(f).cast("string")
+
+
 def cells(records: DataFrame, key: str = "doc_id", fields: list[str] | None = None) -> DataFrame:
     """(key, field, value) of each record's fields as text; coordinates one after the other. A row's own expansion: no shuffle."""
-    made = []
-    for f in fields or V.COMPARED_FIELDS:
-        value = F.concat(F.col("gps.latitude").cast("string"), F.col("gps.longitude").cast("string")) if f == "gps" else F.col(f).cast("string")
-        made.append(F.struct(F.lit(f).alias("field"), value.alias("value")))
+    made = [F.struct(F.lit(f).alias("field"), _text(f).alias("value")) for f in fields or COMPARED]
     return records.select(key, F.explode(F.array(*made)).alias("c")).select(key, "c.field", "c.value")
 
 
@@ -38,6 +42,41 @@ def report(compared_: DataFrame) -> DataFrame:
     return compared_.select("sample", "field", line.alias("line"))
 
 
+def _sides(results: DataFrame, key: str, side: str, fields: list[str]) -> DataFrame:
+    own = [_text(f).alias(f) for f in fields]
+    return results.select(F.col(key).cast("string").alias("sample"), F.lit(side).alias("side"), F.struct(*own).alias("r"))
+
+
+def regression(stored: DataFrame, fresh: DataFrame, answers: DataFrame | None = None, fields: list[str] | None = None, stored_key: str = "_sample", fresh_key: str = "doc_id") -> DataFrame:
+    """(sample, field, stored, fresh, state, answer, stored_ok, fresh_ok) for each compared field of each sample that earlier results or fresh records have, or both.
+
+    state: same, changed, gained (null before), lost (null now), or unstored and unmade where the sample stands on one side only; values are compared as they
+    are, with spaces, punctuation and case. answer and whether either value meets it (as compared() judges) are null without an answer for the field. A sample that is null counts as one sample;
+    of several rows of a sample on a side the one with the greatest values counts. Both sides meet in one aggregation to a maximum, combined before the
+    shuffle, so a sample with many rows is no task's burden; empty tables are fine."""
+    fields = fields or COMPARED
+    rows = _sides(stored, stored_key, "stored", fields).unionByName(_sides(fresh, fresh_key, "fresh", fields))
+    one = rows.groupBy("sample").agg(*[F.max(F.when(F.col("side") == side, F.col("r"))).alias(side) for side in ("stored", "fresh")])
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"stored.{f}").alias("stored"), F.col(f"fresh.{f}").alias("fresh")) for f in fields])
+    out = one.select("sample", F.col("stored").isNull().alias("_new"), F.col("fresh").isNull().alias("_gone"), F.explode(each).alias("c")).select("sample", "c.*", "_new", "_gone")
+    state = F.when(F.col("_new"), "unstored").when(F.col("_gone"), "unmade").when(F.col("stored").eqNullSafe(F.col("fresh")), "same").when(F.col("stored").isNull(), "gained").when(F.col("fresh").isNull(), "lost").otherwise("changed")
+    out = out.withColumn("state", state)
+    if answers is None:
+        out = out.withColumns({"answer": F.lit(None).cast("string"), "_asked": F.lit(False)})
+    else:
+        out = out.join(answers.select("sample", "field", "answer", F.lit(True).alias("_asked")), ["sample", "field"], "left")
+    ok = lambda side, absent: F.when(F.col("_asked") & ~F.col(absent), comparable(F.col(side)) == comparable(F.col("answer")))
+    return out.select("sample", "field", "stored", "fresh", "state", "answer", ok("stored", "_new").alias("stored_ok"), ok("fresh", "_gone").alias("fresh_ok"))
+
+
+def regression_summary(rows: DataFrame) -> DataFrame:
+    """(field, samples, same, changed, gained, lost, unstored, unmade, stored_rate, fresh_rate, fixed, broken) of regression()."""
+    counts = [F.count_if(F.col("state") == s).alias(s) for s in ("same", "changed", "gained", "lost", "unstored", "unmade")]
+    rate = lambda c: (F.count_if(c) / F.nullif(F.count(c), F.lit(0)) * 100)
+    was, now = F.col("stored_ok"), F.col("fresh_ok")
+    return rows.groupBy("field").agg(F.count("*").alias("samples"), *counts, rate("stored_ok").alias("stored_rate"), rate("fresh_ok").alias("fresh_rate"), F.count_if(~was & now).alias("fixed"), F.count_if(was & ~now).alias("broken"))
+
+
 def extraction_rates(records: DataFrame) -> DataFrame:
     """(field, found, total, rate) for each field: zero, empty and null count as not found. One pass over the records."""
     truthy = lambda f: F.col(f).isNotNull() if f == "gps" else present(F.col(f)) if f in V.RANGES else F.coalesce(F.col(f), F.lit("")) != ""

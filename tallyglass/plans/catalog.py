@@ -588,9 +588,51 @@ def eval_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.match_rate(_compared(spark, sf_dir))
 
 
-@query(f"""SELECT rpad('sample_' || doc_id || '_a', 25, ' ') || ' | ' || rpad('total_weight', 15, ' ') || ' | ' || rpad(CASE WHEN k % 11 = 0 THEN 'None' ELSE total::VARCHAR END, 20, ' ') || ' | ' || rpad(total::VARCHAR, 20, ' ') || ' | ' || CASE WHEN k % 11 = 0 THEN 'differs' ELSE 'ok' END AS line FROM ({T})""")
+@query(f"""WITH c AS (SELECT doc_id, 'total_weight' AS field, CASE WHEN k % 11 <> 0 THEN total::VARCHAR END AS value, total::VARCHAR AS answer, k % 11 <> 0 AS ok FROM ({T})
+  UNION ALL SELECT doc_id, 'date', y || '.' || m || '.' || d, y || '-' || m || '-' || d, true FROM ({T})
+  UNION ALL SELECT doc_id, 'company', CASE WHEN k % 2 = 0 THEN '(주)대한' END, CASE WHEN k % 3 <> 0 THEN '(주) 대한' END, (k % 2 = 0) = (k % 3 <> 0) FROM ({T}))
+SELECT rpad('sample_' || doc_id || '_a', 25, ' ') || ' | ' || rpad(field, 15, ' ') || ' | ' || rpad(coalesce(value, 'None'), 20, ' ') || ' | ' || rpad(coalesce(answer, 'None'), 20, ' ') || ' | ' || CASE WHEN ok THEN 'ok' ELSE 'differs' END AS line FROM c""")
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.report(_compared(spark, sf_dir)).where("field = 'total_weight'").select("line")
+    """A line for every field that a sample's answers hold."""
+    return evaluate.report(_compared(spark, sf_dir)).select("line")
+
+
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earlier results of the orders, from the JSON that the results' sink would have left: seven in eight of the records, with other plates, nets and companies for some."""
+    r = records(spark, sf_dir).where("k % 8 <> 1")
+    r = r.withColumns({
+        "vehicle_num": F.when(F.col("k") % 5 == 0, F.lit("00가0000")).otherwise(F.col("vehicle_num")), "net_weight": F.when(F.col("k") % 7 == 0, F.col("net_weight") + 1).otherwise(F.col("net_weight")),
+        "company": F.when(F.col("k") % 3 != 0, F.col("company")), "issuer": F.when(F.col("k") % 4 == 0, F.concat(F.lit("발행 \""), F.col("tail"))), "gps": F.struct((F.col("k") / 4).alias("latitude"), F.lit(127.5).alias("longitude")),
+    })
+    return ocr.result_rows(sinks.as_results(r).select(F.to_json(F.struct("*")).alias("json")), "json")
+
+
+_REGRESSION = f"""f AS (SELECT * FROM ({_R})), s AS (SELECT * REPLACE (CASE WHEN k % 5 = 0 THEN '00가0000' ELSE vehicle_num END AS vehicle_num, CASE WHEN k % 7 = 0 THEN net_weight + 1 ELSE net_weight END AS net_weight, CASE WHEN k % 3 <> 0 THEN company END AS company),
+  CASE WHEN k % 4 = 0 THEN '발행 "' || tail END AS issuer, (k / 4)::DOUBLE::VARCHAR || '127.5' AS gps FROM f WHERE k % 8 <> 1),
+n AS (SELECT * FROM f WHERE k % 9 <> 2),
+p AS (SELECT coalesce(s.doc_id, n.doc_id) AS sample, n.doc_id IS NULL AS unmade, s.doc_id IS NULL AS unstored,
+  unnest([{", ".join(f"{{'field': '{f}', 'stored': s.{f}::VARCHAR, 'fresh': n.{f}::VARCHAR}}" for f in ("date", "vehicle_num", "total_weight", "tare_weight", "net_weight", "company"))},
+    {{'field': 'issuer', 'stored': s.issuer, 'fresh': NULL}}, {{'field': 'gps', 'stored': s.gps, 'fresh': NULL}}, {", ".join(f"{{'field': '{f}', 'stored': NULL, 'fresh': NULL}}" for f in ("product", "type", "ticket_id", "phone"))}]) AS c FROM s FULL JOIN n ON s.doc_id = n.doc_id),
+q AS (SELECT p.sample, unmade, unstored, c.field AS field, c.stored AS stored, c.fresh AS fresh, CASE c.field WHEN 'vehicle_num' THEN plate WHEN 'net_weight' THEN net::VARCHAR END AS answer, c.field IN ('vehicle_num', 'net_weight') AS asked FROM p JOIN ({T}) t ON t.doc_id = p.sample),
+g AS (SELECT sample, field, stored, fresh, CASE WHEN unstored THEN 'unstored' WHEN unmade THEN 'unmade' WHEN stored IS NOT DISTINCT FROM fresh THEN 'same' WHEN stored IS NULL THEN 'gained' WHEN fresh IS NULL THEN 'lost' ELSE 'changed' END AS state, answer,
+  CASE WHEN asked AND NOT unstored THEN coalesce(stored, 'None') = answer END AS stored_ok, CASE WHEN asked AND NOT unmade THEN coalesce(fresh, 'None') = answer END AS fresh_ok FROM q)"""
+
+
+def _regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = weighings(spark, sf_dir).select(F.col("doc_id").alias("sample"), F.explode(F.create_map(F.lit("vehicle_num"), F.col("plate"), F.lit("net_weight"), F.col("net").cast("string"))).alias("field", "answer"))
+    return evaluate.regression(stored_results(spark, sf_dir), records(spark, sf_dir).where("k % 9 <> 2"), known)
+
+
+@query(f"WITH {_REGRESSION} SELECT * FROM g")
+def stored_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored JSON results of every order against fresh records: each compared field's change, samples that either side lacks, and what the answers say of both."""
+    return _regression(spark, sf_dir)
+
+
+@query(f"""WITH {_REGRESSION} SELECT field, count(*) AS samples, {", ".join(f"count(*) FILTER (WHERE state = '{s}') AS {s}" for s in ("same", "changed", "gained", "lost", "unstored", "unmade"))},
+  count(*) FILTER (WHERE stored_ok) / nullif(count(stored_ok), 0) * 100 AS stored_rate, count(*) FILTER (WHERE fresh_ok) / nullif(count(fresh_ok), 0) * 100 AS fresh_rate, count(*) FILTER (WHERE NOT stored_ok AND fresh_ok) AS fixed, count(*) FILTER (WHERE stored_ok AND NOT fresh_ok) AS broken FROM g GROUP BY field""")
+def regression_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.regression_summary(_regression(spark, sf_dir))
 
 
 @query(f"""WITH r AS (SELECT * FROM ({_R})), t AS (SELECT count(*) AS total, {", ".join(f"count(*) FILTER (WHERE coalesce({f}, 0) <> 0) AS {f}" if f in V.RANGES else f"count({f}) AS {f}" if f in ("date", "vehicle_num", "company") else f"0 AS {f}" for f in V.FIELDS)} FROM r)

@@ -90,5 +90,24 @@ def answer_rows(rows: DataFrame, column: str) -> DataFrame:
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
-    """Earlier results: a JSON array or lines, with the columns of a record and its metadata."""
+    """Earlier results under path: JSON lines, as sinks.write_results leaves them, with the columns of a record and its metadata; files are split among tasks."""
+    return spark.read.schema(RESULT).json(path)
+
+
+def result_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """Earlier results of files that each hold one JSON array, indented or not; a file is one task's."""
     return spark.read.schema(RESULT).option("multiLine", True).json(path)
+
+
+def result_rows(rows: DataFrame, column: str) -> DataFrame:
+    """Earlier results of a column of JSON texts, each one result or an array of them; a text that doesn't parse gives none."""
+    text = F.when(F.col(column).rlike(r"^\s*\["), F.col(column)).otherwise(F.concat(F.lit("["), column, F.lit("]")))
+    return rows.select(F.explode(F.from_json(text, T.ArrayType(RESULT))).alias("r")).select("r.*")
+
+
+def result_files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, fields as texts) of the files of sinks.write_files."""
+    fields = T.StructType([T.StructField(f, T.StringType()) for f in V.FIELDS])
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_result*.json").text(path, wholetext=True)
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"_result( \(\d+\))?\.json$", "")
+    return raw.select(stem.alias("doc_id"), F.from_json("value", fields).alias("r")).select("doc_id", "r.*")

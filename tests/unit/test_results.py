@@ -1,0 +1,95 @@
+import json
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyglass.functions import vocab as V
+from tallyglass.operators import evaluate
+from tallyglass.plans.documents import Options, parsed
+from tallyglass.sources import files, ocr, sinks
+
+SCHEMA = "doc_id string, date string, vehicle_num string, total_weight int, tare_weight int, net_weight int, company string, product string, type string, ticket_id string, issuer string, gps struct<latitude:double,longitude:double>, phone string, address string"
+
+
+def record(doc_id, **kv):
+    return tuple([doc_id, *[kv.get(f) for f in V.FIELDS]])
+
+
+@pytest.fixture
+def some(spark):
+    rows = [record("one", date="2026-02-03", net_weight=5010, gps=(37.5, 127.25), company='(주) "인용" \\ 회사'), record("두울", vehicle_num="80구8713"), record("a/b", phone="x"), record("one", date="again"), record(None)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(1)
+
+
+def found(path):
+    return sorted(p.name for p in Path(path).rglob("*") if p.is_file() and not p.name.startswith(".") and p.name != "_SUCCESS")
+
+
+def test_a_file_a_record_read_back(spark, some, tmp_path):
+    path = str(tmp_path / "out")
+    sinks.write_files(some, path)
+    assert found(path) == sorted(["one_result.json", "one_result (2).json", "두울_result.json", "a_b_result.json", "null_result.json"])
+    one = next(p for p in Path(path).rglob("one_result.json")).read_text(encoding="utf-8")
+    assert one.startswith('{\n    "date": "2026-02-03",\n    "vehicle_num": ""') and json.loads(one)["company"] == '(주) "인용" \\ 회사'
+    want = sorted(tuple(json.loads(r["json"]).items()) for r in sinks.per_document_json(some).collect())
+    got = sorted(tuple((k, r[k]) for k in V.FIELDS) for r in ocr.result_files(spark, path).collect())
+    assert got == want
+    assert not (Path(path) / files.STAGING).exists()
+
+
+def test_modes_and_many_tasks(spark, some, tmp_path):
+    path = f"file://{tmp_path}/out"
+    many = spark.range(40).select(F.concat(F.lit("d"), "id").alias("doc_id"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in some.schema.fields[1:]]).repartition(7)
+    sinks.write_files(many, path)
+    assert len(found(tmp_path / "out")) == 40
+    sinks.write_files(some, path, mode="append")
+    assert len(found(tmp_path / "out")) == 45
+    sinks.write_files(some, path, mode="overwrite")
+    assert len(found(tmp_path / "out")) == 5
+    sinks.write_files(some.limit(0), path, mode="overwrite")
+    assert found(tmp_path / "out") == []
+
+
+def test_a_failed_job_leaves_no_file_and_what_was_there(spark, some, tmp_path):
+    path = str(tmp_path / "out")
+    sinks.write_files(some, path)
+    before = found(path)
+    rows = spark.range(200).repartition(8).select(F.concat("id", F.lit("_result.json")).alias("name"), F.when(F.col("id") == 77, "not json").otherwise("{}").alias("json"))
+    with pytest.raises(Exception, match="(?i)json|expecting"):
+        rows.write.format(files.registered(spark)).mode("overwrite").option("path", path).save()
+    assert found(path) == before and not (Path(path) / files.STAGING).exists()
+
+
+def test_results_written_and_read_again(spark, tmp_path):
+    docs = ocr.texts(spark.createDataFrame([("a", "날짜: 2026-02-03\n차량번호: 80구8713"), ("b", None)], "doc_id string, text string"), "doc_id", "text")
+    made = parsed(docs, Options(as_of="2026-06-01"))
+    sinks.write_results(made, str(tmp_path / "lines"))
+    back = {r["_sample"]: r for r in ocr.results(spark, str(tmp_path / "lines")).collect()}
+    want = {r["doc_id"]: r for r in made.collect()}
+    for k, r in want.items():
+        assert [back[k][f] for f in V.FIELDS] == [r[f] for f in V.FIELDS]
+        assert back[k]["_overall_confidence"] == r["overall_confidence"] and back[k]["_issues"] == r["issues"] and back[k]["_field_confidences"] == r["field_confidences"] and back[k]["_review_priority"] == r["review_priority"]
+    (tmp_path / "array.json").write_text(json.dumps([{"_sample": "x", "net_weight": 5, "gps": {"latitude": 1.5, "longitude": 2.5}, "_issues": ["i"]}, {"_sample": "y"}], indent=2), encoding="utf-8")
+    array = {r["_sample"]: r for r in ocr.result_arrays(spark, str(tmp_path / "array.json")).collect()}
+    assert array["x"]["gps"]["latitude"] == 1.5 and array["x"]["_issues"] == ["i"] and array["y"]["net_weight"] is None
+    rows = spark.createDataFrame([('[{"_sample":"p"},{"_sample":"q"}]',), ('{"_sample":"r","date":"d"}',), ("{cut",), (None,)], "j string")
+    assert sorted(str(r["_sample"]) for r in ocr.result_rows(rows, "j").collect() if r["_sample"]) == ["p", "q", "r"]
+
+
+def test_stored_against_fresh(spark):
+    stored = sinks.as_results(spark.createDataFrame([record("a", date="1", net_weight=5, company="C."), record("b", date="2"), record(None, phone="1"), record("d", type="x"), record("d", type="z"), record("d")], SCHEMA))
+    fresh = spark.createDataFrame([record("a", date="1", net_weight=6, type="in"), record("c", gps=(1.0, 2.5)), record(None, phone="1"), record("d", type="z")], SCHEMA)
+    answers = spark.createDataFrame([("a", "net_weight", "6"), ("a", "company", "c"), ("a", "product", None), ("c", "gps", "1.0, 2.5"), ("b", "date", "2"), ("zz", "date", "9")], "sample string, field string, answer string")
+    rows = evaluate.regression(stored, fresh, answers).collect()
+    got = {(r["sample"], r["field"]): (r["stored"], r["fresh"], r["state"], r["stored_ok"], r["fresh_ok"]) for r in rows}
+    assert len(rows) == len(got) == 5 * 12
+    assert got["a", "date"] == ("1", "1", "same", None, None) and got["a", "net_weight"] == ("5", "6", "changed", False, True)
+    assert got["a", "company"] == ("C.", None, "lost", True, False) and got["a", "type"] == (None, "in", "gained", None, None) and got["a", "product"] == (None, None, "same", True, True)
+    assert got["b", "date"] == ("2", None, "unmade", True, None) and got["c", "gps"] == (None, "1.02.5", "unstored", None, True)
+    assert got[None, "phone"] == ("1", "1", "same", None, None) and got["d", "type"] == ("z", "z", "same", None, None)
+    s = {r["field"]: r.asDict() for r in evaluate.regression_summary(evaluate.regression(stored, fresh, answers)).collect()}
+    assert s["net_weight"] | {"samples": 5} == {"field": "net_weight", "samples": 5, "same": 2, "changed": 1, "gained": 0, "lost": 0, "unstored": 1, "unmade": 1, "stored_rate": 0.0, "fresh_rate": 100.0, "fixed": 1, "broken": 0}
+    assert s["company"]["broken"] == 1 and s["phone"]["stored_rate"] is None
+    none = evaluate.regression(stored.limit(0), fresh.limit(0))
+    assert none.count() == 0 and none.columns == evaluate.regression(stored, fresh, answers).columns
