@@ -324,8 +324,8 @@ def label_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = [F.lit("*"), F.substring(F.lit("차량번호:"), F.lit(1), cut), F.substring(F.lit("차량번호:"), cut + 1, F.lit(9)), F.col("plate")]
     xs = [(0.0, 20.0), (30.0, 80.0), (85.0, 130.0), (150.0, 260.0)]
     ws = F.array(*[words.word(t, F.lit(x0), F.lit(0.0), F.lit(x1), F.lit(20.0), F.lit(0.5), F.lit(i)) for i, (t, (x0, x1)) in enumerate(zip(texts, xs, strict=True))])
-    df = weighings(spark, sf_dir).select("doc_id", ws.alias("words")).withColumn("runs", labels.runs(F.col("words")))
-    df = df.withColumn("run", labels.label_run(F.col("runs"), V.LABELS["vehicle"][0], 70.0)).withColumn("box", labels.merged_box(F.col("words"), F.col("run")))
+    df = weighings(spark, sf_dir).select("doc_id", ws.alias("words")).withColumn("run", labels.label_runs(F.col("words"), {"vehicle": 70.0})["vehicle"])
+    df = df.withColumn("box", labels.merged_box(F.col("words"), F.col("run")))
     near = spatial.value_near(F.col("box"), F.col("words"), "vehicle", V.REACH["vehicle"])
     return df.select("doc_id", F.col("box.text").alias("label"), "run.score", "box.x0", "box.x1", near.alias("vehicle_num"))
 
@@ -374,8 +374,8 @@ def named_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cascades of company, issuer and phone: the word before an honorific, the veto of names at the foot, the best-rated word's
     line, numbers in, beside and away from a phone label."""
     w = F.col("words")
-    docs = words.collected(frame(spark, sf_dir, NAMED_WORDS, "customer")).withColumns({"text": words.full_text(w), "runs": labels.runs(w)})
-    docs = docs.withColumn("company", fields.company(w, F.col("text"), labels.field_label(w, F.col("runs"), "company")))
+    docs = words.collected(frame(spark, sf_dir, NAMED_WORDS, "customer")).withColumns({"text": words.full_text(w), "runs": labels.field_runs(w, "company")})
+    docs = docs.withColumn("company", fields.company(F.get(labels.label_neighbours(w, F.col("runs"), "company"), F.lit(0)), w, F.col("text")))
     return docs.select("doc_id", "company", fields.issuer(w, F.col("text"), F.col("company")).alias("issuer"), fields.phone(w, F.col("text")).alias("phone"))
 
 

@@ -118,9 +118,10 @@ def test_candidates_take_units_from_near_words(spark):
 
 def test_labels_and_neighbours(spark):
     w = of([("차량", 0, 0, 40, 20), ("번호:", 50, 0, 90, 20), ("12가", 100, 2, 140, 22), ("3456", 145, 1, 200, 21), ("far", 900, 0, 950, 20), ("under", 0, 40, 50, 60)])
-    run = one(spark, labels.label_run(labels.runs(w), ["차량번호"], 70.0))
-    assert (run["score"], run["i"], run["j"]) == (100.0, 0, 1)
-    near = one(spark, spatial.neighbours(labels.field_label(w, labels.runs(w), "vehicle"), w, 150.0))
+    df = spark.range(1).select(w.alias("w")).withColumn("runs", labels.field_runs(F.col("w"), "vehicle"))
+    row = df.select("runs.vehicle", spatial.neighbours(labels.field_label(F.col("w"), F.col("runs"), "vehicle"), F.col("w"), 150.0).alias("near")).first()
+    run, near = row["vehicle"], row["near"]
+    assert (run["score"], run["i"], run["j"], run["text"]) == (100.0, 1, 0, "번호")
     assert [n["text"] for n in near][:2] == ["12가", "3456"] and "far" not in [n["text"] for n in near]
 
 
