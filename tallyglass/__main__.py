@@ -14,7 +14,7 @@ from tallyglass.sources import ocr
 
 def run(spark: SparkSession, source: str, target: str, kind: str = "json", as_of: str | None = None) -> dict:
     """Read JSON files, or the lines of text files, under source; write records to target/records and files that don't parse to target/broken, as
-    Parquet; return the summary of the records written."""
+    Parquet; return the summary of the records written. A field that fails costs itself only, and is named in failed_fields."""
     if kind == "json":
         docs = ocr.documents(spark, source)
         ocr.broken(docs).write.mode("overwrite").parquet(f"{target}/broken")
@@ -22,7 +22,7 @@ def run(spark: SparkSession, source: str, target: str, kind: str = "json", as_of
     else:
         lines = spark.read.text(source, wholetext=True).select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
         docs = ocr.texts(lines, "doc_id", "text")
-    parsed(docs, Options(as_of=as_of)).write.mode("overwrite").parquet(f"{target}/records")
+    parsed(docs, Options(as_of=as_of, guard=True)).write.mode("overwrite").parquet(f"{target}/records")
     return review.summary(spark.read.parquet(f"{target}/records")).first().asDict()
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions import vocab as V
-from tallyglass.functions.columns import bound, median, stripped
+from tallyglass.functions.columns import bound, matches, median, stripped
 from tallyglass.functions.textnorm import cleaned_word, nfc
 
 WORD = "struct<i:int,text:string,x0:double,y0:double,x1:double,y1:double,confidence:double,cx:double,cy:double>"
@@ -66,6 +66,18 @@ def full_text(words: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: w["text"]), " ")
 
 
+def page_words(df: DataFrame, page: str = "page") -> DataFrame:
+    """(doc_id, word_idx, text, box, confidence, centre, width, height) of each word of a page that boxed() keeps: exploded() of it, but rows come first, and boxes are
+    worked out on their flat columns, in generated code."""
+    kept = F.filter(F.col(page)["words"], lambda w: F.coalesce(matches(w["text"], r"\S"), F.lit(False)) & (F.size(w["boundingBox"]["vertices"]) >= 4))
+    w = df.select("doc_id", F.posexplode(kept).alias("word_idx", "w"))
+    corners = F.col("w")["boundingBox"]["vertices"]
+    w = w.select("doc_id", "word_idx", stripped(F.col("w")["text"]).alias("text"), corners["x"].alias("xs"), corners["y"].alias("ys"), F.coalesce(F.col("w")["confidence"], F.lit(0.0)).alias("confidence"))
+    w = w.select("doc_id", "word_idx", "text", F.array_min("xs").alias("x_min"), F.array_min("ys").alias("y_min"), F.array_max("xs").alias("x_max"), F.array_max("ys").alias("y_max"), "confidence")
+    x0, y0, x1, y1 = (F.col(c) for c in ("x_min", "y_min", "x_max", "y_max"))
+    return w.select("*", ((x0 + x1) / 2).alias("cx"), ((y0 + y1) / 2).alias("cy"), (x1 - x0).alias("width"), (y1 - y0).alias("height"))
+
+
 def exploded(df: DataFrame, words: str = "words") -> DataFrame:
     """(doc_id, word_idx, text, box, confidence, centre, width, height): a row a word."""
     w = df.select("doc_id", F.explode(words).alias("w"))

@@ -91,7 +91,7 @@ def text_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text through the text route; held against the fixtures' expectations in tests."""
+    """Every document's text through the text route; a test holds it against the plan that goes by pages."""
     docs = source(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     return scored(from_text(docs), Options(as_of=AS_OF)).select("doc_id", *V.FIELDS, "overall_confidence", "review_priority")
 
@@ -119,8 +119,7 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, word_idx::INT AS word_idx, text, x0 AS x_min, y0 AS y_min, x1 AS x_max, y1 AS y_max, 0.0::DOUBLE AS confidence, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, x1 - x0 AS width, y1 - y0 AS height FROM ({_GRID})")
 def words_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = document_pages(spark, sf_dir)
-    return words.exploded(pages.select("doc_id", words.boxed(F.col("page")).alias("words")))
+    return words.page_words(document_pages(spark, sf_dir))
 
 
 @query(f"SELECT doc_id, string_agg(text, ' ' ORDER BY word_idx) AS full_text, true AS has_boxes FROM ({_DOC_WORDS}) GROUP BY doc_id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,9 +61,13 @@ def pasted(rows: DataFrame, column: str = "json") -> DataFrame:
     return _read(rows.select(F.sha2(column, 256).alias("doc_id"), column), column)
 
 
-def mentions_boxes(json_text):
-    """Whether a JSON text names bounding boxes anywhere."""
-    return json_text.rlike(r'"boundingBox"\s*:')
+def mentions_boxes(json_text: Column, name: str = "boundingBox") -> Column:
+    """Whether a valid JSON text has an object with this name at any depth, as a recursive search of it finds.
+
+    A name is a string with a colon behind it. Once escapes other than Unicode ones are out of the way, every quote left opens or closes a string, so no text
+    that merely quotes the name counts; a letter may stand as its escape. One pass over the text, however deep it is nested."""
+    letters = "".join(f"(?:{re.escape(c)}|\\\\u(?i:{ord(c):04x}))" for c in name)
+    return F.regexp_replace(json_text, r'\\[^u]', "_").rlike(rf'"{letters}"[\x20\t\n\r]*:')
 
 
 def texts(rows: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -1,0 +1,56 @@
+import json
+import random
+
+from pyspark.sql import functions as F
+
+from tallyglass.operators import words
+from tallyglass.plans import catalog
+from tallyglass.plans.documents import Options, parsed
+from tallyglass.sources import ocr
+
+
+def holds(v):
+    if isinstance(v, dict):
+        return "boundingBox" in v or any(map(holds, v.values()))
+    return isinstance(v, list) and any(map(holds, v))
+
+
+def test_names_at_any_depth(spark):
+    rng = random.Random(2)
+    texts = ['"boundingBox":', '\\"boundingBox\\":', "boundingBox", "a\\", 'x\\"', "\n", 'boundingBox":', '{"boundingBox":1}', "ü", "\\\\"]
+
+    def made(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return rng.choice([*texts, 1, None, True])
+        if kind < 0.6:
+            return [made(depth - 1) for _ in range(rng.randrange(4))]
+        return {rng.choice([*texts, "boundingbox", "x", "y", "pages", "boundingBox " if rng.random() < 0.9 else "boundingBox"]): made(depth - 1) for _ in range(rng.randrange(4))}
+
+    every = [json.dumps(made(5), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2]), separators=rng.choice([None, (",", " : ")])) for _ in range(3000)]
+    every += ['{"bounding\\u0042ox":1}', '{"\\u0062oundingBox"  \n:1}', '{"a":"\\u0022boundingBox\\u0022:"}', '{"a":"\\\\","boundingBox":[]}', '{"a":"\\\\\\"boundingBox\\":"}', "[" * 400 + '{"boundingBox":1}' + "]" * 400, '{"t":"' + "\\n\\u00e9" * 50_000 + '","boundingBox":2}']
+    df = spark.createDataFrame([(t,) for t in every], "j string").select("j", ocr.mentions_boxes(F.col("j")).alias("m"))
+    rows = df.collect()
+    assert [r["m"] for r in rows] == [holds(json.loads(r["j"])) for r in rows] and {True, False} == {r["m"] for r in rows}
+
+
+def test_words_of_pages_as_rows(spark):
+    corner = lambda x, y: {"x": x, "y": y}
+    box = [corner(5.0, 1.0), corner(9.0, 2.0), corner(8.0, 7.0), corner(4.0, 6.0)]
+    ws = [("  a b ", 0.5, box), (" ", 0.1, box), (None, 0.1, box), ("c", None, [*box, corner(-3.0, 30.0)]), ("three", 0.2, box[:3]), ("none", 0.2, None), ("d", 0.3, [corner(None, 1.0), *box[1:]])]
+    pages = [("p", {"words": [{"text": t, "confidence": c, "boundingBox": {"vertices": v}} for t, c, v in ws]}), ("q", {"words": []}), ("r", None)]
+    docs = spark.createDataFrame([(d, json.dumps(p)) for d, p in pages], "doc_id string, j string").select("doc_id", F.from_json("j", ocr.PAGE).alias("page"))
+    want = words.exploded(docs.select("doc_id", words.boxed(F.col("page")).alias("words"))).collect()
+    got = words.page_words(docs).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len(got) == 3
+    assert words.page_words(docs).columns == words.exploded(docs.select("doc_id", words.boxed(F.col("page")).alias("words"))).columns
+
+
+def test_records_of_documents(spark):
+    """The registered query against the whole job's plan, which goes by pages, over all documents."""
+    d = "/root/testdata/sf0.001"
+    rows = {r["doc_id"]: r.asDict() for r in catalog.document_records(spark, d).collect()}
+    pages = ocr.texts(catalog.source(spark, d, "documents"), "doc_id", "text")
+    whole = {r["doc_id"]: r.asDict() for r in parsed(pages, Options(as_of=catalog.AS_OF)).collect()}
+    assert rows == {k: {c: r[c] for c in rows[k]} for k, r in whole.items()} and len(rows) == 200
+    assert any(r["date"] or r["phone"] or r["net_weight"] for r in rows.values())
