@@ -101,18 +101,36 @@ def _of_width(runs: Column, wide: int) -> Column:
 
 def _verified(docs: DataFrame, kept: DataFrame, pairs: DataFrame, wides: list[int], contained: float) -> DataFrame:
     """The pairs whose document holds enough of the item's shingles. Texts are read again for the documents of pairs only."""
-    of_pair = [F.col("doc_id").alias("d"), F.col("item_id").alias("i")]
-    held = docs.select("doc_id", "text").join(small(pairs.select(F.col("doc_id").alias("d")).distinct()), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    held = held.select("doc_id", F.xxhash64("text").alias("body"), words(F.col("text")).alias("w"))
-    held = held.select("doc_id", "body", F.explode(F.flatten(F.array(*[_of_width(shingles(F.col("w"), k), k) for k in wides]))).alias("s"))
-    parts = small(kept.select("item_id", F.xxhash64("parts").alias("item"), "wide", "n", F.explode("parts").alias("g")))
-    shared = held.select("doc_id", "body", "s.wide", "s.g").join(parts, ["wide", "g"]).groupBy("doc_id", "body", "item_id", "item", "n").agg(F.count_distinct("g").cast("int").alias("shared"))
-    enough = shared.where(F.col("shared") >= F.col("n") * contained - 1e-9)
-    enough = enough.join(small(pairs.select(*of_pair)), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left_semi")
-    found = enough.groupBy("doc_id", "item_id").agg(F.max("shared").alias("n_shared"), F.max("n").alias("n_shingles"))
+    asked = docs.select("doc_id", "text").join(small(pairs.select(F.col("doc_id").alias("d")).distinct()), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    asked = asked.select("doc_id", F.xxhash64("text").alias("body"), words(F.col("text")).alias("w"))
+    held = asked.select("doc_id", "body", F.explode(F.flatten(F.array(*[_of_width(shingles(F.col("w"), k), k) for k in wides]))).alias("s")).select("doc_id", "body", "s.wide", "s.g")
+    parts = kept.select(F.col("item_id").alias("i"), F.xxhash64("parts").alias("item"), "wide", "n", F.explode("parts").alias("g"))
+    known = parts.select("wide", "g").distinct()
+    if fits(known):
+        held = held.join(F.broadcast(known), ["wide", "g"], "left_semi")
+    of = shared_shingles(held, _of_pairs(pairs, parts)).groupBy("doc_id", "body", "item_id", "item", "n").agg(F.count_distinct("g").cast("int").alias("shared"))
+    found = of.where(F.col("shared") >= F.col("n") * contained - 1e-9).groupBy("doc_id", "item_id").agg(F.max("shared").alias("n_shared"), F.max("n").alias("n_shingles"))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
+def _of_pairs(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(d, item_id, item, n, wide, g): each pair with its item's shingles. An item that very many documents are paired with is dealt to copies where items aren't broadcast."""
+    same = F.col("item_id").eqNullSafe(F.col("i"))
+    if fits(parts):
+        joined = pairs.join(F.broadcast(parts), same)
+    else:
+        copies = parts.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = pairs.withColumn("_salt", dealt(["doc_id", "item_id"])).join(copies, same & (F.col("_salt") == F.col("_s")))
+    return joined.select(F.col("doc_id").alias("d"), "item_id", "item", "n", "wide", "g")
+
+
+def shared_shingles(held: DataFrame, of_pairs: DataFrame) -> DataFrame:
+    """held (doc_id, body, wide, g) with the items that the document is paired with and that have the shingle: a row for each shingle that a pair shares and no other. The document is part
+    of the key, so a shingle of very many documents is many keys."""
+    right = of_pairs.select("d", "item_id", "item", "n", F.col("wide").alias("w"), F.col("g").alias("h"))
+    return held.join(small(right), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("wide") == F.col("w")) & (F.col("g") == F.col("h"))).drop("d", "w", "h")
+
+
 def decontaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, contained: float = CONTAINED) -> DataFrame:
     """docs without the rows that hold an item. A row with a null doc_id is judged with all others of its kind. Columns
     stay as they are, whatever their names."""

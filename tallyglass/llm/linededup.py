@@ -13,9 +13,9 @@ RATIO, LEAST_PAGES = 0.3, 4
 
 
 def html_lines(html: Column) -> Column:
-    """The trimmed, non-empty lines of a page: scripts, styles and comments go, block tags and breaks end a line,
-    other tags go, white space becomes one space."""
-    text = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", "")
+    """The trimmed, non-empty lines of a page: scripts, styles and comments go (to the page's end where they are not closed, so no end is looked for
+    twice), block tags and breaks end a line, other tags go, white space becomes one space."""
+    text = F.regexp_replace(html, r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)", "")
     text = F.regexp_replace(text, r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^<>]*>", "\n")
     text = F.regexp_replace(text, r"<[^<>]*>", "")
     return text_lines(text)
@@ -63,7 +63,7 @@ WITH p AS (
   SELECT page_id, row_number() OVER () AS row,
     coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
-      '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'gis'),
+      '<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)', '', 'gis'),
       '</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^<>]*>', chr(10), 'gi'),
       '<[^<>]*>', '', 'g') AS text
   FROM pages),

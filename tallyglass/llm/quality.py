@@ -80,12 +80,13 @@ def design(x, mean, scale, frequencies, phases) -> np.ndarray:
 
 def isotonic(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Knots and levels of the non-decreasing curve through pooled adjacent violators, with one row of either label added, so
-    that no level is quite 0 or 1. counts: how often each row counts."""
+    that no level is quite 0 or 1. counts: how often each row counts. Rows of one score are one point, so the order of rows decides nothing."""
     counts = np.ones(len(scores)) if counts is None else counts
-    order = np.argsort(scores, kind="stable")
+    scores, at = np.unique(scores, return_inverse=True)
+    ones, counts = np.bincount(at, labels * counts, len(scores)), np.bincount(at, counts, len(scores))
     blocks: list[list[float]] = []
-    for s, y, k in zip(scores[order], labels[order], counts[order], strict=True):
-        blocks.append([y * k, float(k), s * k])
+    for s, y, k in zip(scores, ones, counts, strict=True):
+        blocks.append([y, k, s * k])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             b = blocks.pop()
             for k in range(3):
@@ -93,7 +94,7 @@ def isotonic(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray | None =
     n = np.array([b[1] for b in blocks])
     centre = np.array([b[2] for b in blocks]) / n
     level = np.array([b[0] for b in blocks]) / n
-    prior = ((labels * counts).sum() + 1) / (counts.sum() + 2)
+    prior = (ones.sum() + 1) / (counts.sum() + 2)
     return centre, np.maximum.accumulate((level * n + prior) / (n + 1))
 
 

@@ -106,3 +106,28 @@ def test_a_very_long_document(spark):
     text = " ".join(f"f{i % 90_001}" for i in range(300_000)) + " " + ITEM
     got = decontam.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(100, ITEM)], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["containment"]) for r in got] == [(1, 100, 1.0)]
+
+
+def test_a_shingle_of_all_documents_and_items(spark, monkeypatch):
+    """Verification joins rows for the pairs that it is given only, whatever else their documents and items share."""
+    common = "a passage that every document and every item holds"
+    own = lambda k: " ".join(f"own{k}x{j}" for j in range(30))
+    docs = [(k, f"{common} {own(k)} tail") for k in range(60)] + [(None, f"{common} {own(3)}")] * 3
+    items = [(k, f"{common} {own(k)}") for k in range(0, 60, 3)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows, joined = [], decontam.shared_shingles
+
+    def counted(held, of_pairs):
+        out = joined(held, of_pairs)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(decontam, "shared_shingles", counted)
+    want = brute(docs, items)
+    kept = decontam.sketched(i)
+    pairs = spark.createDataFrame([(doc, item) for doc, item, *_ in want], "doc_id long, item_id long")
+    for most in (store.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(store, "BROADCAST_BYTES", most)
+        for found in (decontam.contaminated(d, i), decontam._verified(d, kept, pairs, [5], 0.8)):
+            assert {(r["doc_id"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in found.collect()} == want and len(want) == 21
+    assert rows[1::2] == [sum(s for *_, s, _ in want) + 2 * next(s for doc, _, s, _ in want if doc is None)] * 2

@@ -127,3 +127,18 @@ def test_statistics_are_finite():
     for t in (None, "", " \n", "a", "!!!", "é" * 10, "a\n" * 5, "\x00", "x " * 50_000):
         x = quality.statistics(t)
         assert len(x) == len(quality.STATISTICS) and np.all(np.isfinite(x))
+
+
+def test_order_of_rows_decides_nothing():
+    import itertools
+
+    import numpy as np
+
+    scores, labels = np.array([0.5, 0.5, 0.9, 0.2, 0.5]), np.array([0, 1, 1, 1, 0])
+    want = quality.isotonic(scores, labels)
+    assert len(set(want[0])) == len(want[0])
+    for p in map(list, itertools.permutations(range(5))):
+        got = quality.isotonic(scores[p], labels[p])
+        assert all((a == b).all() for a, b in zip(got, want))
+    twice = quality.isotonic(np.array([0.2, 0.5, 0.5, 0.9]), np.array([1, 0, 1, 1]), np.array([1, 2, 1, 1]))
+    assert all((a == b).all() for a, b in zip(twice, want))

@@ -81,3 +81,15 @@ def test_many_hosts_are_joined_by_salted_copies(spark, monkeypatch):
     monkeypatch.setattr(store, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, linededup.without_boilerplate(df).select("id", "dropped").collect())) == want
     assert all(n == 1 for _, n in want)
+
+
+def test_time_grows_with_the_page_only(spark):
+    import time
+
+    pages = [(k, f"http://h{k}/", "<p>head</p>" + piece * ((1 << 20) // len(piece))) for k, piece in enumerate(("<!--", "<script ", "<style ", "<!-- -", "</script ", "<p", "< ", "<!-->"))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(1)
+    linededup.cleaned_pages(df.limit(0)).count()
+    start = time.perf_counter()
+    rows = {r["page_id"]: r["text"] for r in linededup.cleaned_pages(df).collect()}
+    assert time.perf_counter() - start < 30
+    assert [rows[k] for k in range(4)] == ["head"] * 4
