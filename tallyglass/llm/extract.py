@@ -16,6 +16,8 @@ from tallyglass.llm.urlfilter import host_of
 
 #: A subtree is template if it stands on more than this share of a host's different articles; hosts with fewer are left alone.
 RATIO, LEAST_PAGES = 0.5, 4
+#: A shape that recurs is template if this share of its letters stands in links.
+LINKED = 0.6
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,12 +44,17 @@ DROPPED = frozenset(
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs "
     "header masthead footer sidebar sidebars complementary contentinfo cookie cookies consent gdpr notice notices notification alert popup popups modal overlay newsletter subscribe subscription "
-    "signup login search share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond pagination pager toolbar widget widgets skip hidden".split()
+    "signup login search share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond readers pagination pager toolbar widget widgets skip hidden".split()
 )
 #: Words beside which a mark still is one: the place, kind or part of the furniture.
-PLACES = frozenset("site page global main post article primary secondary top bottom left right inner outer sticky fixed mobile desktop bar box block area wrap wrapper container section list item items group links buttons button form inline thread".split())
+PLACES = frozenset(
+    "site page global main post article primary secondary top bottom left right inner outer sticky fixed mobile desktop bar box block area wrap wrapper container section list item items group links buttons button form inline thread "
+    "slot slots unit units zone region rail strip row col column pane panel holder space placement placeholder google dfp law info policy message content body text user users author meta count feed tree root module".split()
+)
+#: A size or number in a mark, as in ad-300x250: a place like the others.
+_SIZE = re.compile(r"\d+(?:x\d+)?")
 #: Marks of what readers wrote, which never is the main text.
-READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+READERS = frozenset("comment comments commentlist disqus reply replies respond readers".split())
 #: Elements whose recurrence inside an article is no sign of a template: prose repeats, as licences and quotations do.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption b i em strong span a code u s small sub sup mark q cite br hr img".split())
 
@@ -57,6 +64,13 @@ _REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+>""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PIECE = re.compile(r"[-_]+")
+_NUMBERS = re.compile(r"\d+")
+#: Elements whose shape says nothing by itself.
+SHAPELESS = PROSE | frozenset("html body head title center".split())
+#: Words of marks that a heading's holder inside an article may bear.
+TITLES = frozenset("header masthead banner top main page post article section content body block box area wrap wrapper container inner group".split())
+#: Elements of headings.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ENDS_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _CUT_OFF = re.compile(r"<[/!a-zA-Z][^<>]*\Z")
 
@@ -73,7 +87,7 @@ def marked(token: str) -> str:
     """What a class, id or role says: "reader", "furniture" or nothing. Each of its words must be a mark or a place, and one of them a mark:
     site-header is furniture, share-price and with-sidebar are not."""
     words = [w for w in _PIECE.split(token) if w]
-    if not any(w in MARKS for w in words) or not all(w in MARKS or w in PLACES for w in words):
+    if not any(w in MARKS for w in words) or not all(w in MARKS or w in PLACES or _SIZE.fullmatch(w) for w in words):
         return ""
     return "reader" if any(w in READERS for w in words) else "furniture"
 
@@ -261,32 +275,116 @@ def _hashes(tree: Node) -> list[tuple[Node, int]]:
     return out
 
 
-def subtrees(page: str) -> tuple[int, list[int]]:
-    """The hash of a page's main part, and those of its subtrees that could be template: all but prose in an article, without its ancestors."""
+def _shapes(tree: Node) -> list[tuple[Node, int, int, int]]:
+    """Each block element with the hash of its shape (tag, marks without numbers, the shapes of the blocks inside, each once; no text), the letters of its text and those in links."""
+    out = []
+    text: dict[int, int] = {}
+    link: dict[int, int] = {}
+    inside: dict[int, set[bytes]] = {}
+    for node in reversed([x for x, _ in _walk(tree)]):
+        if node.tag in DROPPED and node.tag != "form" or "hidden" in node.marks:
+            continue
+        n = links = 0
+        below: set[bytes] = set()
+        for x in node.children:
+            if isinstance(x, str):
+                n += len("".join(x.split()))
+            elif (k := id(x)) in text:
+                n += text.pop(k)
+                links += link.pop(k)
+                below |= inside.pop(k)
+        if not n:
+            continue  # what has no text has no shape
+        if node.tag in BLOCKS and node.tag != "br":
+            h = xxhash.xxh64(node.tag, seed=1)
+            for m in sorted({_NUMBERS.sub("0", m) for m in node.marks}):
+                h.update("\x01" + m)
+            for b in sorted(below):
+                h.update(b"\x02" + b)
+            value = h.intdigest() - (1 << 63)
+            below = {value.to_bytes(8, "little", signed=True)}
+            out.append((node, value, n, n if node.tag == "a" else links))
+        text[id(node)], link[id(node)], inside[id(node)] = n, n if node.tag == "a" else links, below
+    return out
+
+
+def subtrees(page: str) -> tuple[int, list[int], list[tuple[int, int, int]]]:
+    """The hash of a page's main part; those of its subtrees that could be template: all but prose in an article, without its ancestors; and, where no article or main element
+    tells the main part, (shape, letters, letters in links) of its containers."""
     tree = parse(page)
     mains = roots(tree)
+    shapes: dict[int, list[int]] = {}
+    if mains == [tree]:
+        for node, value, n, links in _shapes(tree):
+            if node.tag not in SHAPELESS:
+                both = shapes.setdefault(value, [0, 0])
+                both[0], both[1] = both[0] + n, both[1] + links
     all_ = _hashes(tree)
     of = {id(n): v for n, v in all_}
     identity = xxhash.xxh64_intdigest(b"".join(of[id(m)].to_bytes(8, "little", signed=True) for m in mains)) - (1 << 63)
     skip = {"#root", "html", "head", "body", "main", "article"} | (PROSE if mains != [tree] else frozenset({"b", "i", "br", "hr"}))
-    return identity, sorted({v for n, v in all_ if n.tag not in skip})
+    return identity, sorted({v for n, v in all_ if n.tag not in skip}), [(v, *both) for v, both in sorted(shapes.items())]
+
+
+def _letters(tree: Node) -> dict[int, int]:
+    """The letters of text inside each element, none in elements that never hold main text."""
+    n: dict[int, int] = {}
+    for node in [*reversed([x for x, _ in _walk(tree)]), tree]:
+        own = sum(len("".join(x.split())) if isinstance(x, str) else n.get(id(x), 0) for x in node.children)
+        if own and not ((node.tag in DROPPED and node.tag not in ("form", "header")) or _says(node) == "reader"):
+            n[id(node)] = own
+    return n
+
+
+def _repeated(article: Node) -> set[int]:
+    """Articles within an article that stand beside others of their marks: what readers wrote."""
+    out: set[int] = set()
+    for x in [article, *(x for x, _ in _walk(article))]:
+        kinds: dict[frozenset, list[Node]] = {}
+        for y in x.children:
+            if isinstance(y, Node) and y.tag == "article":
+                kinds.setdefault(y.marks, []).append(y)
+        out.update(id(y) for group in kinds.values() if len(group) > 1 for y in group)
+    return out
+
+
+def _headed(tree: Node) -> set[int]:
+    """Elements that hold a heading."""
+    out: set[int] = set()
+    for x, holder in reversed(list(_walk(tree))):
+        if x.tag in HEADINGS or id(x) in out:
+            out.add(id(holder))
+    return out
 
 
 def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page: character references decoded, white space inside a block one space, blocks joined by one
-    space. Subtrees whose hash is in `template` are left out, prose inside an article excepted. Marked elements go, but not if they hold an
-    article or main element."""
+    """The main text of a page: character references decoded, white space inside a block one space, blocks joined by one space.
+
+    Subtrees whose hash is in `template` are left out, prose inside an article excepted; where there is no article or main element, so are those whose shape is. Marked elements
+    and forms go, but not if they hold an article or main element or, without either, most of the page's letters. Inside an article, marks on prose
+    say nothing, and a header stays that holds a heading; articles of like marks beside each other are readers'."""
     tree = parse(page)
     mains = roots(tree)
-    gone = set()
+    whole = mains == [tree]
+    gone: set[int] = set()
     if template:
-        kept = {"html", "body"} | (PROSE if mains != [tree] else frozenset())
+        kept = {"html", "body"} | (frozenset() if whole else PROSE)
         gone = {id(n) for n, v in _hashes(tree) if v in template and n.tag not in kept}
+        if whole:
+            gone.update(id(n) for n, v, *_ in _shapes(tree) if v in template and n.tag not in SHAPELESS)
     holders = set()
     for x, holder in reversed(list(_walk(tree))):
         if x.tag in ("article", "main", "body") or x.kind == "main" or id(x) in holders:
             if _says(x) != "reader":
                 holders.add(id(holder))
+    if whole:
+        n = _letters(tree)
+        holders.update(k for k, letters in n.items() if 2 * letters > n[id(tree)] and k not in gone)
+    else:
+        for m in mains:
+            if m.tag == "article":
+                gone |= _repeated(m)
+    headed = set() if whole else _headed(tree)
     parts: list[str] = []
     todo: list[Node | str] = [x for m in reversed(mains) for x in (m, " ")]
     chosen = {id(m) for m in mains}
@@ -297,7 +395,10 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
             continue
         if id(x) not in chosen and x.tag not in ("html", "body"):
             says = _says(x)
-            if id(x) in gone or says == "reader" or "hidden" in x.marks or (x.tag in DROPPED and x.tag != "form") or ((says or x.tag == "form") and id(x) not in holders):
+            if says == "furniture" and not whole and (x.tag in PROSE or (id(x) in headed and all(w in TITLES for m in x.marks if marked(m) for w in _PIECE.split(m)))):
+                says = ""
+            dropped = x.tag in DROPPED and x.tag != "form" and not (x.tag == "header" and id(x) in headed)
+            if id(x) in gone or says == "reader" or "hidden" in x.marks or dropped or ((says or x.tag == "form") and id(x) not in holders):
                 if x.tag in BLOCKS:
                     parts.append(" ")
                 continue
@@ -312,7 +413,9 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
 def _subtree_batches(batches):
     for b in pieces(batches, "html"):
         found = [subtrees(x or "") for x in b.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["host", "identity", "hashes"])
+        shapes = [[{"hash": v, "letters": n, "links": k} for v, n, k in x[2]] for x in found]
+        kind = pa.list_(pa.struct([("hash", pa.int64()), ("letters", pa.int64()), ("links", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array(shapes, kind)], ["host", "identity", "hashes", "shapes"])
 
 
 def _text_batches(batches):
@@ -325,17 +428,21 @@ def _text_batches(batches):
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), chars], ["page_id", "url", "text", "n_chars"])
 
 
-def templates(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, template): the hashes of subtrees that stand on more than `ratio` of a host's different articles.
+def templates(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, linked: float = LINKED) -> DataFrame:
+    """(host, template): the hashes of subtrees that stand on more than `ratio` of a host's different articles, and of the shapes that do and of whose letters, over all
+    pages of the host, the share `linked` or more stands in links: menus and adverts, whose texts differ by page.
 
     Pages with equal main parts count once, so copies of an article don't make it a template. All counts combine before
-    their shuffles; a host's template has at most (mean subtrees of a page / ratio) hashes.
+    their shuffles; a host's template has at most (mean subtrees of a page / ratio) hashes of either kind.
     """
-    found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_subtree_batches, "host string, identity long, hashes array<long>")
+    found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_subtree_batches, "host string, identity long, hashes array<long>, shapes array<struct<hash:long,letters:long,links:long>>")
     found = saved(found, "subtrees")
     totals = found.select("host", "identity").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    counts = found.select("host", "identity", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where("n > 1")
-    common = counts.join(totals, "host").where(F.col("n") > F.col("pages") * ratio)
+    exact = found.select("host", "identity", F.explode("hashes").alias("hash")).select("*", F.lit(0).cast("long").alias("letters"), F.lit(0).cast("long").alias("links"))
+    shapes = found.select("host", "identity", F.explode("shapes").alias("s")).select("host", "identity", "s.*")
+    each = exact.unionByName(shapes).groupBy("host", "hash", "identity").agg(F.max("letters").alias("letters"), F.max("links").alias("links"))
+    counts = each.groupBy("host", "hash").agg(F.count("*").alias("n"), F.sum("letters").alias("letters"), F.sum("links").alias("links")).where("n > 1")
+    common = counts.join(totals, "host").where((F.col("n") > F.col("pages") * ratio) & (F.col("links") >= F.col("letters") * linked))
     return common.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"))
 
 

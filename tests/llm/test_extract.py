@@ -130,3 +130,46 @@ def test_the_test_pages(spark):
         body = r["html"].split("<article>", 1)[1].split("</article>")[0]
         want = " ".join(html.unescape(re.sub("</?(?:p|h1|br)>", " ", re.sub("</?b>", "", body))).split())
         assert (r["text"], r["n_chars"]) == (want, len(want))
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ('<article><h2 class="section-header">Part one</h2><p>a</p></article>', "Part one a"),
+    ('<article><p class="notice">Told to all</p><p>a</p></article>', "Told to all a"),
+    ('<article><div class="article-header"><h1>Title</h1></div><p>a</p></article>', "Title a"),
+    ("<article><header><h1>Title</h1></header><p>a</p></article>", "Title a"),
+    ("<body><header><h1>Site</h1></header><article><p>a</p></article>", "a"),
+    ('<body><form id="aspnetForm"><div><p>the whole page text</p><input value=x><button>go</button></div></form>', "the whole page text"),
+    ('<body><div class="search"><p>about search engines</p></div>', "about search engines"),
+    ('<body><p>the text of the page</p><form><p>Sign up</p></form><div class="search">find</div>', "the text of the page"),
+    ('<article><p>a</p><div class="user-comments"><p>first</p></div></article>', "a"),
+    ('<article><p>a</p><div class="comment-content">first</div></article>', "a"),
+    ('<article><p>a</p></article><section class="readers"><article class="c">first</article></section>', "a"),
+    ('<article><p>a</p><div><article class="c">first</article><article class="c">second</article></div></article>', "a"),
+    ('<article><div class="ad-slot">x</div><div class="google-ad">y</div><div class="ad-300x250">z</div><p>a</p></article>', "a"),
+    ('<article><p>a</p></article><div class="cookie-law-info-bar">c</div>', "a"),
+    ('<body><div class="cookie-law-info-bar">c</div><p>the text of the page</p>', "the text of the page"),
+])
+def test_articles_whole_and_alone(html, want):
+    assert extract.main_text(html) == want
+
+
+def test_furniture_without_marks_whose_texts_differ_goes_by_its_shape(spark, monkeypatch):
+    """Menus and adverts of many hosts, no mark on any, different on each page; no article element."""
+    monkeypatch.setattr(extract, "MARKS", frozenset())
+    extract.marked.cache_clear()
+    rows, want = [], {}
+    for h in range(3):
+        for i in range(9):
+            menu = "".join(f"<li><a href=/{h}/{i}/{k}>Go to place {h} {i} {k}</a></li>" for k in range(2 + i % 4))
+            advert = f"<div class='x{i}'><div><a href=/b>Buy {h * i} of thing {i} now</a></div></div>"
+            text = " ".join(f"Sentence {k} of page {i} on host {h} says something." for k in range(6))
+            links = f"<p>{text} See <a href=/q>the other page {i}</a>.</p>" * (1 + i % 3)
+            rows.append((100 * h + i, f"http://h{h}.org/{i}", f"<html><body><div id=top-{h}><ul>{menu}</ul></div><div class=t{h}><h1>Head {i}</h1>{links}</div>{advert}</body></html>"))
+            want[100 * h + i] = f"Head {i} " + " ".join([f"{text} See the other page {i}."] * (1 + i % 3))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    try:
+        assert {r["page_id"]: r["text"] for r in extract.extracted(df).collect()} == want
+        off = {r["page_id"]: r["text"] for r in extract.extracted(df, ratio=2.0).collect()}
+        assert all(off[k] != want[k] and want[k] in off[k] for k in want)
+    finally:
+        extract.marked.cache_clear()
