@@ -26,6 +26,12 @@ def bound(f: Callable[..., Column]) -> Callable[..., Column]:
     return made
 
 
+def batched(f: Callable, kind) -> Callable[..., Column]:
+    """f, of Arrow arrays, as a function of columns. It is declared as not deterministic, though it is, so that the optimizer neither evaluates it twice nor moves a
+    condition on it into the filter of a scan, where it can't run."""
+    return F.arrow_udf(f, kind).asNondeterministic()
+
+
 def pattern(p: str, ignore_case: bool = False) -> str:
     return ("(?Udi)" if ignore_case else FLAGS) + p
 
