@@ -17,8 +17,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyglass.llm import store
 from tallyglass.llm.components import components
-from tallyglass.llm.store import dropped, pieces, saved, small, split_join
+from tallyglass.llm.store import dropped, looked_up, pieces, saved, small, split_join
 
 SEED = 42
 #: Words of a shingle and shingles hashed at a time; the latter bounds a worker's memory for any text length.
@@ -132,10 +133,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, distance: int = 2) -> D
 PARITY = 1024
 #: Sets with more shingles than this also have a wide map, of two to four bits a shingle, as a map fills up.
 WIDE_FROM = 512
-#: Values of which so many of the texts looked at have one are dealt to many tasks; there are LOOKED_AT / HOT_TEXTS * (values of a prefix) of them at most.
-HOT_TEXTS, HOT_VALUES = 10, 1_000
 #: Texts looked at for usual shingles, and most of these that are kept. They order the search and never change its result.
 LOOKED_AT, USUAL = 10_000, 200_000
+#: Bytes of texts, sets or maps that a Python worker gets at a time.
+BATCH_BYTES = 8 << 20
 #: Rows of a block, about; blocks are compared with blocks, a pair of them in a task, so no task holds all rows of a key.
 BLOCK = 1024
 
@@ -211,15 +212,12 @@ def _value_batches(batches, width):
             yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, width).view(np.int64))], ["v"])
 
 
-def usual_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, list[int]]:
-    """Shingles that several of some 10,000 texts hold, the most usual first, and those at the head that HOT_TEXTS hold."""
+def usual_shingles(rows: DataFrame, width: int) -> np.ndarray:
+    """Shingles that several of some 10,000 texts hold, the most usual first."""
     part = max(1, rows.count() // LOOKED_AT)
     values = rows.where(F.pmod(F.col("key"), F.lit(part)) == 0).select("text").distinct().mapInArrow(partial(_value_batches, width=width), "v long")
     counted = values.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "v").limit(USUAL)
-    counted = counted.toArrow()
-    hot = int((counted.column("n").to_numpy() >= HOT_TEXTS).sum())
-    values = counted.column("v").to_numpy()
-    return values.view(np.uint64), values[: min(hot, HOT_VALUES)].tolist()
+    return counted.toArrow().column("v").to_numpy().view(np.uint64)
 
 
 def _set_batches(batches, width):
@@ -328,10 +326,10 @@ def cross_pairs(rooted: DataFrame, texts: DataFrame, similarity: float) -> DataF
 
 
 def _apart_batches(batches, similarity):
-    for b in batches:
+    for b in pieces(batches, "x", "y"):
         keep = []
-        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-            keep.append(parity_distance(x["wide"], y["wide"]) <= _apart(x["size"], y["size"], similarity))
+        for n, m, x, y in zip(*(b.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
+            keep.append(parity_distance(x, y) <= _apart(n, m, similarity))
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -348,26 +346,28 @@ def wide_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     long_ = saved(texts.where("wide IS NOT NULL").select("key", F.struct("size", "wide").alias("m")), "long")
     ends = small(long_.select("key"))
     both = pairs.join(ends.withColumnRenamed("key", "a"), "a", "left_semi").join(ends.withColumnRenamed("key", "b"), "b", "left_semi").select("a", "b")
-    compared = with_both(both, long_, "m").mapInArrow(partial(_apart_batches, similarity=similarity), "a long, b long")
-    out = saved(pairs.join(both, ["a", "b"], "left_anti").unionByName(compared), "close")
+    maps = with_both(both, long_, "m").select("a", "b", F.col("x.size").alias("n"), F.col("y.size").alias("m"), F.col("x.wide").alias("x"), F.col("y.wide").alias("y"))
+    compared = maps.mapInArrow(partial(_apart_batches, similarity=similarity), "a long, b long")
+    out = saved(pairs.join(both, ["a", "b"], "left_anti").unionByName(compared), "close", BATCH_BYTES)
     dropped(pairs, long_)
     return out
 
 
-def met_values(texts: DataFrame, hot: list[int]) -> DataFrame:
-    """(k, key, size, at, met) for each value k of a prefix that more than one row has, met being their number. Values that are not in `hot` are shuffled
-    once, rows and count together: few rows share one, as the texts looked at tell. Those in `hot` are counted first, and their rows dealt to many tasks."""
+def met_values(texts: DataFrame) -> DataFrame:
+    """(k, key, size, at, met) for each value k of a prefix that more than one row has, met being their number, as a table.
+
+    Values are counted first, within tasks before the shuffle. Rows of a value of over HOT_ROWS get its count by a look-up, so they are never one task's; those of the others go
+    through a window, which so holds HOT_ROWS rows of a value at most. No value is hot by a sample or by its rank."""
     keyed = texts.select("key", "size", F.posexplode("prefix").alias("at", "k")).select("k", "key", "size", "at")
-    often = F.col("k").isin(hot) if hot else F.lit(False)
-    rare = keyed.where(~often).withColumn("met", F.count("*").over(Window.partitionBy("k"))).where("met > 1")
-    if not hot:
-        return rare
-    keyed = keyed.where(often)
-    sizes = keyed.groupBy("k").agg(F.count("*").alias("n"))
-    return rare.unionByName(keyed.join(F.broadcast(sizes.select("k", F.col("n").alias("met"))), "k").where("met > 1"))
+    hot = saved(keyed.groupBy("k").agg(F.count("*").alias("met")).where(F.col("met") > store.HOT_ROWS), "hot")
+    rows = looked_up(keyed, hot, "k", ["key"])
+    rare = rows.where("met IS NULL").drop("met").withColumn("met", F.count("*").over(Window.partitionBy("k"))).where("met > 1")
+    out = saved(rare.unionByName(rows.where("met IS NOT NULL")), "met")
+    dropped(hot)
+    return out
 
 
-def linked_texts(texts: DataFrame, verified, similarity: float, hot: list[int] | None = None, full: int = FULL) -> DataFrame:
+def linked_texts(texts: DataFrame, verified, similarity: float, full: int = FULL) -> DataFrame:
     """Links (a, b) between rows of texts (key, size, bits, prefix) that connect exactly those that a chain of similar pairs connects.
     verified(pairs) gives a table of the similar ones of (a, b).
 
@@ -375,7 +375,7 @@ def linked_texts(texts: DataFrame, verified, similarity: float, hot: list[int] |
     that a digest picks, which links most of a group of copies; then all pairs of rows that are still in different components are
     compared, by cross_pairs. So no pair is left out that could connect anything.
     """
-    met = saved(met_values(texts, hot or []), "met")
+    met = met_values(texts)
     values = met.count()
     few = met.where(F.col("met") <= full).groupBy("k").agg(F.collect_list(F.struct("key", "size", "at")).alias("all"))
     pair = F.explode(F.expr("flatten(transform(all, (a, i) -> transform(slice(all, i + 2, size(all)), b -> struct(a, b))))"))
@@ -405,11 +405,10 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Da
     spark = docs.sparkSession
     named = [F.xxhash64(F.sha2(body, 256)).alias("key"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")]
     rows = docs.select(*named, body.alias("text"))
-    usual, hot = usual_shingles(rows, width)
-    sent = spark.sparkContext.broadcast(usual)
+    sent = spark.sparkContext.broadcast(usual_shingles(rows, width))
     marked = rows.mapInArrow(partial(_marked_batches, width=width, similarity=similarity, usual=sent), "key long, none boolean, id long, size int, bits array<long>, wide binary, prefix array<long>")
     texts = marked.groupBy("key").agg(F.min(F.struct("none", "id")).alias("first"), *[F.any_value(c).alias(c) for c in MARKS])
-    texts = saved(texts.select("key", "first.none", "first.id", *MARKS), "texts")
+    texts = saved(texts.select("key", "first.none", "first.id", *MARKS), "texts", BATCH_BYTES)
     repeated = not rows.groupBy("key", "none", "id").count().where("count > 1").isEmpty()
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -417,12 +416,12 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Da
         wanted = close.select(F.col("a").alias("key")).unionByName(close.select(F.col("b").alias("key"))).distinct()
         wanted = saved(texts.select("key", "none", "id").join(wanted, "key", "left_semi"), "wanted")
         sets = rows.join(small(wanted), ["key", "none", "id"], "left_semi").select("key", "text").mapInArrow(partial(_set_batches, width=width), "key long, shingles binary")
-        sets = saved(sets.dropDuplicates(["key"]) if repeated else sets, "sets")
-        links = saved(with_both(close, sets, "shingles").mapInArrow(partial(_similar_batches, similarity=similarity), "a long, b long"), "links")
+        sets = saved(sets.dropDuplicates(["key"]) if repeated else sets, "sets", BATCH_BYTES)
+        links = saved(with_both(close, sets, "shingles").mapInArrow(partial(_similar_batches, similarity=similarity), "a long, b long"), "links", BATCH_BYTES)
         dropped(close, wanted, sets)
         return links
 
-    found = components(linked_texts(texts, verified, similarity, hot))
+    found = components(linked_texts(texts, verified, similarity))
     grouped = texts.join(found, texts["key"] == found["node"], "left").select("key", "none", "id", F.coalesce("root", "key").alias("root"))
     best = grouped.groupBy("root").agg(F.min(F.struct("none", "id", "key")).alias("b")).select("b.key", "b.none", "b.id")
     best = small(saved(best, "best"))

@@ -23,6 +23,8 @@ ROW_BYTES = 48
 HOT_ROWS, HOT_SHARE, SALTS = 5_000, 1_000, 32
 #: Spark's setting, where it has one, that shuffle files are deleted at the end of an execution.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting of the bytes that a batch of rows for a Python worker has.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of a column that a worker takes up at a time.
 PIECE = 4 << 20
 
@@ -59,20 +61,21 @@ def _delete_saved() -> None:
 atexit.register(_delete_saved)
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     """Write df as Parquet under the shared folder and return it read back: its lineage ends there, so a lost executor
-    costs no recomputation of what came before. The write's shuffle files go when it ends, as nothing reads them again; for that a setting of the session is changed
-    while it runs. What dropped() has not deleted by then goes when the driver's process ends."""
+    costs no recomputation of what came before. The write's shuffle files go when it ends, as nothing reads them again, and Python workers get batches of about `batch`
+    bytes, if given; for that settings of the session are changed while it runs. What dropped() has not deleted by then goes when the driver's process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyglass/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    if before is not None:
-        spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true"} | ({} if batch is None else {BATCH: str(batch)})
+    before = {k: spark.conf.get(k) for k in wanted if spark.conf.isModifiable(k)}
+    for k in before:
+        spark.conf.set(k, wanted[k])
     try:
         df.write.parquet(path)
     finally:
-        if before is not None:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyglass_path = path
     _saved.append((spark, path))

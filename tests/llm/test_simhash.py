@@ -1,10 +1,14 @@
 import itertools
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyglass.llm import simhash, store
 from tallyglass.llm.components import components
@@ -276,3 +280,49 @@ def test_hot_fingerprints_and_hubs(make_docs, spark, narrow):
     nodes = {x for e in edges for x in e}
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == roots(nodes, edges)
+
+
+def test_values_that_many_rows_share_are_counted_exactly(spark, monkeypatch):
+    """Usual and rare values alike, with the hot ones broadcast or shuffled; no window holds more than HOT_ROWS rows of one."""
+    monkeypatch.setattr(store, "HOT_ROWS", 6)
+    prefixes = [(i, 9, [7] + [100 + i // 3] * (i < 30) + [1000 + i]) for i in range(60)]
+    texts = spark.createDataFrame(prefixes, "key long, size int, prefix array<long>")
+    held = {}
+    for key, size, values in prefixes:
+        for at, v in enumerate(values):
+            held.setdefault(v, []).append((key, size, at))
+    want = sorted((v, *row, len(rows)) for v, rows in held.items() if len(rows) > 1 for row in rows)
+    assert max(map(len, held.values())) == 60
+    for most in (store.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(store, "BROADCAST_BYTES", most)
+        assert sorted(map(tuple, simhash.met_values(texts).select("k", "key", "size", "at", "met").collect())) == want
+    assert simhash.met_values(texts.limit(0)).count() == 0
+
+
+def shuffle_files(spark):
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in local for f in Path(d).rglob("shuffle_*.data")}
+
+
+def test_a_tables_shuffle_files_go_with_its_write(spark):
+    before, settings = shuffle_files(spark), {k: spark.conf.get(k) for k in (store.CLEANUP, store.BATCH)}
+    grouped = spark.range(10_000).groupBy("id").count().repartition(3)
+    table = store.saved(grouped, "grouped", 1 << 20)
+    for _ in range(50):
+        left = {f for f in shuffle_files(spark) - before if f.exists()}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 10_000
+    assert {k: spark.conf.get(k) for k in settings} == settings
+
+
+def test_workers_get_batches_of_the_bytes_asked_for(spark):
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    texts = spark.range(2_000, numPartitions=1).select(F.repeat(F.lit("x"), 1_000).alias("t"))
+    whole = [r["n"] for r in store.saved(texts.mapInArrow(rows, "n long"), "whole").collect()]
+    cut = [r["n"] for r in store.saved(texts.mapInArrow(rows, "n long"), "cut", 100_000).collect()]
+    assert whole == [2_000] and sum(cut) == 2_000 and max(cut) < 300
