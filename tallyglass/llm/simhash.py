@@ -139,6 +139,8 @@ LOOKED_AT, USUAL = 10_000, 200_000
 BATCH_BYTES = 8 << 20
 #: Rows of a block, about; blocks are compared with blocks, a pair of them in a task, so no task holds all rows of a key.
 BLOCK = 1024
+#: Pairs of a block that a worker looks at in one step; their maps take 2 MB.
+STRIP = 1 << 14
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -262,16 +264,18 @@ def _block_pairs(probe, key, root, size, at, bits, similarity):
     """Pairs of a probe (1) and a row (0, or -1 if it is of the main root), of different roots, whose sizes, places and parity maps allow the similarity.
     Probes are rows of other cells too; a pair of them is kept once."""
     p, r = np.flatnonzero(probe == 1), np.flatnonzero(probe != 1)
-    fits = (root[p, None] != root[None, r]) & _may_share(size[p, None], at[p, None], size[None, r], at[None, r], similarity)
-    fits &= (probe[None, r] < 0) | (key[p, None] < key[None, r])
-    i, j = np.nonzero(fits)
-    a, b = [], []
-    for lo in range(0, len(i), 1 << 16):
-        x, y = p[i[lo : lo + (1 << 16)]], r[j[lo : lo + (1 << 16)]]
+    step = max(1, STRIP // max(1, len(r)))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(p), step):
+        q = p[lo : lo + step]
+        fits = (root[q, None] != root[None, r]) & _may_share(size[q, None], at[q, None], size[None, r], at[None, r], similarity)
+        fits &= (probe[None, r] < 0) | (key[q, None] < key[None, r])
+        i, j = np.nonzero(fits)
+        x, y = q[i], r[j]
         near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= _apart(size[x], size[y], similarity)
         a.append(key[x[near]])
         b.append(key[y[near]])
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _pair_batches(batches, similarity):

@@ -326,3 +326,16 @@ def test_workers_get_batches_of_the_bytes_asked_for(spark):
     whole = [r["n"] for r in store.saved(texts.mapInArrow(rows, "n long"), "whole").collect()]
     cut = [r["n"] for r in store.saved(texts.mapInArrow(rows, "n long"), "cut", 100_000).collect()]
     assert whole == [2_000] and sum(cut) == 2_000 and max(cut) < 300
+
+
+def test_blocks_are_looked_at_in_strips(monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 400
+    bits = np.full((n, 16), 7, np.uint64) ^ (rng.integers(0, 64, (n, 16)) * (rng.random((n, 16)) < 0.2)).astype(np.uint64)
+    block = np.where(np.arange(n) < 150, 1, rng.integers(-1, 1, n)), rng.permutation(n), rng.integers(0, 50, n), rng.integers(90, 110, n), rng.integers(0, 12, n), bits
+    found = []
+    for strip in (1 << 30, 1 << 10, 1):
+        monkeypatch.setattr(simhash, "STRIP", strip)
+        found.append(sorted(zip(*map(np.ndarray.tolist, simhash._block_pairs(*block, 0.8)), strict=True)))
+    assert 100 < len(found[0]) < 150 * 250
+    assert found[0] == found[1] == found[2]
