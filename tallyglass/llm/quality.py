@@ -21,6 +21,8 @@ MOST_ROWS, CALIBRATION = 40_000, 4
 FEATURES, KERNEL_WIDTH, RIDGE, SEED = 256, 6.0, 1.0, 42
 #: Parts that the training rows are dealt to, each of which yields one sum.
 PARTS = 8
+#: Rows whose features are made in one step; they take 2 MB.
+STRIP = 1 << 10
 
 STATISTICS = (
     "log_words mean_word_length sd_word_length longest_word distinct_share top_word_share repeated_next_share letters upper digits spaces other_ascii "
@@ -66,12 +68,17 @@ class Model:
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         """Rounded, as the last digits of a product depend on where in a batch a row stands."""
-        return np.round(design(x, self.mean, self.scale, self.frequencies, self.phases) @ self.weights, 10)
+        parts = [design(x[at], self.mean, self.scale, self.frequencies, self.phases) @ self.weights for at in strips(len(x))]
+        return np.round(np.concatenate([np.zeros(0), *parts]), 10)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.raw(x), self.knots, self.levels)
 
 
+def strips(n: int) -> list[slice]:
+    return [slice(at, at + STRIP) for at in range(0, n, STRIP)]
+
+
 def design(x, mean, scale, frequencies, phases) -> np.ndarray:
     """A constant and the random Fourier features of the standardised statistics. The statistics themselves are not among them: a score is a
     function of the kernel alone."""
@@ -119,8 +126,10 @@ def _normal_batches(batches, mean, scale, frequencies, phases):
     total = np.zeros((size, size + 1))
     for b in batches:
         x = np.array(b.column("x").to_pylist()).reshape(-1, len(mean))
-        z = design(x, mean, scale, frequencies, phases)
-        total += (z * b.column("k").to_numpy()[:, None]).T @ np.hstack([z, b.column("y").to_numpy(zero_copy_only=False)[:, None]])
+        k, y = b.column("k").to_numpy()[:, None], b.column("y").to_numpy(zero_copy_only=False)[:, None]
+        for at in strips(len(x)):
+            z = design(x[at], mean, scale, frequencies, phases)
+            total += (z * k[at]).T @ np.hstack([z, y[at]])
     yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tobytes()])], ["part", "sums"])
 
 
@@ -134,9 +143,9 @@ def _added(batches, shape):
 
 
 def _summed(df: DataFrame, shape) -> np.ndarray:
-    """The sum of the partitions' sums, in the partitions' order. They are added on the executors to PARTS matrices at most,
-    however many partitions there are, before they come to the driver."""
-    few = df.coalesce(PARTS).mapInArrow(partial(_added, shape=shape), "part long, sums binary")
+    """The sum of the partitions' sums, in an order that reruns share. They are added on the executors to PARTS matrices at most,
+    however many partitions there are, before they come to the driver. A shuffle stands between, so that a task has one Python worker and not two."""
+    few = df.repartition(PARTS).sortWithinPartitions("part").mapInArrow(partial(_added, shape=shape), "part long, sums binary")
     rows = sorted(few.collect(), key=lambda r: r["part"])
     return sum((np.frombuffer(r["sums"]).reshape(shape) for r in rows), np.zeros(shape))
 
