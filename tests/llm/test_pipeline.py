@@ -80,5 +80,5 @@ def test_run_is_the_stages(spark, stages):
 
 
 def test_every_operator_is_registered():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
