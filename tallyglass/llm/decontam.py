@@ -80,7 +80,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, containe
         pairs = asked.join(F.broadcast(index), ["wide", "value"])
     else:
         copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = asked.withColumn("salt", dealt(["doc_id", "value"])).join(copies, ["wide", "value", "salt"])
+        pairs = asked.withColumn("salt", dealt(["doc_id", "value"])).join(copies.hint("merge"), ["wide", "value", "salt"])
     pairs = saved(pairs.select("doc_id", "item_id").distinct(), "pairs")
     return _verified(docs, kept, pairs, wides, contained)
 
@@ -120,7 +120,7 @@ def _of_pairs(pairs: DataFrame, parts: DataFrame) -> DataFrame:
         joined = pairs.join(F.broadcast(parts), same)
     else:
         copies = parts.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = pairs.withColumn("_salt", dealt(["doc_id", "item_id"])).join(copies, same & (F.col("_salt") == F.col("_s")))
+        joined = pairs.withColumn("_salt", dealt(["doc_id", "item_id"])).join(copies.hint("merge"), same & (F.col("_salt") == F.col("_s")))
     return joined.select(F.col("doc_id").alias("d"), "item_id", "item", "n", "wide", "g")
 
 
