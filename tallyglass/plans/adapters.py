@@ -92,17 +92,21 @@ SELECT c_custkey AS k, substr('\u1100\u1102\u1103\u1105\u1106\u1107\u1109', CAST
 """
 
 
-#: Bytes of a table a core, below which its rows are dealt to a few tasks a core before they are worked on.
-SMALL = 32 << 20
+#: Bytes of a table's files that a task gets, at most.
+TASK_BYTES = 4 << 20
+
+
+def tasks(size: int, cores: int) -> int:
+    """To how many tasks a table of so many bytes is dealt: four a core, or more of TASK_BYTES each."""
+    return max(4 * cores, -(-size // TASK_BYTES))
 
 
 def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table. Pages take long to read and little room, so a file of one row group would keep one core busy: a table of few bytes
-    a core is dealt to several tasks a core. Larger ones are read as they are split, without a shuffle."""
+    """A table, dealt to tasks. Its rows take little room and long to work on, and a scan is split by files and row groups alone: a file of few groups would keep
+    few cores busy, however large it is. So no task's share grows with the table; only the columns that are read are shuffled."""
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(4 * cores) if size < SMALL * cores else rows
+    return rows.repartition(tasks(size, spark.sparkContext.defaultParallelism))
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
