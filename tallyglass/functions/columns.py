@@ -63,10 +63,13 @@ def literal(rows: list, schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), schema)
 
 
+@bound
 def replaced(t: Column, pairs: Iterable[tuple[str, str]]) -> Column:
-    """Literal replacements, one after another."""
+    """Literal replacements, one after another; none is tried on a text without the first letter of any."""
+    pairs = list(pairs)
     table = literal([{"a": a, "b": b} for a, b in pairs], "array<struct<a:string,b:string>>")
-    return F.aggregate(table, t, lambda s, p: F.replace(s, p["a"], p["b"]))
+    first = "|".join(rf"\Q{c}\E" for c in sorted({a[0] for a, _ in pairs}))
+    return F.when(t.rlike(first), F.aggregate(table, t, lambda s, p: F.replace(s, p["a"], p["b"]))).otherwise(t)
 
 
 def rules(t: Column, pairs: Iterable[tuple[str, str]]) -> Column:

@@ -39,15 +39,21 @@ def hangul_fixed(t: Column) -> Column:
     return replaced(t, V.HANGUL_FIXES)
 
 
+@bound
 def number_fixpoint(t: Column, rounds: int = V.NUMBER_ROUNDS) -> Column:
-    """The number rules again and again until nothing changes, `rounds` times at most."""
+    """The number rules again and again until nothing changes, `rounds` times at most. A text without what every rule needs is left as it is."""
     start = F.struct(t.alias("now"), F.lit(False).alias("done"))
 
     def step(s: Column, _: Column) -> Column:
-        after = rules(s["now"], V.NUMBER_RULES)
-        return F.when(s["done"], s).otherwise(F.struct(after.alias("now"), (after == s["now"]).alias("done")))
+        return F.when(s["done"], s).otherwise(_settling(s["now"], rules(s["now"], V.NUMBER_RULES)))
+
+    ruled = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: s["now"])
+    return F.when(t.rlike(V.NUMBER_RULED), ruled).otherwise(t)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: s["now"])
+
+@bound
+def _settling(now: Column, after: Column) -> Column:
+    return F.struct(after.alias("now"), (after == now).alias("done"))
 
 
 def _common(t: Column) -> Column:

@@ -1,10 +1,14 @@
 """Steps that must not grow faster than their input: dealing of tables, scoring as compiled columns, labels scored once a chunk."""
 
+import re
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tallyglass.functions import quality as Q
+from tallyglass.functions import textnorm
+from tallyglass.functions import vocab as V
 from tallyglass.operators import labels
 from tallyglass.plans import adapters
 from tallyglass.sources import ocr
@@ -40,3 +44,19 @@ def test_best_labels_are_the_best_of_all_labels(spark):
                 if m["match_score"] > want.get(m["label_type"], ("", -1.0))[1]:
                     want[m["label_type"]] = (m["matched_text"], m["match_score"])
             assert {k: tuple(v) for k, v in r["b"].items()} == want, (least, texts[r["i"]])
+
+
+def test_number_rules_leave_other_texts_alone_and_run_once_a_round(spark):
+    t = F.col("t")
+    df = spark.createDataFrame([("총중량 12480 kg, 5010",), (None,), ("",), ("1O2,BB 3l4 x,,y",), ("O",)], "t string")
+    out = df.select(textnorm.number_fixpoint(t).alias("n"), textnorm.hangul_fixed(t).alias("h"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("(?Ud),BB") == 1  # each rule stands in the plan once
+    assert [r["n"] for r in out.collect()] == ["총중량 12480 kg, 5010", None, "", "102,88 314 x,y", "O"]
+
+
+def test_no_text_without_the_guards_letters_is_changed_by_a_rule():
+    letters = re.compile(V.NUMBER_RULED)
+    for pattern, _ in V.NUMBER_RULES:
+        literal = re.sub(r"\\[ds]\*?|\[,\.\]|[()]", "", pattern)
+        assert letters.search(literal), pattern
