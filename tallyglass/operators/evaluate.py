@@ -53,18 +53,23 @@ def regression(stored: DataFrame, fresh: DataFrame, answers: DataFrame | None =
     state: same, changed, gained (null before), lost (null now), or unstored and unmade where the sample stands on one side only; values are compared as they
     are, with spaces, punctuation and case. answer and whether either value meets it (as compared() judges) are null without an answer for the field. A sample that is null counts as one sample;
     of several rows of a sample on a side the one with the greatest values counts. Both sides meet in one aggregation to a maximum, combined before the
-    shuffle, so a sample with many rows is no task's burden; empty tables are fine."""
+    shuffle, so a sample with many rows is no task's burden; empty tables are fine. Answers are gathered by sample and join before fields become rows, so that no row a field is shuffled."""
     fields = fields or COMPARED
     rows = _sides(stored, stored_key, "stored", fields).unionByName(_sides(fresh, fresh_key, "fresh", fields))
     one = rows.groupBy("sample").agg(*[F.max(F.when(F.col("side") == side, F.col("r"))).alias(side) for side in ("stored", "fresh")])
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"stored.{f}").alias("stored"), F.col(f"fresh.{f}").alias("fresh")) for f in fields])
-    out = one.select("sample", F.col("stored").isNull().alias("_new"), F.col("fresh").isNull().alias("_gone"), F.explode(each).alias("c")).select("sample", "c.*", "_new", "_gone")
-    state = F.when(F.col("_new"), "unstored").when(F.col("_gone"), "unmade").when(F.col("stored").eqNullSafe(F.col("fresh")), "same").when(F.col("stored").isNull(), "gained").when(F.col("fresh").isNull(), "lost").otherwise("changed")
-    out = out.withColumn("state", state)
     if answers is None:
-        out = out.withColumns({"answer": F.lit(None).cast("string"), "_asked": F.lit(False)})
+        one = one.withColumn("_said", F.lit(None).cast("array<struct<field:string,answer:string>>"))
     else:
-        out = out.join(answers.select("sample", "field", "answer", F.lit(True).alias("_asked")), ["sample", "field"], "left")
+        known = answers.where(F.col("sample").isNotNull() & F.col("field").isin(list(fields)))
+        known = known.groupBy(F.col("sample").cast("string").alias("sample")).agg(F.collect_list(F.struct("field", "answer")).alias("_said"))
+        one = one.join(known, "sample", "left")
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"stored.{f}").alias("stored"), F.col(f"fresh.{f}").alias("fresh")) for f in fields])
+    out = one.select("sample", "_said", F.col("stored").isNull().alias("_new"), F.col("fresh").isNull().alias("_gone"), F.explode(each).alias("c")).select("sample", "c.*", "_new", "_gone", "_said")
+    state = F.when(F.col("_new"), "unstored").when(F.col("_gone"), "unmade").when(F.col("stored").eqNullSafe(F.col("fresh")), "same").when(F.col("stored").isNull(), "gained").when(F.col("fresh").isNull(), "lost").otherwise("changed")
+    own = F.transform(F.filter("_said", lambda a: a["field"] == F.col("field")), lambda a: a["answer"])
+    out = out.withColumn("state", state).withColumn("_own", own).drop("_said")
+    out = out.withColumn("_asked", F.coalesce(F.size("_own") > 0, F.lit(False)))
+    out = out.withColumn("answer", F.explode_outer("_own")).drop("_own")
     ok = lambda side, absent: F.when(F.col("_asked") & ~F.col(absent), comparable(F.col(side)) == comparable(F.col("answer")))
     return out.select("sample", "field", "stored", "fresh", "state", "answer", ok("stored", "_new").alias("stored_ok"), ok("fresh", "_gone").alias("fresh_ok"))
 
