@@ -3,7 +3,8 @@
 A fingerprint of d segments is indexed under each segment with one bit left out. Fingerprints that differ in at most
 2 * segments - 1 bits agree on some segment but for one bit, so they meet under that segment's key. Equal keys make
 candidates, which are then verified. A key under which many fingerprints meet is never expanded into pairs:
-`linked_fingerprints` resolves such fingerprints exactly through shared centres. `deduplicated` searches shingle sets instead.
+`linked_fingerprints` resolves such fingerprints exactly through shared centres. `deduplicated` finds copies by the same index and
+verifies them on their shingle sets; an exact search of the sets follows, for similar texts whose fingerprints differ in more bits.
 """
 
 from __future__ import annotations
@@ -47,8 +48,13 @@ def shingle_hashes(text: bytes | None, width: int):
 
 def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
     """64 bits, each set if it is set in over half of the shingles' hashes; 0 without words. Signed, as a Spark long."""
+    return majority(shingle_hashes(text, width))
+
+
+def majority(chunks) -> int:
+    """The fingerprint of chunks of hashes."""
     ones, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text, width):
+    for h in chunks:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
@@ -145,7 +151,12 @@ STRIP = 1 << 14
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes."""
-    return np.unique(np.concatenate([*shingle_hashes(text, width), np.zeros(0, np.uint64)]))
+    return distinct(shingle_hashes(text, width))
+
+
+def distinct(chunks) -> np.ndarray:
+    """Sorted distinct hashes of chunks."""
+    return np.unique(np.concatenate([*chunks, np.zeros(0, np.uint64)]))
 
 
 def parity(h: np.ndarray, bits: int = PARITY) -> np.ndarray:
@@ -191,21 +202,23 @@ def prefix(h: np.ndarray, usual: Usual, similarity: float) -> np.ndarray:
     return usual.ordered(h)[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64)
 
 
-MARKS = ["size", "bits", "wide", "prefix"]
+MARKS = ["fp", "size", "bits", "wide", "prefix"]
 
 
 def _marked_batches(batches, width, similarity, usual):
     usual = Usual(usual.value)
     for b in pieces(batches, "text"):
-        sizes, bits, wide, first = [], [], [], []
+        fps, sizes, bits, wide, first = [], [], [], [], []
         for t in _texts(b):
-            h = shingle_set(t, width)
+            chunks = list(shingle_hashes(t, width))
+            h = distinct(chunks)
+            fps.append(majority(chunks))
             sizes.append(len(h))
             bits.append(parity(h))
             wide.append(wide_parity(h))
             first.append(prefix(h, usual, similarity))
         bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bits)), PARITY // 64).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "none", "id")), pa.array(sizes, pa.int32()), bits, pa.array(wide, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["key", "none", "id", *MARKS])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "none", "id")), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), bits, pa.array(wide, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["key", "none", "id", *MARKS])
 
 
 def _value_batches(batches, width):
@@ -338,8 +351,10 @@ def _apart_batches(batches, similarity):
 
 
 def close_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The distinct pairs (a, b) whose parity maps allow the similarity."""
-    both = with_both(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts.select("key", F.struct("size", "bits").alias("m")), "m")
+    """The distinct pairs (a, b) of different roots (where texts have them) whose parity maps allow the similarity."""
+    rooted = "root" in texts.columns
+    both = with_both(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts.select("key", F.struct("size", "bits", *["root"] * rooted).alias("m")), "m")
+    both = both.where("x.root <> y.root") if rooted else both
     odd = F.aggregate(F.zip_with("x.bits", "y.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
     return both.where(odd <= _apart(F.col("x.size"), F.col("y.size"), similarity)).select("a", "b")
 
@@ -357,6 +372,18 @@ def wide_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     return out
 
 
+def print_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts (key, fp) that connect exactly those whose fingerprints a chain of differences of at most 2 bits connects: fingerprints
+    are linked by linked_fingerprints, texts of one fingerprint through the least of them."""
+    prints = saved(texts.groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("n")), "prints")
+    total = prints.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    alike = split_join(texts.select("fp", "key"), prints.where("n > 1"), "fp", ["key"], total).select(F.col("head").alias("a"), F.col("key").alias("b")).where("a <> b")
+    links = saved(linked_fingerprints(prints.select("fp")), "printed")
+    for end in ("a", "b"):
+        links = links.join(prints.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head")), end)
+    return links.select(F.col("a_head").alias("a"), F.col("b_head").alias("b")).unionByName(alike)
+
+
 def met_values(texts: DataFrame) -> DataFrame:
     """(k, key, size, at, met) for each value k of a prefix that more than one row has, met being their number, as a table.
 
@@ -372,13 +399,17 @@ def met_values(texts: DataFrame) -> DataFrame:
 
 
 def linked_texts(texts: DataFrame, verified, similarity: float, full: int = FULL) -> DataFrame:
-    """Links (a, b) between rows of texts (key, size, bits, prefix) that connect exactly those that a chain of similar pairs connects.
+    """Links (a, b) between rows of texts (key, fp, size, bits, prefix) that connect exactly those that a chain of similar pairs connects.
     verified(pairs) gives a table of the similar ones of (a, b).
 
-    Similar sets share a value of their prefixes. Rows under a value that at most `full` share are paired. Under a fuller one, each is first paired with a head
+    Texts whose fingerprints are linked come first, and are verified. Similar texts may differ in more bits, so an exact search follows, of pairs that are in different components
+    by then: similar sets share a value of their prefixes. Rows under a value that at most `full` share are paired. Under a fuller one, each is first paired with a head
     that a digest picks, which links most of a group of copies; then all pairs of rows that are still in different components are
     compared, by cross_pairs. So no pair is left out that could connect anything.
     """
+    near = verified(close_pairs(print_pairs(texts), texts, similarity))
+    found = saved(components(near), "found")
+    apart = texts.join(small(found), texts["key"] == found["node"], "left").select("key", "size", "bits", F.coalesce("root", "key").alias("root"))
     met = met_values(texts)
     values = met.count()
     few = met.where(F.col("met") <= full).groupBy("k").agg(F.collect_list(F.struct("key", "size", "at")).alias("all"))
@@ -387,7 +418,8 @@ def linked_texts(texts: DataFrame, verified, similarity: float, full: int = FULL
     crowded = met.where(F.col("met") > full)
     heads = crowded.groupBy("k").agg(F.min_by("key", F.xxhash64(F.col("k").bitwiseAND(F.lit(3)), "key")).alias("head"), F.count("*").alias("n"))
     stars = split_join(crowded.select("k", "key"), heads, "k", ["key"], values).select(F.col("head").alias("a"), F.col("key").alias("b"))
-    links = verified(close_pairs(few.unionByName(stars), texts, similarity))
+    links = near.unionByName(verified(close_pairs(few.unionByName(stars), apart, similarity)))
+    dropped(found)
     found = saved(components(links), "found")
     rooted = crowded.join(small(found), crowded["key"] == found["node"], "left").select("k", "key", "size", "at", F.coalesce("root", "key").alias("root"))
     rooted = saved(rooted, "rooted")
@@ -401,7 +433,8 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Da
     """docs with one row of each group of near copies: the one with the smallest doc_id.
 
     Equal texts (null counts as empty) share a group. Different texts are linked if the Jaccard similarity of their
-    sets of `width`-word shingles is `similarity` or more: every such pair is a candidate or already connected, and the sets decide. Chains of links make
+    sets of `width`-word shingles is `similarity` or more: those whose fingerprints differ in 2 bits at most are found by the index of near_duplicates, the others by their
+    prefixes; every such pair is a candidate or already connected, and the sets decide. Chains of links make
     a group. Rows alike in doc_id and text leave one. A null doc_id counts as larger than all others. Columns of docs are kept as they
     are, whatever their names. An empty table stays empty. Texts are known by a 64-bit digest of their SHA-256, shingles by 64 bits.
     """
@@ -410,7 +443,7 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Da
     named = [F.xxhash64(F.sha2(body, 256)).alias("key"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")]
     rows = docs.select(*named, body.alias("text"))
     sent = spark.sparkContext.broadcast(usual_shingles(rows, width))
-    marked = rows.mapInArrow(partial(_marked_batches, width=width, similarity=similarity, usual=sent), "key long, none boolean, id long, size int, bits array<long>, wide binary, prefix array<long>")
+    marked = rows.mapInArrow(partial(_marked_batches, width=width, similarity=similarity, usual=sent), "key long, none boolean, id long, fp long, size int, bits array<long>, wide binary, prefix array<long>")
     texts = marked.groupBy("key").agg(F.min(F.struct("none", "id")).alias("first"), *[F.any_value(c).alias(c) for c in MARKS])
     texts = saved(texts.select("key", "first.none", "first.id", *MARKS), "texts", BATCH_BYTES)
     repeated = not rows.groupBy("key", "none", "id").count().where("count > 1").isEmpty()

@@ -339,3 +339,17 @@ def test_blocks_are_looked_at_in_strips(monkeypatch):
         found.append(sorted(zip(*map(np.ndarray.tolist, simhash._block_pairs(*block, 0.8)), strict=True)))
     assert 100 < len(found[0]) < 150 * 250
     assert found[0] == found[1] == found[2]
+
+
+def test_copies_are_found_by_their_fingerprints(make_docs, spark, monkeypatch):
+    """Near copies within 2 bits are linked by the fingerprints' index, with no search of the sets."""
+    random.seed(41)
+    words = [f"w{i}" for i in range(400)]
+    texts = {i: " ".join(words) if i == 0 else " ".join(words + [f"tail{i}"]) for i in range(12)} | {100 + i: f"other text {i} of its own" for i in range(5)}
+    fps = {i: simhash.fingerprint(t.encode(), 5) for i, t in texts.items()}
+    near = roots(list(fps.values()), linked_by_brute_force(sorted(set(fps.values())), 2))
+    want = sorted({min(j for j in texts if near[fps[j]] == near[fps[i]]) for i in texts})
+    assert len(want) < len(texts) and want == kept_by_brute_force({i: texts[i] for i in texts if i in want or i < 100 and near[fps[i]] == near[fps[0]]})
+    none = spark.createDataFrame([], "k long, key long, size int, at int, met long")
+    monkeypatch.setattr(simhash, "met_values", lambda texts: none)
+    assert kept(make_docs, texts) == want
