@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: A weighing for each order: key, date parts (28 years on), weights of which one in eleven doesn't balance, plate digits.
 WEIGHINGS = """
@@ -101,12 +101,12 @@ def tasks(size: int, cores: int) -> int:
     return max(4 * cores, -(-size // TASK_BYTES))
 
 
-def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table, dealt to tasks. Its rows take little room and long to work on, and a scan is split by files and row groups alone: a file of few groups would keep
+def source(spark: SparkSession, sf_dir: str, table: str, *by: Column) -> DataFrame:
+    """A table, dealt to tasks, by the values of `by` if given. Its rows take little room and long to work on, and a scan is split by files and row groups alone: a file of few groups would keep
     few cores busy, however large it is. So no task's share grows with the table; only the columns that are read are shuffled."""
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(tasks(size, spark.sparkContext.defaultParallelism))
+    return rows.repartition(tasks(size, spark.sparkContext.defaultParallelism), *by)
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:

@@ -10,7 +10,7 @@ from tallyglass.functions import quality as Q
 from tallyglass.functions import textnorm
 from tallyglass.functions import vocab as V
 from tallyglass.operators import labels
-from tallyglass.plans import adapters
+from tallyglass.plans import adapters, catalog
 from tallyglass.sources import ocr
 
 
@@ -60,3 +60,9 @@ def test_no_text_without_the_guards_letters_is_changed_by_a_rule():
     for pattern, _ in V.NUMBER_RULES:
         literal = re.sub(r"\\[ds]\*?|\[,\.\]|[()]", "", pattern)
         assert letters.search(literal), pattern
+
+
+def test_rendering_shuffles_documents_and_not_their_words(spark):
+    for name in ("layout_render", "line_islands"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1, name  # that which deals the documents
