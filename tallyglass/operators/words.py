@@ -32,19 +32,23 @@ def numbered(words: Column) -> Column:
     return F.transform(words, lambda w, i: placed(w["text"], w["x0"], w["y0"], w["x1"], w["y1"], w["confidence"], i))
 
 
-def boxed(page: Column) -> Column:
-    """A page's words that have text and four corners or more, in their order, with the box around the corners."""
+def boxed(page: Column, trim: bool = True) -> Column:
+    """A page's words that have text and four corners or more, in their order, with the box around the corners. Without `trim` texts stay as they were scanned: Unicode's white space counts as text."""
     corners = lambda w: w["boundingBox"]["vertices"]
-    kept = F.filter(F.coalesce(page["words"], F.array().cast(PAGE_WORDS)), lambda w: F.coalesce(matches(w["text"], r"\S"), F.lit(False)) & (F.size(corners(w)) >= 4))
+    kept = F.filter(F.coalesce(page["words"], F.array().cast(PAGE_WORDS)), lambda w: _with_text(w, trim) & (F.size(corners(w)) >= 4))
 
     def made(w: Column) -> Column:
         xs, ys = corners(w)["x"], corners(w)["y"]
         ends = {"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)}
-        return F.struct(stripped(w["text"]).alias("text"), *[v.alias(k) for k, v in ends.items()], F.coalesce(w["confidence"], F.lit(0.0)).alias("confidence"))
+        return F.struct((stripped(w["text"]) if trim else w["text"]).alias("text"), *[v.alias(k) for k, v in ends.items()], F.coalesce(w["confidence"], F.lit(0.0)).alias("confidence"))
 
     return numbered(F.transform(kept, made))
 
 
+def _with_text(w: Column, trim: bool) -> Column:
+    return F.coalesce(matches(w["text"], r"\S") if trim else w["text"] != "", F.lit(False))
+
+
 PAGE_WORDS = "array<struct<text:string,confidence:double,boundingBox:struct<vertices:array<struct<x:double,y:double>>>>>"
 
 
@@ -70,13 +74,13 @@ def full_text(words: Column) -> Column:
     return F.array_join(words["text"], " ")
 
 
-def page_words(df: DataFrame, page: str = "page") -> DataFrame:
+def page_words(df: DataFrame, page: str = "page", trim: bool = True) -> DataFrame:
     """(doc_id, word_idx, text, box, confidence, centre, width, height) of each word of a page that boxed() keeps: exploded() of it, but rows come first, and boxes are
     worked out on their flat columns, in generated code."""
-    kept = F.filter(F.col(page)["words"], lambda w: F.coalesce(matches(w["text"], r"\S"), F.lit(False)) & (F.size(w["boundingBox"]["vertices"]) >= 4))
+    kept = F.filter(F.col(page)["words"], lambda w: _with_text(w, trim) & (F.size(w["boundingBox"]["vertices"]) >= 4))
     w = df.select("doc_id", F.posexplode(kept).alias("word_idx", "w"))
     corners = F.col("w")["boundingBox"]["vertices"]
-    w = w.select("doc_id", "word_idx", stripped(F.col("w")["text"]).alias("text"), corners["x"].alias("xs"), corners["y"].alias("ys"), F.coalesce(F.col("w")["confidence"], F.lit(0.0)).alias("confidence"))
+    w = w.select("doc_id", "word_idx", (stripped(F.col("w")["text"]) if trim else F.col("w")["text"]).alias("text"), corners["x"].alias("xs"), corners["y"].alias("ys"), F.coalesce(F.col("w")["confidence"], F.lit(0.0)).alias("confidence"))
     w = w.select("doc_id", "word_idx", "text", F.array_min("xs").alias("x_min"), F.array_min("ys").alias("y_min"), F.array_max("xs").alias("x_max"), F.array_max("ys").alias("y_max"), "confidence")
     x0, y0, x1, y1 = (F.col(c) for c in ("x_min", "y_min", "x_max", "y_max"))
     return w.select("*", ((x0 + x1) / 2).alias("cx"), ((y0 + y1) / 2).alias("cy"), (x1 - x0).alias("width"), (y1 - y0).alias("height"))
